@@ -1,13 +1,15 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat_format, hilbert, line_dedup, repetition
+from . import bpe, chat_format, hilbert, kneser_ney, line_dedup, repetition, toxicity
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
+    "op3_toxicity": toxicity.query,
     "op6_hilbert_shards": hilbert.query,
     "op7_chat_format": chat_format.query,
     "op8_repetition": repetition.query,
     "op9_bpe": bpe.query,
+    "op10_kneser_ney": kneser_ney.query,
 }
 
 #: The others have no SQL: they are tested against brute force.

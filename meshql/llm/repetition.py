@@ -13,8 +13,8 @@ from .shared import table
 
 #: The published limits for the share of word characters inside duplicated n-grams, by n, in hundredths.
 NGRAM_LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
-#: ... for the shares of lines that are duplicates, and of characters in them, in hundredths.
-LINE_LIMIT, LINE_CHARS_LIMIT = 30, 20
+#: ... and for the share of the lines' characters in lines that occurred before, in hundredths.
+LINE_CHARS_LIMIT = 20
 
 SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -54,8 +54,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     out["n_dup_lines"] = np.bincount(rows[later], minlength=n)
     size = points[last] - points[first]
     out["dup_line_chars"] = np.bincount(rows[later], weights=size[later], minlength=n).astype(np.int64)
-    n_lines, line_chars = np.bincount(rows, minlength=n), np.bincount(rows, weights=size, minlength=n).astype(np.int64)
-    failed = (100 * out["n_dup_lines"] > LINE_LIMIT * n_lines) | (100 * out["dup_line_chars"] > LINE_CHARS_LIMIT * line_chars)
+    failed = 100 * out["dup_line_chars"] > LINE_CHARS_LIMIT * np.bincount(rows, weights=size, minlength=n).astype(np.int64)
     for k, limit in NGRAM_LIMITS.items():
         out[f"dup_chars_{k}"] = _sums(np.where(in_repeats(k, True), chars, 0), bounds)
         failed |= 100 * out[f"dup_chars_{k}"] > limit * out["word_chars"]

@@ -69,6 +69,31 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64) * _GOLD)
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """Lower-cased copy: A-Z and the Latin-1 capitals, whose UTF-8 is C3 80 to C3 9E."""
+    out = LOWER[data]
+    if len(data) > 1:
+        second = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][second] += 32
+    return out
+
+
+def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: bytes = b"", after: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """The spans' bytes, each between two markers, put together; and their offsets (n + 1)."""
+    size = ends - starts + len(before) + len(after)
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(offsets[-1], dtype=np.uint8)
+    within = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size)
+    source = np.repeat(starts - len(before), size) + within
+    text = (within >= len(before)) & (within < np.repeat(size - len(after), size))
+    out[text] = data[source[text]]
+    for i, b in enumerate(before):
+        out[offsets[:-1] + i] = b
+    for i, b in enumerate(after):
+        out[offsets[1:] - len(after) + i] = b
+    return out, offsets
+
+
 def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -92,12 +117,12 @@ def chunks(column: pa.Array | pa.ChunkedArray, size: int = 0) -> Iterator[tuple[
         first = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and the place of each row's first word (n + 1)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and the place of each row's first word (n + 1). space: which bytes part words."""
     if not len(data):
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, np.zeros(len(offsets), dtype=np.int64)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]

@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat_format, hilbert, kneser_ney, line_dedup, repetition, toxicity
+from . import bpe, chat_format, hilbert, html_extract, kneser_ney, line_dedup, repetition, toxicity
 
 QUERIES = {
+    "op1_crf_html": html_extract.query,
     "op2_line_dedup": line_dedup.query,
     "op3_toxicity": toxicity.query,
     "op6_hilbert_shards": hilbert.query,

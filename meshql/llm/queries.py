@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat_format, decontaminate, hilbert, html_extract, kneser_ney, line_dedup, repetition, toxicity
+from . import bpe, chat_format, decontaminate, hilbert, html_extract, jaccard, kneser_ney, line_dedup, repetition, toxicity
 
 QUERIES = {
     "op1_crf_html": html_extract.query,
     "op2_line_dedup": line_dedup.query,
     "op3_toxicity": toxicity.query,
     "op4_decontaminate": decontaminate.query,
+    "op5_jaccard_join": jaccard.query,
     "op6_hilbert_shards": hilbert.query,
     "op7_chat_format": chat_format.query,
     "op8_repetition": repetition.query,
@@ -17,5 +18,6 @@ QUERIES = {
 #: The others have no SQL: they are tested against brute force.
 ORACLE_SQL = {
     "op2_line_dedup": line_dedup.ORACLE,
+    "op5_jaccard_join": jaccard.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
 }

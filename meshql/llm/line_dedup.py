@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
+#: Bound on the keys that are broadcast because many documents hold them.
+HOT_KEYS = 1000
 #: The white space that is stripped, and the letters that are lower-cased.
 STRIP = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,9 +35,13 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3) -> D
     # one row for each key and document first: a key that a third of all documents hold is spread by document
     held = lines.groupBy("_k1", "_k2", "_doc").agg(F.lit(1).alias("_one"))
     common = held.groupBy("_k1", "_k2").agg(F.count("_one").alias("_n"), F.max("_doc").alias("_last")).where(F.col("_n") >= min_docs)
+    # the keys that most documents hold, HOT_KEYS of them at most, are looked up by broadcast; their lines then go to the join under
+    # keys of their own that match nothing, so that no task gets all lines of one key
+    hot = common.orderBy(F.desc("_n"), "_k1", "_k2").limit(HOT_KEYS).select("_k1", "_k2", F.col("_last").alias("_hot"))
+    tagged = lines.join(F.broadcast(hot), ["_k1", "_k2"], "left").withColumn("_k1", F.when(F.col("_hot").isNull(), F.col("_k1")).otherwise(F.xxhash64("_doc", "_pos")))
     drops = (
-        lines.join(common, ["_k1", "_k2"])
-        .where(F.col("_doc") != F.col("_last"))
+        tagged.join(common.select("_k1", "_k2", "_last"), ["_k1", "_k2"], "left")
+        .where(F.col("_doc") != F.coalesce("_hot", "_last"))
         .groupBy("_doc", "_sum")
         .agg(F.collect_set("_pos").alias("_drop"))
     )

@@ -313,7 +313,7 @@ _open: dict[str, Model] = {}
 def count(train: DataFrame) -> Model:
     """Count the texts of train and write the model to the shared folder."""
     spark, texts = train.sparkSession, train.select("text")
-    shards = 1 << max(4, texts.rdd.getNumPartitions().bit_length() - 1)
+    shards = 1 << max(4, (texts.rdd.getNumPartitions() - 1).bit_length())
     buckets = texts.mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     total = np.zeros(BUCKETS, dtype=np.int64)
     for r in buckets.toArrow().to_pylist():  # as many rows as buckets at most
@@ -339,7 +339,7 @@ def score(model: Model, docs: DataFrame, keep: list[str]) -> DataFrame:
             _open[model.uri] = model
         own = _open[model.uri]
         for batch in batches:
-            for a, b, data, offsets in K.chunks(batch.column("text"), 4 * K.CHUNK_BYTES):
+            for a, b, data, offsets in K.chunks(batch.column("text"), 2 * K.CHUNK_BYTES):
                 n, known, base, full = own.score(data, offsets)
                 cols = [pa.array(n), pa.array(known), pa.array(np.full(b - a, own.total)), pa.array(base), pa.array(full)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in keep], *cols], [*keep, *new.names])

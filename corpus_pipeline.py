@@ -26,7 +26,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model predicts as toxic go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return model.score(docs, docs.columns).where("predicted = 0").select(*docs.columns)
+    return model.score(docs).where("predicted = 0").select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

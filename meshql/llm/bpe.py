@@ -18,10 +18,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .shared import table
+from .textkit import tidy
 
 NAME = "word_bpe_49k.json"
-#: Words whose encoding a worker keeps; beyond it starts anew. Only speed depends on it.
-CACHE_WORDS = 600_000
+#: Words of each of two generations whose encoding a worker keeps. Only speed depends on it.
+CACHE_WORDS = 120_000
 
 
 def byte_letters() -> list[str]:
@@ -60,6 +61,7 @@ class WordBpe:
             self.parts.setdefault(made, (self.vocab[a], self.vocab[b]))
         self.fits: dict[int, bool] = {}
         self.seen: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
         # a token counts only if its own string is encoded as it: others can't occur in any encoding
         base = [self.vocab[c + e] for c in self.letters for e in ("", self.end)]
         self.alone = set(base)
@@ -135,9 +137,12 @@ class WordBpe:
         got = self.seen.get(word)
         if got is None:
             if len(self.seen) >= CACHE_WORDS:
-                self.seen.clear()
-            ids = self.encode_word(word)
-            got = self.seen[word] = (" ".join(map(str, ids)), len(ids), " ".join(self.strings[i] for i in ids))
+                self.seen, self.older = {}, self.seen
+            got = self.older.get(word)
+            if got is None:
+                ids = self.encode_word(word)
+                got = (" ".join(map(str, ids)), len(ids), " ".join([self.strings[i] for i in ids]))
+            self.seen[word] = got
         return got
 
     def digest(self, text: str) -> tuple[str, int, str]:
@@ -215,7 +220,7 @@ def bpe(docs: DataFrame, path: str | None = None, *, with_ids: bool = False) ->
                 cols += [pa.array([x[0] for x in raw], pa.list_(pa.int32())), pa.array([x[1] for x in raw], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *new])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,7 +117,7 @@ def _windows_of(df: DataFrame, id_column: str, size: int, plain: int, wanted: np
         for batch in batches:
             yield from _emit(batch, id_column, size, plain, wanted)
 
-    return df.select(F.col(id_column).cast("long").alias(id_column), "text").mapInArrow(run, SCHEMA)
+    return df.select(F.col(id_column).cast("long").alias(id_column), "text").mapInArrow(K.tidy(run), SCHEMA)
 
 
 def _lengths(df: DataFrame) -> DataFrame:

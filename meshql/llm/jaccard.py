@@ -94,7 +94,7 @@ def _sum_slices(group: pa.Table) -> pa.Table:
 def frequency_codes(texts: DataFrame, words: int) -> np.ndarray:
     """For each bucket of n-grams a code that grows with their count over all texts."""
     out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), dtype=np.uint8)
-    parts = texts.mapInArrow(_sketch(words), "shard int, blob binary").groupBy("shard").applyInArrow(_sum_slices, "shard int, blob binary")
+    parts = texts.mapInArrow(K.tidy(_sketch(words)), "shard int, blob binary").groupBy("shard").applyInArrow(_sum_slices, "shard int, blob binary")
     for s, blob in parts.collect():  # 64 rows of 16 kB
         out[s] = np.frombuffer(blob, dtype=np.uint8)
     return out.ravel()
@@ -308,7 +308,7 @@ def _texts(live: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     if live.count() <= BROADCAST_IDS:  # 16 bytes each
         ids = F.broadcast(ids)
     uri = new_folder(docs.sparkSession, "texts")
-    docs.join(ids, "doc").select("fp", "text").mapInArrow(run, "fp long, text string").write.parquet(uri)
+    docs.join(ids, "doc").select("fp", "text").mapInArrow(K.tidy(run), "fp long, text string").write.parquet(uri)
     return docs.sparkSession.read.parquet(uri)
 
 
@@ -337,9 +337,9 @@ def near_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(far)).alias("doc"), "text")
     texts_only = base.select("text")
     shards = 1 << max(5, texts_only.rdd.getNumPartitions().bit_length())
-    signed = cut(base.mapInArrow(_signatures(words), "doc long, n long, fp long"))
+    signed = cut(base.mapInArrow(K.tidy(_signatures(words)), "doc long, n long, fp long"))
     codes = docs.sparkSession.sparkContext.broadcast(frequency_codes(texts_only, words))
-    sent = texts_only.mapInArrow(_index(words, percent, codes, shards), "shard int, blob binary")
+    sent = texts_only.mapInArrow(K.tidy(_index(words, percent, codes, shards)), "shard int, blob binary")
     lists = cut(sent.groupBy("shard").applyInArrow(_lists(percent), LISTS))
 
     least = signed.where("n > 0").groupBy("fp").agg(F.min("doc").alias("doc"))

@@ -314,13 +314,13 @@ def count(train: DataFrame) -> Model:
     """Count the texts of train and write the model to the shared folder."""
     spark, texts = train.sparkSession, train.select("text")
     shards = 1 << max(4, (texts.rdd.getNumPartitions() - 1).bit_length())
-    buckets = texts.mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    buckets = texts.mapInArrow(K.tidy(_bucket_counts), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     total = np.zeros(BUCKETS, dtype=np.int64)
     for r in buckets.toArrow().to_pylist():  # as many rows as buckets at most
         total[r["bucket"]] = r["n"]
     hot = total * HOT_SHARE > total.sum()
     uri = new_folder(spark, "kneser-ney")
-    sent = texts.mapInArrow(_pairs(hot, shards), "shard int, blob binary")
+    sent = texts.mapInArrow(K.tidy(_pairs(hot, shards)), "shard int, blob binary")
     words = sent.groupBy("shard").applyInArrow(_pair_shards(uri, shards), "shard int, blob binary")
     stats = words.groupBy("shard").applyInArrow(_word_shards(uri), "stat array<long>").toArrow()["stat"]  # a row for each shard
     return Model(uri, shards, hot, np.array(stats.to_pylist(), dtype=np.int64).reshape(-1, 16).sum(axis=0))
@@ -344,7 +344,7 @@ def score(model: Model, docs: DataFrame, keep: list[str]) -> DataFrame:
                 cols = [pa.array(n), pa.array(known), pa.array(np.full(b - a, own.total)), pa.array(base), pa.array(full)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in keep], *cols], [*keep, *new.names])
 
-    return docs.select(*keep, "text").mapInArrow(run, StructType([*docs.select(*keep).schema.fields, *new.fields]))
+    return docs.select(*keep, "text").mapInArrow(K.tidy(run), StructType([*docs.select(*keep).schema.fields, *new.fields]))
 
 
 def perplexity(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,10 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3) -> D
     share a doc_id count as one document and are each treated by its keys; equal rows give equal rows. An empty table
     gives an empty table. Columns of docs named n_lines or n_dropped are replaced; others pass through.
     """
-    base = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(-(2**63))), "_sum": F.xxhash64(F.coalesce("text", F.lit("")))})
+    old = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    text = F.coalesce("text", F.lit(""))
+    # the row's own columns travel in a struct, so that their names can't clash with those used here
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in old if c != "text"]).alias("_row"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_doc"), F.xxhash64(text).alias("_sum"))
     lines = (
         base.select("_doc", "_sum", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("_pos", "_line"))
         .select("_doc", "_sum", "_pos", F.btrim(F.translate("_line", UPPER, LOWER), F.lit(STRIP)).alias("_key"))
@@ -46,14 +49,13 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3) -> D
         .agg(F.collect_set("_pos").alias("_drop"))
     )
     # the split stands below the join, so that the lines are an array at hand when they are picked by position
-    split = base.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)).drop("n_lines", "n_dropped", "text")
+    split = base.select("_row", "_doc", "_sum", F.split(text, "\n", -1).alias("_lines"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop")), lambda i: F.get("_lines", i))
-    out = split.join(drops, ["_doc", "_sum"], "left").select(
-        *[F.when(F.col("_drop").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("n_dropped"),
-    )
-    return out
+    whole = F.when(F.col("_drop").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(kept, "\n"))
+    return split.join(drops, ["_doc", "_sum"], "left").select(
+        *[whole.alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in old],
+        F.size("_lines").cast("long").alias("n_lines"), F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("n_dropped"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ def repetition(docs: DataFrame) -> DataFrame:
                 names = [x.split()[0] for x in SCHEMA.split(", ")]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(found[k]) for k in names)], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {SCHEMA}")
+    return docs.select("doc_id", "text").mapInArrow(K.tidy(run), f"doc_id long, {SCHEMA}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ contracts of the operators ask.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Texts are worked through in chunks of about so many bytes, which bounds the memory of the temporaries.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -69,6 +70,21 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64) * _GOLD)
 
 
+def tidy(run: Callable) -> Callable:
+    """A batch function that gives freed memory back to the system at its end; a worker outlives many stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def fold(data: np.ndarray) -> np.ndarray:
     """Lower-cased copy: A-Z and the Latin-1 capitals, whose UTF-8 is C3 80 to C3 9E."""
     out = LOWER[data]

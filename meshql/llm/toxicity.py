@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +25,11 @@ ORDER = 5
 #: Lengths in words of the windows whose best mean is a feature, besides the whole text's mean.
 WINDOWS = (1, 3, 10)
 #: Bound on the labelled documents of each class that the classifier is fitted on.
-MAX_DOCS_PER_CLASS = 4000
+MAX_DOCS_PER_CLASS = 2000
 #: predicted is 1 from this score on.
 THRESHOLD = 0.7
 #: Words whose ratio a worker keeps at hand, a power of two. Only speed depends on it.
-CACHE = 1 << 21
+CACHE = 1 << 20
 
 #: Letters are a-z, A-Z and all bytes of longer UTF-8 sequences; the rest parts words.
 NOT_LETTER = np.ones(256, dtype=bool)
@@ -82,7 +83,8 @@ class KneserNeyPair:
             safe = np.maximum(total, 1)
             gained.append(np.maximum(n - d, 0) / safe[first] if len(n) else n)
             weight.append(np.where(total > 0, d * kinds / safe, 1.0))
-        self.top = (grams, gained, contexts, weight)
+        slim = [x.astype(np.float32) for x in gained], [x.astype(np.float32) for x in weight]
+        self.top = (grams, slim[0], contexts, slim[1])
         # shared lower orders: in how many ways, over both classes, an n-gram is continued to the left
         self.lower = []
         for size in range(1, ORDER):
@@ -96,7 +98,8 @@ class KneserNeyPair:
             first[inv] = of
             d = _discount(n)
             total = np.bincount(first, n, len(ctx))
-            self.lower.append((keys, [np.maximum(n - d, 0) / total[first]] if len(n) else [n.astype(float)], ctx, [d * np.bincount(first, minlength=len(ctx)) / np.maximum(total, 1)]))
+            gain, back = np.maximum(n - d, 0) / np.maximum(total, 1)[first], d * np.bincount(first, minlength=len(ctx)) / np.maximum(total, 1)
+            self.lower.append((keys, [gain.astype(np.float32)], ctx, [back.astype(np.float32)]))
 
     def ratios(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of marked words."""
@@ -187,6 +190,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _featured(pair: KneserNeyPair, docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns `keep` and the features of docs, whose texts are a column or a field of the struct row."""
     from pyspark.sql.types import StructType
 
     names = [f"_x{i}" for i in range(1 + len(WINDOWS))]
@@ -196,24 +200,26 @@ def _featured(pair: KneserNeyPair, docs: DataFrame, keep: list[str]) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            for a, b, data, offsets in K.chunks(batch.column("text")):
+            text = batch.column("text") if "text" in batch.schema.names else pc.struct_field(batch.column("row"), "text")
+            for a, b, data, offsets in K.chunks(text):
                 x = scorer.features(data, offsets)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in keep], *map(pa.array, x.T)], [*keep, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(K.tidy(run), schema)
 
 
 class ToxicityModel:
     def __init__(self, pair: KneserNeyPair, logistic: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
         self.pair, self.logistic = pair, logistic
 
-    def score(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """Columns `keep` of docs, and score double (0 to 1), predicted int."""
+    def score(self, docs: DataFrame) -> DataFrame:
+        """(row struct of all columns of docs, score double from 0 to 1, predicted int)."""
         w, mean, scale = self.logistic
         z = F.lit(float(w[-1] - (w[:-1] * mean / scale).sum()))
         for i in range(len(w) - 1):
             z = z + F.lit(float(w[i] / scale[i])) * F.col(f"_x{i}")
-        scored = _featured(self.pair, docs, keep).select(*keep, (1 / (1 + F.exp(-z))).alias("score"))
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        scored = _featured(self.pair, rows, ["row"]).select("row", (1 / (1 + F.exp(-z))).alias("score"))
         return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
@@ -229,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs_per_class: int = MAX_DOCS_P
     sample = picked[0].unionByName(picked[1])
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("_fit", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) > 0)
     counts = (
-        rows.where("_fit").select("toxic", "text").mapInArrow(_words, "word binary, n0 long, n1 long")
+        rows.where("_fit").select("toxic", "text").mapInArrow(K.tidy(_words), "word binary, n0 long, n1 long")
         .groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     )
     n = np.column_stack([counts[c].to_numpy() for c in ("n0", "n1")]).astype(float)
@@ -258,7 +264,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labelled; its held_out is that of an empty text. Repeated rows each have a row. No rows give no rows; other columns
     than doc_id and text are never looked at.
     """
-    scored = train(docs, labels).score(docs.select("doc_id", "text"), ["doc_id"])
+    scored = train(docs, labels).score(docs.select("doc_id", "text")).select("row.doc_id", "score", "predicted")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 

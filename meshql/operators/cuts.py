@@ -171,4 +171,4 @@ def map_by_nearest(cuts: DataFrame, source: DataFrame, target: DataFrame) -> Dat
     """Cuts carried to another surface's nearest vertices: an approximation of a registration by an outside tool, which isn't claimed to be equal."""
     placed = source.join(cuts.select(*KEY, "vid").distinct(), [*KEY, "vid"], "left_semi")
     near = nearest(placed, target)
-    return cuts.join(near.select(*KEY, "vid", "near"), [*KEY, "vid"]).select(*KEY, "name", F.col("near").alias("vid"), "ord").dropDuplicates([*KEY, "name", "vid"])
+    return cuts.join(near.select(*KEY, "vid", "near"), [*KEY, "vid"]).groupBy(*KEY, "name", F.col("near").alias("vid")).agg(F.min("ord").alias("ord"))

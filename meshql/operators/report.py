@@ -41,13 +41,13 @@ def flatmap_report(vertices: DataFrame, uv: DataFrame, faces: DataFrame, kring:
 
 
 def method_rings(method: str, faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Ring distances for a report: `fast` 2 rings whole, `pyflatten` 7 rings of 12 samples."""
+    """Ring distances for a report: `fast` 2 rings whole, `sampled` 7 rings of 12 samples."""
+    if method not in ("fast", "sampled"):
+        raise ValueError(f"no method {method!r}")
     adj = mesh.mesh_graph(faces, vertices)
     if method == "fast":
         return rings.geodesics(adj, 2)
-    if method == "pyflatten":
-        return rings.sampled_rings(adj, vertices, metrics.vertex_normals(faces, vertices), 7, 12)
-    raise ValueError(f"no method {method!r}")
+    return rings.sampled_rings(adj, vertices, metrics.vertex_normals(faces, vertices), 7, 12)
 
 
 def rotation(elevation: float, azimuth: float) -> list[list[float]]:

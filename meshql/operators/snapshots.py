@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..schema import KEY
 
 REQUIRED = ("step", "uv")
-BY_STEP = Window.partitionBy(*KEY).orderBy("step")
+
+
+def by_step() -> WindowSpec:
+    return Window.partitionBy(*KEY).orderBy("step")
 
 
 def check(snapshots: DataFrame) -> DataFrame:
@@ -24,7 +27,7 @@ def every_nth(snapshots: DataFrame, n: int) -> DataFrame:
 
 def sampled(snapshots: DataFrame, frames: int) -> DataFrame:
     """Evenly spaced snapshots by rank, first and last among them; halves round to even, places that coincide count once."""
-    ranked = snapshots.withColumns({"_i": F.row_number().over(BY_STEP) - 1, "_n": F.count("*").over(Window.partitionBy(*KEY))})
+    ranked = snapshots.withColumns({"_i": F.row_number().over(by_step()) - 1, "_n": F.count("*").over(Window.partitionBy(*KEY))})
     if frames == 1:
         return ranked.where("_i = 0").drop("_i", "_n")
     last = F.col("_n") - 1
@@ -38,8 +41,8 @@ def sampled(snapshots: DataFrame, frames: int) -> DataFrame:
 
 def with_holds(frames: DataFrame, fps: float, start: float, transition: float, end: float) -> DataFrame:
     """Frames with repeats: of the first, of each one before another phase, and of the last. frame_idx counts from 0."""
-    first, last = F.row_number().over(BY_STEP) == 1, F.lead("step").over(BY_STEP).isNull()
-    nxt = F.lead("phase").over(BY_STEP)
+    first, last = F.row_number().over(by_step()) == 1, F.lead("step").over(by_step()).isNull()
+    nxt = F.lead("phase").over(by_step())
     turns = (F.col("phase") != "") & (nxt != "") & (F.col("phase") != nxt)
     times = 1 + F.when(first, max(0, int(start * fps))).otherwise(0) + F.when(F.coalesce(turns, F.lit(False)), max(0, int(transition * fps))).otherwise(0) + F.when(last, max(0, int(end * fps))).otherwise(0)
     many = frames.withColumn("_times", times).withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_times"))))
@@ -66,4 +69,4 @@ def energy_changes(snapshots: DataFrame) -> DataFrame:
     total = F.col("j_d") + F.col("j_a")
     phase = Window.partitionBy(*KEY, "phase").orderBy("step")
     before = F.lag(total).over(phase)
-    return snapshots.select(*KEY, "step", "phase", total.alias("energy"), F.when(before > 0, (before - total) / before).alias("rel_change"), F.min("n_flipped").over(BY_STEP.rowsBetween(Window.unboundedPreceding, 0)).alias("best_flipped"))
+    return snapshots.select(*KEY, "step", "phase", total.alias("energy"), F.when(before > 0, (before - total) / before).alias("rel_change"), F.min("n_flipped").over(by_step().rowsBetween(Window.unboundedPreceding, 0)).alias("best_flipped"))

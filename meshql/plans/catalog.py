@@ -15,6 +15,7 @@ from ..config import FlattenConfig, FinalNegativeAreaRemoval, NegativeAreaRemova
 from ..operators import cuts, energy, flatten, mesh, metrics, report, rings, snapshots, template, topology
 from ..schema import KEY
 from ..sources import files
+from ..streaming import telemetry
 from .meshgen import Mesh, mesh_sql, table_mesh
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -513,7 +514,6 @@ def placed(m: Mesh, members: DataFrame) -> DataFrame:
     return m.vertices.join(members, [*KEY, "vid"], "left_semi")
 
 
-RIM_SQL = "(SELECT o.* FROM p o WHERE vid IN (SELECT unnest([u, v]) FROM e WHERE n_faces = 1))"
 GAP = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
 
 
@@ -585,6 +585,13 @@ def isolated_region_absorb(m: Mesh) -> DataFrame:
     return cuts.absorb(graph(m), m.vertices, diagonal, m.wall).select(*KEY, "vid")
 
 
+@query(f"SELECT 'calcarine' AS name, b.vid, CAST(min(a.ix) AS INTEGER) AS ord FROM p a, p b WHERE a.vid IN (SELECT vid FROM cutline) AND b.vid = (SELECT c.vid FROM p c WHERE c.ix % 2 = 0 ORDER BY (a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y) + (a.z - c.z) * (a.z - c.z), c.vid LIMIT 1) GROUP BY b.vid", source="customer")
+def cuts_by_nearest(m: Mesh) -> DataFrame:
+    """Cuts carried to a coarser surface: every second column of vertices."""
+    own = m.points.join(m.cut, [*KEY, "vid"], "left_semi").select(*KEY, F.lit("calcarine").alias("name"), "vid", F.col("ix").cast("int").alias("ord"))
+    return cuts.map_by_nearest(own, m.vertices, placed(m, m.points.where("ix % 2 = 0")))
+
+
 @query(source="customer")
 def merge_small_components(m: Mesh) -> DataFrame:
     own = island_parts(m)
@@ -680,6 +687,11 @@ def best_so_far(m: Mesh) -> DataFrame:
     return snapshots.energy_changes(trail(m)).select(*KEY, "step", "best_flipped")
 
 
+@query(TRAIL + " SELECT phase, count(*) AS steps, round(min(j_d + j_a), 6) AS lowest, min(n_flipped) AS fewest_flipped, max(step) AS last_step FROM tr GROUP BY phase")
+def snapshot_progress(m: Mesh) -> DataFrame:
+    return telemetry.progress(trail(m))
+
+
 # --- report tables -----------------------------------------------------------------------------------------------------------
 
 
@@ -739,6 +751,11 @@ def patch_roundtrip(m: Mesh) -> DataFrame:
     return files.decode_patches(files.encode_patches(mesh.build_patch(m.vertices, m.faces, excluded(m))))
 
 
+@query("SELECT vid, round(CAST(value AS FLOAT)::DOUBLE, 3) AS value FROM p", digits=3)
+def curvature_roundtrip(m: Mesh) -> DataFrame:
+    return files.decode_curvatures(files.encode_curvatures(m.points.select(*KEY, "vid", "value")))
+
+
 @query("SELECT vid FROM wall")
 def label_roundtrip(m: Mesh) -> DataFrame:
     return files.parse_labels(files.label_lines(m.wall, m.vertices))

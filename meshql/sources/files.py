@@ -133,6 +133,23 @@ def decode_patches(files: DataFrame) -> DataFrame:
     return files.groupBy(*KEY).applyInPandas(run, SCHEMAS["patch"])
 
 
+def encode_curvatures(curvature: DataFrame) -> DataFrame:
+    """subject, hemi, content; vertices must be dense from 0."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"subject": [pdf["subject"].iloc[0]], "hemi": [pdf["hemi"].iloc[0]], "content": [binary.write_curvature(pdf.sort_values("vid")["value"].to_numpy())]})
+
+    return curvature.groupBy(*KEY).applyInPandas(run, "subject string, hemi string, content binary")
+
+
+def decode_curvatures(contents: DataFrame) -> DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = binary.read_curvature(bytes(pdf["content"].iloc[0]))
+        return pd.DataFrame({"subject": pdf["subject"].iloc[0], "hemi": pdf["hemi"].iloc[0], "vid": np.arange(len(values)), "value": values})
+
+    return contents.groupBy(*KEY).applyInPandas(run, SCHEMAS["morph"])
+
+
 # --- text formats -----------------------------------------------------------------------------------------------------
 
 
@@ -209,6 +226,14 @@ def base_surface(paths: list[str], patch: str, order: tuple[str, ...] = BASE_SUR
     return next((p for s in order if (p := f"{folder}/{name[:3]}{s}") in there), None)
 
 
+def detect_curvature(paths: list[str], surf: str, hint: str, tops: dict[str, int], top: int) -> str | None:
+    """Of the listed files the curvature that a patch with ids up to `top` goes with: that of the hemisphere in the hint's name, else lh, else rh; files whose last vertex (tops) is below are passed over."""
+    name = hint.rpartition("/")[2]
+    hemis = [h for h in ("lh", "rh") if name.startswith(f"{h}.")] or ["lh", "rh"]
+    found = [f"{surf}/{h}.curv" for h in hemis]
+    return next((p for p in found if p in paths and tops.get(p, -1) >= top), None)
+
+
 def complete_subjects(files: DataFrame, pattern: str = r"^(lh|rh)\..*flat.*\.3d$") -> DataFrame:
     """subject of those files (column path) that have a flat patch of both hemispheres."""
     subject, hemi = path_key(F.col("path"))

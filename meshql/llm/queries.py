@@ -20,4 +20,5 @@ ORACLE_SQL = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op5_jaccard_join": jaccard.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
+    "op8_repetition": repetition.ORACLE,
 }

@@ -84,3 +84,31 @@ def repetition(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    """DuckDB SQL for the query's rows: words and lines by position, windows as joined words, covered places counted once."""
+    space = r"[\x20\x09-\x0D]"
+    covers = "".join(
+        f""",
+g{n} AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS k, count(*) OVER (PARTITION BY doc_id, g) AS c
+  FROM (SELECT doc_id, i, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS g FROM e) WHERE i + {n - 1} <= n),
+d{n} AS (SELECT e.doc_id, {'count(*)' if n == 3 else 'sum(length(e.word))'} AS v FROM e JOIN (SELECT DISTINCT doc_id, i + unnest(range({n})) AS p FROM g{n} WHERE {'c' if n == 3 else 'k'} > 1) x ON x.doc_id = e.doc_id AND x.p = e.i GROUP BY e.doc_id)"""
+        for n in (3, *NGRAM_LIMITS)
+    )
+    joins = "".join(f" LEFT JOIN d{n} ON d{n}.doc_id = w.doc_id" for n in (3, *NGRAM_LIMITS))
+    chars = ", ".join(f"coalesce(d{n}.v, 0)::BIGINT AS dup_chars_{n}" for n in NGRAM_LIMITS)
+    limits = " AND ".join(f"100 * dup_chars_{n} <= {limit} * word_chars" for n, limit in NGRAM_LIMITS.items())
+    return f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, [x FOR x IN string_split_regex(coalesce(text, ''), '{space}+') IF x <> ''] AS ws FROM documents),
+e AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n FROM w),
+l AS (SELECT doc_id, ls[j] AS line, row_number() OVER (PARTITION BY doc_id, ls[j] ORDER BY j) AS k FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS j FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM w)) WHERE regexp_matches(ls[j], '[^\\x20\\x09-\\x0D]')),
+dl AS (SELECT doc_id, count(*) FILTER (k > 1) AS n, coalesce(sum(length(line)) FILTER (k > 1), 0) AS c, sum(length(line)) AS a FROM l GROUP BY doc_id){covers},
+r AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dl.n, 0)::BIGINT AS n_dup_lines,
+  coalesce(d3.v, 0)::BIGINT AS n_repeat_words, coalesce(dl.c, 0)::BIGINT AS dup_line_chars, coalesce(dl.a, 0) AS line_chars, {chars} FROM w LEFT JOIN dl ON dl.doc_id = w.doc_id{joins})
+SELECT * EXCLUDE (line_chars), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * dup_line_chars <= {LINE_CHARS_LIMIT} * line_chars AND {limits} AS kept FROM r
+"""
+
+
+ORACLE = _oracle()

@@ -163,3 +163,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, plai
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE = rf"""
+WITH src AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+raw AS (SELECT kind, id, unnest(ws) AS word, unnest(range(len(ws))) AS j FROM (SELECT kind, id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM src)),
+st AS (SELECT kind, id, j, regexp_replace(regexp_replace(word, '^[\x00-/:-@\[-`{{-\x7F]+', ''), '[\x00-/:-@\[-`{{-\x7F]+$', '') AS word FROM raw),
+k AS (SELECT kind, id, row_number() OVER (PARTITION BY kind, id ORDER BY j) - 1 AS i, word FROM st WHERE word <> ''),
+c AS (SELECT *, regexp_full_match(word, '[0-9][0-9.,:/-]*') AS num, regexp_matches(word, '^[A-ZÀ-ÖØ-Þ]') AS name, lower(word) AS low FROM k),
+u AS (SELECT *, coalesce(lag(num) OVER (PARTITION BY kind, id ORDER BY i), false) AND low IN ({", ".join(f"'{x}'" for x in UNITS)}) AS unit FROM c),
+t AS (SELECT kind, id, i, low, CASE WHEN num THEN '<n>' WHEN unit THEN '<u>' WHEN name THEN '<c>' ELSE low END AS tok, num OR unit OR name AS slot FROM u),
+w AS (SELECT kind, id, i, string_agg(tok, ' ') OVER f AS g, sum(slot::INT) OVER f AS s, list(low) OVER f AS lows, list(slot) OVER f AS slots, count(*) OVER f AS n FROM t
+  WINDOW f AS (PARTITION BY kind, id ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+m AS (SELECT d.id AS doc_id, b.id AS item_id, b.i AS place, d.i - b.i AS shift, b.lows AS bl, d.lows AS dl, b.slots AS sl FROM w d JOIN w b ON d.g = b.g WHERE d.kind = 'd' AND b.kind = 'b' AND d.n = {WINDOW} AND b.n = {WINDOW} AND b.s <= {WINDOW - PLAIN}),
+p AS (SELECT DISTINCT doc_id, item_id, shift, bl[x] AS iv, dl[x] AS dv FROM (SELECT *, unnest(range(1, {WINDOW + 1})) AS x FROM m) WHERE sl[x]),
+bad AS (SELECT doc_id, item_id, shift FROM p GROUP BY ALL HAVING count(*) <> count(DISTINCT iv) OR count(*) <> count(DISTINCT dv)),
+good AS (SELECT m.* FROM m ANTI JOIN bad USING (doc_id, item_id, shift)),
+cov AS (SELECT doc_id, item_id, count(DISTINCT spot) AS n_covered FROM (SELECT doc_id, item_id, place + unnest(range({WINDOW})) AS spot FROM good) GROUP BY 1, 2),
+turned AS (SELECT DISTINCT doc_id, item_id FROM p SEMI JOIN good USING (doc_id, item_id, shift) WHERE iv <> dv),
+size AS (SELECT id AS item_id, count(*) AS n_tokens FROM k WHERE kind = 'b' GROUP BY id)
+SELECT cov.doc_id, cov.item_id, n_tokens, n_covered, turned.doc_id IS NULL AS same FROM cov JOIN size ON size.item_id = cov.item_id LEFT JOIN turned ON turned.doc_id = cov.doc_id AND turned.item_id = cov.item_id WHERE 100 * n_covered >= {COVER} * n_tokens
+"""

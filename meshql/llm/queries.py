@@ -18,6 +18,7 @@ QUERIES = {
 #: The others have no SQL: they are tested against brute force.
 ORACLE_SQL = {
     "op2_line_dedup": line_dedup.ORACLE,
+    "op4_decontaminate": decontaminate.ORACLE,
     "op5_jaccard_join": jaccard.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
     "op8_repetition": repetition.ORACLE,

@@ -99,6 +99,25 @@ def rings(adj: Adjacency, source: int, k: int) -> dict[int, int]:
     return hop
 
 
+def ring_pairs(pairs: np.ndarray, sources: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(source, vertex, hops) of everything up to k hops from the sources, all sources stepping at once. pairs: edges both ways, sorted by their first end."""
+    first = np.searchsorted(pairs[:, 0], np.arange(pairs[:, 0].max() + 2 if len(pairs) else 1))
+    degree, width = np.diff(first), len(first)
+    src = dst = sources[sources < len(degree)]
+    seen, out = np.sort(src * width + dst), []
+    for hop in range(1, k + 1):
+        n = degree[dst]
+        at = np.repeat(first[dst] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        key = np.unique(np.repeat(src, n) * width + pairs[at, 1])
+        spot = np.searchsorted(seen, key)
+        spot[spot == len(seen)] = 0
+        key = key[seen[spot] != key] if len(seen) else key
+        src, dst = key // width, key % width
+        out.append((src, dst, np.full(len(key), hop)))
+        seen = np.union1d(seen, key)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def distances(adj: Adjacency, source: int, targets: set[int]) -> dict[int, float]:
     """Shortest path lengths to the targets over the whole graph; stops when all are settled. Those out of reach are left out."""
     best, done, left = {source: 0.0}, set(), set(targets)

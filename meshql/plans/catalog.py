@@ -307,7 +307,7 @@ def ring_sql(k: int) -> str:
 
 @query(ring_sql(3) + " SELECT hop, count(*) AS n_pairs FROM s3 GROUP BY hop")
 def kring_counts(m: Mesh) -> DataFrame:
-    return rings.ring_counts(rings.krings(graph(m), 3))
+    return rings.ring_counts(rings.block_rings(graph(m), 3))
 
 
 @query(ring_sql(2) + " SELECT src, dst, hop FROM s2", source="customer")
@@ -315,9 +315,14 @@ def kring_pairs(m: Mesh) -> DataFrame:
     return rings.krings(graph(m), 2)
 
 
+@query(ring_sql(2) + " SELECT src, dst, hop FROM s2", source="part")
+def kring_pairs_by_blocks(m: Mesh) -> DataFrame:
+    return rings.block_rings(graph(m), 2)
+
+
 @query(ring_sql(2) + " SELECT round(avg(n), 6) AS avg_neighbours FROM (SELECT count(*) AS n FROM s2 GROUP BY src)")
 def average_neighbours(m: Mesh) -> DataFrame:
-    return rings.average_neighbours(rings.krings(graph(m), 2))
+    return rings.average_neighbours(rings.block_rings(graph(m), 2))
 
 
 WALKS = ring_sql(2) + """, walk(src, dst, d, n) AS (SELECT src, dst, w, 1 FROM adj UNION ALL

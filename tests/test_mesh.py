@@ -132,6 +132,7 @@ def test_rings_and_geodesics_leave_the_ring(spark):
     pairs = {(r["src"], r["dst"]): r["hop"] for r in rings.krings(adj, 2).collect()}
     assert {k: h for k, (h, _) in got.items()} == pairs
     assert all(abs(d * metrics.CORRECTION - brute_distances(near, s)[t]) < 1e-9 for (s, t), (_, d) in got.items())
+    assert {(r["src"], r["dst"]): r["hop"] for r in rings.block_rings(adj, 2).collect()} == pairs
     walk = {(r["src"], r["dst"]): r["dist"] for r in rings.relaxed_distances(adj, rings.krings(adj, 2), 2).collect()}
     assert any(walk[k] > got[k][1] + 1e-9 for k in got)
     quad = mesh.mesh_graph(faces(spark, QUAD_FACES), points(spark, QUAD))

@@ -491,7 +491,7 @@ def gradient_summary(m: Mesh) -> DataFrame:
 STEPS = [10.0 ** (k / 4 - 2.5) for k in range(15)]
 
 
-@query(GRADIENT + f""", way AS (SELECT vid, u, v, -gu / l AS du, -gv / l AS dv FROM g, (SELECT sqrt(sum(gu * gu + gv * gv)) AS l FROM g)), st AS (SELECT i, s FROM (SELECT unnest(range({len(STEPS)})) AS i, unnest({STEPS!r}) AS s)),
+@query(GRADIENT + f""", way AS (SELECT vid, u, v, -gu / l AS du, -gv / l AS dv FROM g, (SELECT sqrt(sum(gu * gu + gv * gv)) AS l FROM g)), st AS (SELECT i, s FROM (SELECT unnest(range({len(STEPS)})) AS i, unnest({STEPS!r}::DOUBLE[]) AS s)),
 ld AS (SELECT i, sum((l - dist) * (l - dist)) AS d FROM (SELECT i, dist, sqrt((y.u - x.u + s * (y.du - x.du)) * (y.u - x.u + s * (y.du - x.du)) + (y.v - x.v + s * (y.dv - x.dv)) * (y.v - x.v + s * (y.dv - x.dv)) + 1e-12) AS l FROM k1 JOIN way x ON x.vid = src JOIN way y ON y.vid = dst, st) GROUP BY i),
 la AS (SELECT i, sum(({SOFTPLUS}) / 10 - a) AS e FROM (SELECT i, least(greatest(0.5 * ((u1 - u0) * (v2 - v0) - (u2 - u0) * (v1 - v0)), -40), 40) AS a FROM
   (SELECT i, x.u + s * x.du AS u0, x.v + s * x.dv AS v0, y.u + s * y.du AS u1, y.v + s * y.dv AS v1, z.u + s * z.du AS u2, z.v + s * z.dv AS v2 FROM f JOIN way x ON x.vid = a JOIN way y ON y.vid = b JOIN way z ON z.vid = c, st)) GROUP BY i)

@@ -24,8 +24,8 @@ from .shared import crc, table
 ORDER = 5
 #: Lengths in words of the windows whose best mean is a feature, besides the whole text's mean.
 WINDOWS = (1, 3, 10)
-#: Bound on the labelled documents of each class that the classifier is fitted on.
-MAX_DOCS_PER_CLASS = 2000
+#: Bounds on the labelled ordinary and toxic documents that the classifier is fitted on.
+MAX_DOCS = (4000, 2000)
 #: predicted is 1 from this score on.
 THRESHOLD = 0.7
 #: Words whose ratio a worker keeps at hand, a power of two. Only speed depends on it.
@@ -223,15 +223,15 @@ class ToxicityModel:
         return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs_per_class: int = MAX_DOCS_PER_CLASS) -> ToxicityModel:
-    """Fit on at most max_docs_per_class documents of each class, those first by a hash of doc_id, with whole texts.
+def fit(docs: DataFrame, labels: DataFrame, max_docs: tuple[int, int] = MAX_DOCS) -> ToxicityModel:
+    """Fit on at most max_docs documents of either class, those first by a hash of doc_id, with whole texts.
 
     Four fifths of them give the n-gram counts, the others the logistic curve. Labels that are null are left out; of
     several labels of one doc_id the largest holds. Without documents of both classes every score is 0.5.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
-    picked = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(max_docs_per_class) for k in (0, 1)]
+    picked = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(max_docs[k]) for k in (0, 1)]
     sample = picked[0].unionByName(picked[1])
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("_fit", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) > 0)
     counts = (

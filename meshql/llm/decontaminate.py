@@ -2,7 +2,9 @@
 
 Numbers, names and units become typed placeholders; windows of the canonical tokens of documents and of benchmark items are
 joined by hash; along each alignment of a document with an item the values that stand in the same slots must correspond one to
-one. So a passage is found as it is, and also with other numbers, names or units put in.
+one. So a passage is found as it is, and also with other numbers, names or units put in. Windows of the folded words themselves
+are joined too, whatever their slots: a capital isn't evidence of a name where all words have one. In passages of capitals alone
+names can't be told from other words, so that windows that hold another name aren't found there.
 """
 
 from __future__ import annotations
@@ -86,24 +88,30 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, plain, number | unit | name, bounds
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, size: int, plain: int) -> tuple[np.ndarray, ...]:
-    """(row, place in the row, hash, words of the window's slots (n, size), which of them are slots (n, size))."""
+def windows(data: np.ndarray, offsets: np.ndarray, size: int, plain: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(row, place in the row, hash, words of the window's slots (n, size), which of them are slots (n, size)), of wanted hashes only if given.
+
+    Each window is given with the hash of its folded words and no slots. One with slots and enough plain words is given again with its canonical hash.
+    """
     tokens, words, slots, bounds = canonical(data, offsets)
-    keys, at = K.ngram_hashes(tokens, bounds, size)
+    keys, at = K.ngram_hashes(words, bounds, size)
+    canon, _ = K.ngram_hashes(tokens, bounds, size)
     filled = np.concatenate([[0], np.cumsum(slots)])
-    few = filled[at + size] - filled[at] <= size - plain
-    keys, at = keys[few], at[few]
+    filled = filled[at + size] - filled[at]
+    few = (filled > 0) & (filled <= size - plain)
+    as_is = np.arange(len(at) + int(few.sum())) < len(at)
+    keys, at = np.concatenate([keys, canon[few]]), np.concatenate([at, at[few]])
+    if wanted is not None:
+        hit = _within(wanted, keys)
+        keys, at, as_is = keys[hit], at[hit], as_is[hit]
     rows = K.rows_of(at, bounds)
     near = at[:, None] + np.arange(size)
-    return rows, at - bounds[rows], keys, words[near], slots[near]
+    return rows, at - bounds[rows], keys, words[near], slots[near] & ~as_is[:, None]
 
 
 def _emit(batch: pa.RecordBatch, id_column: str, size: int, plain: int, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     for a, b, data, offsets in K.chunks(batch.column("text")):
-        rows, place, keys, words, slots = windows(data, offsets, size, plain)
-        if wanted is not None:
-            hit = _within(wanted, keys)
-            rows, place, keys, words, slots = rows[hit], place[hit], keys[hit], words[hit], slots[hit]
+        rows, place, keys, words, slots = windows(data, offsets, size, plain, wanted)
         each = np.concatenate([[0], np.cumsum(slots.sum(axis=1))]).astype(np.int32)
         fill = pa.ListArray.from_arrays(pa.array(each), pa.array(words[slots].view(np.int64)))
         yield pa.RecordBatch.from_arrays([batch.column(id_column).slice(a, b - a).take(pa.array(rows)), pa.array(place.astype(np.int32)), pa.array(keys.view(np.int64)), fill], ["id", "place", "key", "slots"])
@@ -132,7 +140,7 @@ def _lengths(df: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, plain: int = PLAIN, cover: int = COVER, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, item_id, n_tokens, n_covered, same) of every document that holds a benchmark item.
 
-    n_tokens: the item's tokens; n_covered: those inside consistent matched windows, at least `cover` hundredths of them;
+    n_tokens: the item's tokens; n_covered: those inside matched windows of consistent alignments, at least `cover` hundredths of them;
     same: whether all slots have the item's own values. Null and empty texts, and texts under one window, match nothing;
     rows with a null doc_id or item_id are left out. Rows that share a doc_id count as one document, those that share an item_id as one item, with
     the longest row's token count. No documents or no items give no rows. Other columns are left out.

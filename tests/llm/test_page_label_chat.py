@@ -179,6 +179,15 @@ def test_decontamination_by_hand(spark):
     assert {tuple(r)[:4] for r in got} == want and all(r["same"] for r in got) and want
 
 
+def test_decontamination_other_case(spark):
+    near = ITEM.replace("walks", "WALKS")
+    docs = [(1, FILL + ITEM.upper()), (2, ITEM.title() + " " + FILL), (3, ITEM.lower()), (4, FILL.upper()), (5, near)]
+    got = {r["doc_id"]: r for r in decontaminate.matches(frame(spark, docs, "doc_id long, text string"), frame(spark, [(100, ITEM)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3, 5} and all(r["n_covered"] == r["n_tokens"] and r["same"] for r in got.values())
+    back = decontaminate.matches(frame(spark, [(1, ITEM)], "doc_id long, text string"), frame(spark, [(100, ITEM.upper())], "item_id long, text string"), broadcast_windows=-1).collect()
+    assert [tuple(r) for r in back] == [(1, 100, len(ITEM.split()), len(ITEM.split()), True)]
+
+
 # --- chats ---------------------------------------------------------------------------------------------------------------------------
 
 

@@ -88,12 +88,13 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, plain, number | unit | name, bounds
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, size: int, plain: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def windows(found: tuple[np.ndarray, ...], size: int, plain: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(row, place in the row, hash, words of the window's slots (n, size), which of them are slots (n, size)), of wanted hashes only if given.
 
-    Each window is given with the hash of its folded words and no slots. One with slots and enough plain words is given again with its canonical hash.
+    Each window of a chunk's canonical tokens is given with the hash of its folded words and no slots. One with slots and enough plain words is given
+    again with its canonical hash.
     """
-    tokens, words, slots, bounds = canonical(data, offsets)
+    tokens, words, slots, bounds = found
     keys, at = K.ngram_hashes(words, bounds, size)
     canon, _ = K.ngram_hashes(tokens, bounds, size)
     filled = np.concatenate([[0], np.cumsum(slots)])
@@ -109,21 +110,32 @@ def windows(data: np.ndarray, offsets: np.ndarray, size: int, plain: int, wanted
     return rows, at - bounds[rows], keys, words[near], slots[near] & ~as_is[:, None]
 
 
-def _emit(batch: pa.RecordBatch, id_column: str, size: int, plain: int, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _emit(batch: pa.RecordBatch, id_column: str, size: int, plain: int, wanted: np.ndarray | None, short: list[int] | None) -> Iterator[pa.RecordBatch]:
     for a, b, data, offsets in K.chunks(batch.column("text")):
-        rows, place, keys, words, slots = windows(data, offsets, size, plain, wanted)
-        each = np.concatenate([[0], np.cumsum(slots.sum(axis=1))]).astype(np.int32)
-        fill = pa.ListArray.from_arrays(pa.array(each), pa.array(words[slots].view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(id_column).slice(a, b - a).take(pa.array(rows)), pa.array(place.astype(np.int32)), pa.array(keys.view(np.int64)), fill], ["id", "place", "key", "slots"])
+        found = canonical(data, offsets)
+        n_tokens = np.diff(found[3])
+        for n in [size, *(range(1, size) if short is None else short)]:
+            if short is None and n < size and not (n_tokens == n).any():
+                continue
+            rows, place, keys, words, slots = windows(found, n, plain, wanted)
+            if short is None and n < size:
+                whole = n_tokens[rows] == n
+                rows, place, keys, words, slots = rows[whole], place[whole], keys[whole], words[whole], slots[whole]
+            each = np.concatenate([[0], np.cumsum(slots.sum(axis=1))]).astype(np.int32)
+            fill = pa.ListArray.from_arrays(pa.array(each), pa.array(words[slots].view(np.int64)))
+            ids = batch.column(id_column).slice(a, b - a).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(place.astype(np.int32)), pa.array(np.full(len(rows), n, dtype=np.int32)), pa.array(keys.view(np.int64)), fill], ["id", "place", "size", "key", "slots"])
 
 
-SCHEMA = "id long, place int, key long, slots array<long>"
+SCHEMA = "id long, place int, size int, key long, slots array<long>"
 
 
-def _windows_of(df: DataFrame, id_column: str, size: int, plain: int, wanted: np.ndarray | None = None) -> DataFrame:
+def _windows_of(df: DataFrame, id_column: str, size: int, plain: int, wanted: np.ndarray | None = None, short: list[int] | None = None) -> DataFrame:
+    """Windows of `size` tokens, and of the lengths in short; without short, rows under one window as one window of their own length."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from _emit(batch, id_column, size, plain, wanted)
+            yield from _emit(batch, id_column, size, plain, wanted, short)
 
     return df.select(F.col(id_column).cast("long").alias(id_column), "text").mapInArrow(K.tidy(run), SCHEMA)
 
@@ -141,7 +153,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, plai
     """(doc_id, item_id, n_tokens, n_covered, same) of every document that holds a benchmark item.
 
     n_tokens: the item's tokens; n_covered: those inside matched windows of consistent alignments, at least `cover` hundredths of them;
-    same: whether all slots have the item's own values. Null and empty texts, and texts under one window, match nothing;
+    same: whether all slots have the item's own values. An item under one window is one window of its own length, so that an item of one word is
+    found wherever that word is; with other values it is found only if `plain` of its tokens are plain words. Null and empty texts match nothing;
     rows with a null doc_id or item_id are left out. Rows that share a doc_id count as one document, those that share an item_id as one item, with
     the longest row's token count. No documents or no items give no rows. Other columns are left out.
     """
@@ -152,20 +165,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, plai
     if n <= broadcast_windows:  # 8 bytes each; a larger benchmark is joined with all windows of the documents
         wanted = np.unique(items.select("key").toArrow()["key"].to_numpy()).view(np.uint64)
         wanted = np.sort(wanted)
-    found = _windows_of(docs, "doc_id", window, plain, wanted)
-    items = items.select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "key", F.col("slots").alias("item_slots"))
+    lengths = _lengths(benchmark)
+    short = sorted(r["n_tokens"] for r in lengths.where((F.col("n_tokens") > 0) & (F.col("n_tokens") < window)).select("n_tokens").distinct().collect())
+    found = _windows_of(docs, "doc_id", window, plain, wanted, short)
+    items = items.select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "size", "key", F.col("slots").alias("item_slots"))
     if wanted is not None:
         items = F.broadcast(items)
-    pairs = found.join(items, "key").select(F.col("id").alias("doc_id"), "item_id", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("fill"))
+    pairs = found.drop("size").join(items, "key").select(F.col("id").alias("doc_id"), "item_id", F.struct("item_place", "size").alias("spot"), (F.col("place") - F.col("item_place")).alias("shift"), F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")).alias("fill"))
     # an item has boundedly many windows, so an alignment is a small group
-    aligned = pairs.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("fill"))).alias("fill"))
+    aligned = pairs.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("spot").alias("places"), F.array_distinct(F.flatten(F.collect_set("fill"))).alias("fill"))
     distinct = F.size("fill")
     consistent = aligned.where((F.size(F.array_distinct(F.col("fill.i"))) == distinct) & (F.size(F.array_distinct(F.col("fill.d"))) == distinct))
     same = F.forall("fill", lambda s: s["i"] == s["d"])
-    whole = consistent.select("doc_id", "item_id", "places", same.alias("same")).groupBy("doc_id", "item_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"), F.min("same").alias("same"))
-    step = F.transform("places", lambda p, i: F.least(F.lit(window), F.coalesce(F.get("places", i + 1) - p, F.lit(window))))
-    lengths = _lengths(benchmark).groupBy("item_id").agg(F.max("n_tokens").alias("n_tokens"))
-    out = whole.select("doc_id", "item_id", F.aggregate(step, F.lit(0), lambda a, x: a + x).cast("long").alias("n_covered"), "same").join(lengths, "item_id")
+    whole = consistent.select("doc_id", "item_id", "places", same.alias("same")).groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("same").alias("same"))
+    inside = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["item_place"], p["item_place"] + p["size"] - 1))))
+    lengths = lengths.groupBy("item_id").agg(F.max("n_tokens").alias("n_tokens"))
+    out = whole.select("doc_id", "item_id", F.size(inside).cast("long").alias("n_covered"), "same").join(lengths, "item_id")
     return out.where(F.col("n_covered") * 100 >= F.col("n_tokens") * cover).select("doc_id", "item_id", "n_tokens", "n_covered", "same")
 
 

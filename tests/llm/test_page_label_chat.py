@@ -188,6 +188,24 @@ def test_decontamination_other_case(spark):
     assert [tuple(r) for r in back] == [(1, 100, len(ITEM.split()), len(ITEM.split()), True)]
 
 
+def test_decontamination_short_and_dense_items(spark):
+    dense = "If Anna Smith buys 3 apples at 5 dollars and Bob Jones sells 7 pears at 9 euros, Carl Brown pays 21 dollars"
+    items = [(1, "name the largest lake of Peru"), (2, "seventeen"), (3, dense), (4, "Paris 1789"), (5, "?"), (6, None)]
+    docs = [
+        (1, FILL + "(Name the largest lake of Peru?) " + FILL), (2, "name the largest lake of Chad"), (3, "name the largest river of Peru"), (4, FILL + "Seventeen"), (5, "seventeenth"),
+        (6, FILL + dense + " " + FILL), (7, FILL + dense.replace("Anna", "Eve").replace("21", "28")), (8, "Paris 1788 paris 1789."), (9, "Paris 1788"), (10, None), (11, "? ?"),
+    ]
+    for limit in (10**6, -1):
+        got = decontaminate.matches(frame(spark, docs, "doc_id long, text string"), frame(spark, items, "item_id long, text string"), broadcast_windows=limit).collect()
+        n = len(dense.split())
+        want = {(1, 1, 6, 6, True), (2, 1, 6, 6, False), (4, 2, 1, 1, True), (6, 3, n, n, True), (8, 4, 2, 2, True)}
+        assert {tuple(r) for r in got if r["doc_id"] != 7} == want and len(got) == len(want) + 1
+        assert [r["n_covered"] for r in got if r["doc_id"] == 7] == [19]  # tokens 2 to 20 of 23
+    joined = [(1, "alpha beta gamma"), (1, ITEM), (2, ITEM)]
+    got = decontaminate.matches(frame(spark, [(1, ITEM), (2, "alpha beta gamma")], "doc_id long, text string"), frame(spark, joined, "item_id long, text string")).collect()
+    assert {tuple(r)[:4] for r in got} == {(1, i, len(ITEM.split()), len(ITEM.split())) for i in (1, 2)}
+
+
 # --- chats ---------------------------------------------------------------------------------------------------------------------------
 
 

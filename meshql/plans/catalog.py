@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import FlattenConfig, FinalNegativeAreaRemoval, NegativeAreaRemoval, Phase
+from ..config import FlattenConfig
 from ..operators import cuts, energy, flatten, mesh, metrics, report, rings, snapshots, template, topology
 from ..schema import KEY
 from ..sources import files
@@ -368,7 +368,7 @@ def angular_sampling(m: Mesh) -> DataFrame:
 
 @query(source="customer")
 def angular_kring(m: Mesh) -> DataFrame:
-    return rings.sampled_rings(graph(m), m.vertices, metrics.vertex_normals(m.faces, m.vertices), 2, 8)
+    return flatten.ring_distances(m.vertices, m.faces, FlattenConfig())
 
 
 # --- distortion ----------------------------------------------------------------------------------------------------------
@@ -629,18 +629,10 @@ def template_derivation(m: Mesh) -> DataFrame:
 
 # --- optimiser and snapshots -------------------------------------------------------------------------------------------------
 
-#: A short schedule: 2-ring distances, few levels.
-SHORT = FlattenConfig(
-    phases=[Phase("epoch_1", 1.0, 0.1, [16, 4, 0], 8), Phase("epoch_2", 1.0, 1.0, [4, 1, 0], 8)],
-    negative_area_removal=NegativeAreaRemoval(base_averages=16, l_dist_ratios=[1e-3, 1e-1], iters_per_level=5),
-    final_negative_area_removal=FinalNegativeAreaRemoval(base_averages=4, l_dist_ratios=[1e-1], iters_per_level=5),
-    initial_scale=1.5,
-)
-
-
 @query(source="customer")
 def flatten_kernel(m: Mesh) -> DataFrame:
-    shots = flatten.optimise(m.vertices, m.faces, rings.geodesics(graph(m), 2), flatten.initial(m.vertices, m.faces, SHORT), SHORT, keep_every=5)
+    config = FlattenConfig()
+    shots = flatten.optimise(m.vertices, m.faces, flatten.ring_distances(m.vertices, m.faces, config), flatten.initial(m.vertices, m.faces, config), config, keep_every=5)
     return shots.select(*KEY, "step", "phase", "iteration", "j_d", "j_a", "n_flipped")
 
 

@@ -1,7 +1,8 @@
 """Exact BPE encoding by dynamic programming over prefixes, and decoding.
 
 For every prefix of a word there is one token that can end its encoding. Matches of vocabulary strings that end at the
-prefix come from one suffix automaton over all words of a batch; a match is taken if it is compatible with the last token of the
+prefix come from an Aho-Corasick automaton over the vocabulary, not from a suffix automaton over the words: it is built once a worker
+and gives the matches of every prefix in one pass over the word. A match is taken if it is compatible with the last token of the
 prefix before it, that is, if encoding the two tokens together gives the two tokens. Back-pointers then spell the ids.
 """
 

@@ -118,6 +118,52 @@ def ring_pairs(pairs: np.ndarray, sources: np.ndarray, k: int) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def tangent_angles(xyz: np.ndarray, normal: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Angle (0 to 2 pi) of dst in src's tangent plane, whose first axis comes from X, or from Y where the normal is near X."""
+    ref = np.zeros_like(normal)
+    along_x = np.abs(normal[:, 0]) < 0.9
+    ref[along_x, 0] = ref[~along_x, 1] = 1.0
+    t = ref - (ref * normal).sum(axis=1)[:, None] * normal
+    t /= np.sqrt((t * t).sum(axis=1))[:, None]
+    d = xyz[dst] - xyz[src]
+    p, q = (d * t[src]).sum(axis=1), (d * np.cross(normal, t)[src]).sum(axis=1)
+    return np.mod(np.arctan2(q, p), 2 * np.pi)
+
+
+def angular_pick(src: np.ndarray, dst: np.ndarray, hop: np.ndarray, angle: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the pairs kept, by src, hop and slot; their slots): of each ring the dst nearest to each of n sectors' centres, or a ring of up to n whole."""
+    order = np.lexsort((dst, hop, src))
+    s, h = src[order], hop[order]
+    new = np.ones(len(s), dtype=bool)
+    new[1:] = (s[1:] != s[:-1]) | (h[1:] != h[:-1])
+    group = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(s)))
+    small = size[group] <= n
+    whole, slot = order[small], (np.arange(len(s)) - first[group])[small]
+    spread, g, width = order[~small], group[~small], 2 * np.pi / n
+    # within a width of a centre lie the sector that holds the angle and the next one only
+    low = np.floor(angle[spread] / width).astype(np.int64) % n
+    sector = np.concatenate([low, (low + 1) % n])
+    at, g = np.concatenate([spread, spread]), np.concatenate([g, g])
+    off = np.abs(angle[at] - sector * width)
+    off = np.minimum(off, 2 * np.pi - off)
+    near = off < width
+    sector, at, g, off = sector[near], at[near], g[near], off[near]
+    best = np.lexsort((dst[at], off, sector, g))
+    sector, at, g = sector[best], at[best], g[best]
+    lead = np.ones(len(at), dtype=bool)
+    lead[1:] = (g[1:] != g[:-1]) | (sector[1:] != sector[:-1])
+    sector, at = sector[lead], at[lead]
+    once = np.lexsort((sector, at))  # a dst that is nearest to two sectors keeps the first
+    sector, at = sector[once], at[once]
+    lead = np.ones(len(at), dtype=bool)
+    lead[1:] = at[1:] != at[:-1]
+    at, slot = np.concatenate([whole, at[lead]]), np.concatenate([slot, sector[lead]])
+    order = np.lexsort((slot, hop[at], src[at]))
+    return at[order], slot[order]
+
+
 def distances(adj: Adjacency, source: int, targets: set[int]) -> dict[int, float]:
     """Shortest path lengths to the targets over the whole graph; stops when all are settled. Those out of reach are left out."""
     best, done, left = {source: 0.0}, set(), set(targets)

@@ -1,15 +1,75 @@
-"""Lineage cut in the shared folder, for tables that several later steps read."""
+"""The folder that driver and executors share: lineage cut there, and files that tasks read."""
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Where none is set, as in tests, a temporary one is made on a local master; elsewhere that is an error."""
+    sc = spark.sparkContext
+    place = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not place:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        atexit.register(remove, "file://" + folder)
+        place = "file://" + folder
+        sc.setCheckpointDir(place)
+    return place
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The same rows kept in the folder of spark.checkpoint.dir; a temporary one is set only where none is, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    """The same rows with their lineage cut, kept in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """URI of a fresh folder in the shared folder, which is removed when the driver ends."""
+    uri = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, uri)
+    return uri
+
+
+def remove(uri: str) -> None:
+    """Delete a folder; one that is gone or can't be deleted is left."""
+    try:
+        fs, path = pafs.FileSystem.from_uri(_uri(uri))
+        fs.delete_dir(path)
+    except (OSError, ValueError):
+        pass
+
+
+def _uri(place: str) -> str:
+    return place if "://" in place or not place.startswith("/") and ":" in place else "file://" + os.path.abspath(place)
+
+
+def write_file(uri: str, data: bytes | memoryview) -> None:
+    """Write a whole file; a task that is run again leaves the same content, never half a file."""
+    fs, path = pafs.FileSystem.from_uri(_uri(uri))
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(part) as out:
+        out.write(data)
+    fs.move(part, path)
+
+
+def map_file(uri: str) -> pa.Buffer | None:
+    """The file memory-mapped; where the shared folder isn't mounted, read into memory. None if there is no such file."""
+    fs, path = pafs.FileSystem.from_uri(_uri(uri))
+    if isinstance(fs, pafs.LocalFileSystem):
+        if not os.path.exists(path):
+            return None
+        return pa.memory_map(path).read_buffer() if os.path.getsize(path) else pa.py_buffer(b"")
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        return None
+    with fs.open_input_file(path) as f:
+        return f.read_buffer()

@@ -12,6 +12,6 @@ SCHEMAS = {
     "adj": "subject string, hemi string, src long, dst long, w double",
     "kring": "subject string, hemi string, src long, dst long, hop int, slot int, dist double",
     "uv": "subject string, hemi string, vid long, u double, v double",
-    "snapshots": "subject string, hemi string, step int, phase string, iteration int, j_d double, j_a double, n_flipped int, uv array<struct<u:double,v:double>>",
+    "snapshots": "subject string, hemi string, step int, phase string, iteration int, j_d double, j_a double, n_flipped int, uv array<struct<u:double,v:double>>, elapsed_s double",
     "run_metrics": "subject string, hemi string, flipped_initial int, flipped_final int, pct_error double, elapsed_s double",
 }

@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(oracle.SF), reason="no tables"
 
 def test_flatten_kernel_has_all_phases(spark):
     rows = catalog.QUERIES["flatten_kernel"](spark, oracle.SF).collect()
-    assert {p.name for p in FlattenConfig().phases} <= {r["phase"] for r in rows} and "spring" in {r["phase"] for r in rows}
+    assert {p.name for p in FlattenConfig().phases} <= {r["phase"] for r in rows} and "smoothing" in {r["phase"] for r in rows}
 
 
 def test_angular_kring_reaches_seven_rings(spark):

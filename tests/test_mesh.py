@@ -177,7 +177,7 @@ def test_descent_lowers_energy_and_flips():
     p, flat, uv = problem()
     config = FlattenConfig(phases=[Phase("a", 1.0, 1.0, [4, 1, 0], 20)], negative_area_removal=NegativeAreaRemoval(base_averages=4, iters_per_level=5), final_negative_area_removal=FinalNegativeAreaRemoval(enabled=False))
     shots = list(descent.flatten(p, uv, config))
-    assert [s.step for s in shots] == list(range(1, len(shots) + 1)) and shots[-1].phase == "spring"
+    assert [s.step for s in shots] == list(range(1, len(shots) + 1)) and shots[-1].phase == "smoothing"
     own = [s for s in shots if s.phase == "a"]
     assert all(b.j_d + b.j_a <= a.j_d + a.j_a + 1e-9 for a, b in zip(own, own[1:], strict=False))
     assert shots[-1].n_flipped < shots[0].n_flipped and p.pct_error(shots[-1].uv) < p.pct_error(uv)
@@ -320,3 +320,111 @@ def test_snapshot_sampling_equals_numpy(spark):
             assert one(snapshots.sampled(df, k), "step") == want, (n, k)
     with pytest.raises(ValueError):
         snapshots.check(df.drop("uv"))
+
+
+class Options:
+    n_coarse_steps, max_mm, min_mm = 5, 1000.0, 0.001
+
+
+def test_search_bounds_on_worked_numbers():
+    # amounts 0.6, 0, 0, 0.8: the largest is 0.8, the mean 0.35
+    low, top = descent.search_bounds(np.array([[0.6, 0.0], [0.0, -0.8]]), Options)
+    assert top == pytest.approx(1250.0) and low == pytest.approx(0.001 / 0.35)
+    # a mean far under the largest amount: the smallest step is a thousandth of the largest one
+    spread = np.zeros((100_000, 2))
+    spread[0, 0] = 1.0
+    assert descent.search_bounds(spread, Options) == (pytest.approx(1.0), pytest.approx(1000.0))
+
+
+def test_line_matches_plain_energies():
+    p, flat, uv = problem()
+    way = flat - uv
+    for (d, a), s in zip(descent.Line(p, uv, way).at([0.0, 0.3, 1.0]), [0.0, 0.3, 1.0], strict=True):
+        x = uv + s * way
+        length = np.sqrt(((x[p.pairs[:, 1]] - x[p.pairs[:, 0]]) ** 2).sum(axis=1) + 1e-12)
+        area = np.clip(p.areas(x), -40, 40)
+        assert d == pytest.approx(((length - p.dist) ** 2).sum(), abs=1e-9) and a == pytest.approx((np.logaddexp(0, 10 * area) / 10 - area).sum())
+
+
+def test_threads_change_nothing():
+    from meshql.config import FlattenConfig, Phase
+
+    config, found = FlattenConfig(phases=[Phase("a", 1.0, 1.0, [4, 0], 5)]), []
+    for threads in (1, 3):
+        p, _, uv = problem(9)
+        q = descent.Problem(p.n, p.faces, p.pairs, p.dist, p.edges, p.boundary, p.area, threads)
+        q.blocks = [(a, min(a + 10, q.n)) for a in range(0, q.n, 10)]
+        found.append(list(descent.flatten(q, uv, config))[-1].uv)
+    assert np.array_equal(*found)
+
+
+def test_smoothing_beyond_the_padded_columns():
+    rim = [(0, i) for i in range(1, 13)] + [(i, 1 + i % 12) for i in range(1, 13)]
+    edges = np.array(rim + [(b, a) for a, b in rim])
+    tri = np.array([(0, i, 1 + i % 12) for i in range(1, 13)])
+    p = descent.Problem(13, tri, edges, np.ones(len(edges)), edges, np.zeros(13, dtype=bool), 1.0)
+    g = np.random.default_rng(1).standard_normal((13, 2))
+    want = g
+    for _ in range(3):
+        total = want.copy()
+        np.add.at(total, edges[:, 0], want[edges[:, 1]])
+        want = total / (np.bincount(edges[:, 0], minlength=13) + 1)[:, None]
+    assert np.allclose(p.smooth(g, 3), want)
+
+
+def test_a_level_compares_from_its_second_step():
+    from meshql.config import FlattenConfig
+
+    # the tolerance stops a level as soon as it may compare, which is after two steps
+    p, _, uv = problem()
+    assert [i for i, _ in descent.descend(p, uv, [0], 9, 1e9, 1.0, 1.0, FlattenConfig())] == [1, 2]
+
+
+def test_rescaling_precedes_the_step():
+    from meshql.config import FlattenConfig
+
+    p, flat, _ = problem()
+    (_, move), *_ = descent.descend(p, 3 * flat, [0], 1, 0.1, 1.0, 1.0, FlattenConfig(), rescale=True)
+    # at the true scale nothing is to be done, so the step that follows moves next to nothing
+    assert np.allclose(move.uv - move.uv.mean(axis=0), flat - flat.mean(axis=0), atol=0.05)
+
+
+def test_recovery_turns_a_planted_fold_back(monkeypatch):
+    from meshql.config import FlattenConfig, Phase
+
+    p, flat, _ = problem(8)
+    folded = flat.copy()
+    folded[(flat > 2).all(axis=1) & (flat < 5).all(axis=1)] += 3.0
+    n = p.n_flipped(folded)
+    assert n > 5 and p.n_flipped(descent.recover(p, folded, 4, Options)) < n
+    monkeypatch.setattr(descent, "RECOVER_LEAST", 5)
+    watch = descent.Recovery(p, flat, FlattenConfig())
+    assert watch(flat, 4) is flat
+    back = watch(folded, 4)
+    assert p.n_flipped(back) < n and watch.left == descent.RECOVERIES - 1 and watch.limit == max(5 * p.n_flipped(back), 5)
+    assert watch.end(folded) is flat and watch.end(flat) is flat
+    seen, phase = [], Phase("epoch_3", 0.1, 1.0, [4, 1], 3)
+    monkeypatch.setattr(descent, "recover", lambda p, uv, level, options: seen.append(level) or flat)
+    monkeypatch.setattr(descent.Recovery, "__init__", lambda self, p, uv, config: self.__dict__.update(p=p, options=None, best=(10**6, uv), limit=0, left=3))
+    list(descent.run_phase(p, folded, phase, FlattenConfig(adaptive_recovery=True)))
+    assert seen and seen[0] == 4  # at the level that ran
+
+
+def test_recovery_weight():
+    assert descent.adaptive_weight(0.5, 300.0, 2.0) == 75.0
+
+
+def test_block_sampling_is_that_of_the_tables(spark):
+    grid = plain_grid(spark, 11)
+    wavy = grid.vertices.selectExpr("subject", "hemi", "3 * vid + 5 as vid", "x + 0.1 * ((vid * 7919) % 13) / 13 as x", "y + 0.1 * ((vid * 104729) % 17) / 17 as y", "0.2 * ((vid * 31) % 7) as z")
+    tri = grid.faces.selectExpr("subject", "hemi", "fid", "3 * a + 5 as a", "3 * b + 5 as b", "3 * c + 5 as c")
+    adj, normals = mesh.mesh_graph(tri, wavy), metrics.vertex_normals(tri, wavy)
+    by_tables = rings.angular_samples(rings.tangent_positions(rings.geodesics(adj, 4), wavy, normals), 6)
+    want = {(r["src"], r["dst"]): (r["hop"], r["slot"], round(r["dist"], 9)) for r in by_tables.collect()}
+    got = {(r["src"], r["dst"]): (r["hop"], r["slot"], round(r["dist"], 9)) for r in rings.sampled_rings(adj, wavy, normals, 4, 6).collect()}
+    assert got == want and len(got) > 1000
+
+
+def test_empty_mesh_has_no_rings(spark):
+    adj = spark.createDataFrame([], KEYED + "src long, dst long, w double")
+    assert rings.geodesics(adj, 2).count() == 0 and rings.block_rings(adj, 2).count() == 0

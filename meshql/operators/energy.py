@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vector import softplus
 from ..schema import KEY
 from . import mesh, metrics
+from .checkpoints import settled
 
 STEEPNESS = 10.0
 TINY = 1e-12
@@ -101,17 +102,39 @@ def spring_round(adj: DataFrame, uv: DataFrame, faces: DataFrame, dt: float = 0.
     return step.select(*KEY, "vid", (F.col("u") + scale * F.col("du")).alias("u"), (F.col("v") + scale * F.col("dv")).alias("v"))
 
 
+def closed(adj: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Neighbours with each vertex as a neighbour of its own, so that a round of smoothing is one join and one mean."""
+    return adj.select(*KEY, "src", "dst").unionByName(vertices.select(*KEY, F.col("vid").alias("src"), F.col("vid").alias("dst")))
+
+
+def _round(gradient: DataFrame, near: DataFrame) -> DataFrame:
+    side = near.join(gradient.withColumnRenamed("vid", "dst"), [*KEY, "dst"])
+    return side.groupBy(*KEY, F.col("src").alias("vid")).agg(F.avg("gu").alias("gu"), F.avg("gv").alias("gv"))
+
+
 def smooth_once(gradient: DataFrame, adj: DataFrame) -> DataFrame:
     """(g + sum of the neighbours' g) / (degree + 1): vid, gu, gv."""
-    side = adj.select(*KEY, "src", F.col("dst").alias("vid")).join(gradient, [*KEY, "vid"])
-    total = side.groupBy(*KEY, F.col("src").alias("vid")).agg(F.sum("gu").alias("su"), F.sum("gv").alias("sv"), F.count("*").alias("n"))
-    both = gradient.join(total, [*KEY, "vid"], "left").na.fill(0, ["su", "sv", "n"])
-    return both.select(*KEY, "vid", ((F.col("gu") + F.col("su")) / (F.col("n") + 1)).alias("gu"), ((F.col("gv") + F.col("sv")) / (F.col("n") + 1)).alias("gv"))
+    return smooth(gradient, adj, 1)
+
+
+#: Rounds of smoothing after which the lineage is cut, which bounds the size of the plan.
+CUT_ROUNDS = 16
 
 
 def smooth(gradient: DataFrame, adj: DataFrame, rounds: int) -> DataFrame:
-    for _ in range(rounds):
-        gradient = smooth_once(gradient, adj)
+    """Rounds of smooth_once(); the plan grows by one join a round."""
+    if rounds <= 0:
+        return gradient
+    gradient = gradient.select(*KEY, "vid", "gu", "gv")
+    if rounds > 1:
+        gradient = settled(gradient)
+    near = closed(adj, gradient)
+    if rounds > 1:
+        near = settled(near)
+    for i in range(1, rounds + 1):
+        gradient = _round(gradient, near)
+        if i % CUT_ROUNDS == 0 and i < rounds:
+            gradient = settled(gradient)
     return gradient
 
 
@@ -146,16 +169,18 @@ def weighted_gradient(kring: DataFrame, faces: DataFrame, uv: DataFrame, l_dist:
 
 
 def gradient_summary(gradient: DataFrame) -> DataFrame:
-    """size, mean and largest amount of the gradient's lengths and components."""
-    length = F.sqrt(F.col("gu") * F.col("gu") + F.col("gv") * F.col("gv"))
-    return gradient.groupBy(*KEY).agg(F.sqrt(F.sum(length * length)).alias("norm"), F.avg(length).alias("mean_length"), F.max(length).alias("max_length"))
+    """norm of the whole gradient, and the mean and the largest amount of its components, by which steps are bounded."""
+    u, v = F.abs("gu"), F.abs("gv")
+    return gradient.groupBy(*KEY).agg(F.sqrt(F.sum(u * u + v * v)).alias("norm"), F.avg((u + v) / 2).alias("mean_abs"), F.max(F.greatest(u, v)).alias("max_abs"))
 
 
 def line_search_energies(kring: DataFrame, faces: DataFrame, uv: DataFrame, gradient: DataFrame, steps: list[float], l_dist: float = 1.0, l_area: float = 1.0) -> DataFrame:
     """step, energy along minus the unit gradient: all steps in one pass per term, as columns of sums."""
+    kring, gradient = settled(kring), settled(gradient)
     size = F.broadcast(gradient.groupBy(*KEY).agg(F.sqrt(F.sum(F.col("gu") * F.col("gu") + F.col("gv") * F.col("gv"))).alias("size")))
     moving = uv.join(gradient, [*KEY, "vid"]).join(size, KEY).select(*KEY, "vid", "u", "v", *[F.when(F.col("size") > 0, -F.col(g) / F.col("size")).otherwise(0.0).alias(d) for g, d in (("gu", "du"), ("gv", "dv"))])
     pairs = kring
+    moving = settled(moving)
     for c, i in (("src", 0), ("dst", 1)):
         pairs = pairs.join(moving.select(*KEY, F.col("vid").alias(c), *[F.col(x).alias(f"{x}{i}") for x in ("u", "v", "du", "dv")]), [*KEY, c])
     tri = mesh.corners(faces, moving, ["u", "v", "du", "dv"])

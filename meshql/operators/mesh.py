@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import distance, vec
 from ..schema import KEY
+from .checkpoints import settled
 
 CORNERS = ("a", "b", "c")
 
@@ -113,7 +114,7 @@ def build_patch(vertices: DataFrame, faces: DataFrame, excluded: DataFrame) -> D
 
 def patch_faces(faces: DataFrame, patch: DataFrame) -> DataFrame:
     """Faces among the patch's vertices, in its own ids; the joins filter and renumber at once."""
-    out = faces
+    out, patch = faces, settled(patch.select(*KEY, "vid", "pid"))
     for c in CORNERS:
         out = out.join(patch.select(*KEY, F.col("vid").alias(c), F.col("pid").alias(f"p_{c}")), [*KEY, c])
     return out.select(*KEY, "fid", *[F.col(f"p_{c}").alias(c) for c in CORNERS])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.vector import norm, softplus
 from ..schema import KEY
 from . import energy, mesh, metrics, rings
+from .checkpoints import settled
 
 #: Elevation and azimuth of the views, by hemisphere.
 VIEWS = {("lh", "medial"): (0, 0), ("rh", "medial"): (0, 180), ("lh", "ventral"): (-90, 180), ("rh", "ventral"): (-90, 180), ("lh", "frontal"): (0, -90), ("rh", "frontal"): (0, -90)}
@@ -78,8 +79,10 @@ def view_faces(vertices: DataFrame, faces: DataFrame, curvature: DataFrame, patc
     return out.withColumn("depth_rank", F.row_number().over(Window.partitionBy(*KEY).orderBy("depth", "fid")))
 
 
-def curvature_buckets(faces: DataFrame, curvature: DataFrame) -> DataFrame:
-    """fid, mean curvature of the corners, gray level: .3 for sulci (> 0), .7 else."""
+def curvature_buckets(faces: DataFrame, curvature: DataFrame | None) -> DataFrame:
+    """fid, mean curvature of the corners, gray level: .3 for sulci (> 0), .7 else; .6 and a null mean without curvature."""
+    if curvature is None:
+        return faces.select(*KEY, "fid", F.lit(None).cast("double").alias("curvature"), F.lit(0.6).alias("gray"))
     c = mesh.corners(faces, curvature, ["value"])
     mean = (F.col("value0") + F.col("value1") + F.col("value2")) / 3
     return c.select(*KEY, "fid", mean.alias("curvature"), F.when(mean > 0, 0.3).otherwise(0.7).alias("gray"))
@@ -99,8 +102,23 @@ def flipped_centroids(faces: DataFrame, uv: DataFrame) -> DataFrame:
 
 
 def area_percentiles(flat: DataFrame) -> DataFrame:
-    """1st and 99th percentile of log10(|area| + 1e-10) over all meshes, linearly interpolated."""
-    return flat.select(F.log10(F.abs("area") + 1e-10).alias("a")).agg(F.expr("percentile(a, 0.01)").alias("p1"), F.expr("percentile(a, 0.99)").alias("p99"))
+    """1st and 99th percentile of log10(|area| + 1e-10) over all meshes, linearly interpolated; null without faces."""
+    return exact_percentiles(flat.select(F.log10(F.abs("area") + 1e-10).alias("a")), "a", {"p1": 0.01, "p99": 0.99})
+
+
+def exact_percentiles(df: DataFrame, column: str, wanted: dict[str, float]) -> DataFrame:
+    """One row of percentiles by name. The values are sorted over all tasks by ranges; of the ranges' counts follows which of them hold the ranks."""
+    spread = settled(df.select(F.col(column).alias("x")).where("x is not null").repartitionByRange("x").sortWithinPartitions("x").withColumn("part", F.spark_partition_id()))
+    sizes = spread.groupBy("part").agg(F.count("*").alias("n"), F.min("x").alias("low"))
+    # as many rows as partitions
+    starts = sizes.withColumn("before", F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1))).select("part", "n", F.coalesce("before", F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    ranks = F.array(*[F.struct(F.lit(k).alias("name"), (F.lit(p) * (F.col("total") - 1)).alias("at")) for k, p in wanted.items()])
+    need = starts.select("part", "n", "before", F.explode(ranks).alias("w")).select("part", "n", "before", "w.name", "w.at", F.explode(F.array_distinct(F.array(F.floor("w.at"), F.ceil("w.at")))).alias("rank"))
+    need = need.where("rank >= before and rank < before + n").select("part", "name", "at", "rank", (F.col("rank") - F.col("before")).alias("within"))
+    held = spread.join(F.broadcast(need.select("part").distinct()), "part", "left_semi").withColumn("within", F.row_number().over(Window.partitionBy("part").orderBy("x")) - 1)
+    found = held.join(F.broadcast(need), ["part", "within"]).groupBy("name").agg(F.min("x").alias("a"), F.max("x").alias("b"), (F.first("at") - F.floor(F.first("at"))).alias("share"))
+    value = F.col("a") + F.col("share") * (F.col("b") - F.col("a"))
+    return found.select("name", value.alias("v")).agg(*[F.max(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in wanted])
 
 
 def grid_layout(uv: DataFrame) -> DataFrame:

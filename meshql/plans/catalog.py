@@ -109,7 +109,9 @@ def boundary_loop_sizes(m: Mesh) -> DataFrame:
     return topology.boundary_loops(mesh.faces_without(m.faces, m.wall)).groupBy(*KEY, "loop").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(", " + LEFT.format(x="wall") + RIM + REACH + """, loops AS (SELECT node AS vid, min(root) AS loop FROM reach GROUP BY node),
+walk(loop, ord, vid, prev) AS (SELECT loop, 0, loop, (SELECT max(t) FROM r2 WHERE s = loop) FROM (SELECT DISTINCT loop FROM loops) UNION ALL SELECT loop, ord + 1, t, vid FROM walk JOIN r2 ON s = vid WHERE t <> prev AND t <> loop)
+SELECT loop, CAST(ord AS INTEGER) AS ord, vid FROM walk""")
 def boundary_walk(m: Mesh) -> DataFrame:
     return topology.boundary_paths(mesh.faces_without(m.faces, m.wall))
 
@@ -162,9 +164,10 @@ def vertex_degree(m: Mesh) -> DataFrame:
     return mesh.degrees(graph(m), m.vertices).withColumn("is_high", F.col("degree") > 2)
 
 
-@query("SELECT vid, round(x, 6) AS x, round(y, 6) AS y, round((z + z) / 2, 6) AS z FROM p")
+@query("SELECT vid, round((x + 2 * x + 1) / 2, 6) AS x, round((y + 3 - y / 7) / 2, 6) AS y, round((z + value / 37037) / 2, 6) AS z FROM p")
 def mean_surface(m: Mesh) -> DataFrame:
-    return mesh.mean_surface(m.vertices, m.vertices)
+    second = m.points.select(*KEY, "vid", (2 * F.col("x") + 1).alias("x"), (3 - F.col("y") / 7).alias("y"), (F.col("value") / 37037).alias("z"))
+    return mesh.mean_surface(m.vertices, second)
 
 
 @query("SELECT src, dst, round(w, 6) AS w FROM adj WHERE src IN (SELECT vid FROM wall) AND dst IN (SELECT vid FROM wall)")
@@ -235,7 +238,19 @@ def hole_fill_round(m: Mesh) -> DataFrame:
     return topology.hole_fill_round(m.faces, m.wall)
 
 
-@query()
+def fill_sql(rounds: int) -> str:
+    """The rounds of hole filling one after the other: faces left, their rim, its loops, and what goes: vertices of crossed loops, else all loops but the longest."""
+    out = ", gone0 AS (SELECT vid FROM wall)"
+    for i in range(rounds):
+        out += f""", lf{i} AS (SELECT * FROM f WHERE a NOT IN (SELECT vid FROM gone{i}) AND b NOT IN (SELECT vid FROM gone{i}) AND c NOT IN (SELECT vid FROM gone{i})),
+rm{i} AS (SELECT least(s, t) AS u, greatest(s, t) AS v FROM (SELECT a AS s, b AS t FROM lf{i} UNION ALL SELECT b, c FROM lf{i} UNION ALL SELECT c, a FROM lf{i}) GROUP BY 1, 2 HAVING count(*) = 1),
+bo{i} AS (SELECT u AS s, v AS t FROM rm{i} UNION ALL SELECT v, u FROM rm{i}), re{i}(root, node) AS (SELECT DISTINCT s, s FROM bo{i} UNION SELECT root, t FROM re{i} JOIN bo{i} ON node = s),
+lo{i} AS (SELECT node AS vid, min(root) AS loop FROM re{i} GROUP BY node), en{i} AS (SELECT s AS vid, count(*) AS n FROM bo{i} GROUP BY s),
+gone{i + 1} AS (SELECT vid FROM gone{i} UNION SELECT vid FROM en{i} WHERE n > 2 UNION SELECT vid FROM lo{i} WHERE (SELECT max(n) FROM en{i}) <= 2 AND loop <> (SELECT loop FROM lo{i} GROUP BY loop ORDER BY count(*) DESC, loop LIMIT 1))"""
+    return out + f" SELECT vid FROM gone{rounds} WHERE vid NOT IN (SELECT vid FROM wall)"
+
+
+@query(fill_sql(10), source="customer")
 def hole_fill(m: Mesh) -> DataFrame:
     return topology.fill_holes(m.faces, m.wall)
 
@@ -483,7 +498,7 @@ def weighted_gradient(m: Mesh) -> DataFrame:
     return gradient(m)
 
 
-@query(GRADIENT + " SELECT round(sqrt(sum(gu * gu + gv * gv)), 4) AS norm, round(avg(sqrt(gu * gu + gv * gv)), 4) AS mean_length, round(max(sqrt(gu * gu + gv * gv)), 4) AS max_length FROM g", digits=4)
+@query(GRADIENT + " SELECT round(sqrt(sum(gu * gu + gv * gv)), 4) AS norm, round(avg((abs(gu) + abs(gv)) / 2), 4) AS mean_abs, round(max(greatest(abs(gu), abs(gv))), 4) AS max_abs FROM g", digits=4)
 def gradient_summary(m: Mesh) -> DataFrame:
     return energy.gradient_summary(gradient(m))
 
@@ -553,7 +568,10 @@ def shortest_path_length(m: Mesh) -> DataFrame:
     return shortest_path_vertices(m).groupBy(*KEY, "src", "dst").agg(F.max("length").alias("length"))
 
 
-@query(source="customer")
+@query(""", sp(node, d, n) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS DOUBLE), 0 UNION ALL SELECT dst, min(d + adj.w), n + 1 FROM sp JOIN adj ON src = node WHERE n < 40 GROUP BY dst, n),
+far AS (SELECT node, min(d) AS d FROM sp GROUP BY node), prev AS (SELECT dst AS node, min_by(src, d + adj.w) AS back FROM adj JOIN far ON node = src WHERE dst <> 0 GROUP BY dst),
+goal AS (SELECT vid FROM p WHERE vid = 7 * p.w + 9), trace(vid, n) AS (SELECT vid, 0 FROM goal UNION ALL SELECT back, n + 1 FROM trace JOIN prev ON node = vid WHERE vid <> 0)
+SELECT CAST(0 AS BIGINT) AS src, goal.vid AS dst, CAST((SELECT max(n) FROM trace) - n AS INTEGER) AS ord, trace.vid, round(far.d, 6) AS length FROM trace, goal JOIN far ON far.node = goal.vid""", source="customer")
 def shortest_path_vertices(m: Mesh) -> DataFrame:
     pair = m.vertices.where("vid = 0").select(*KEY, F.lit(0).cast("long").alias("src"), F.lit(7 * m.width + 9).cast("long").alias("dst"))
     return cuts.shortest_paths(graph(m), pair)
@@ -614,11 +632,11 @@ def pca_yz(m: Mesh) -> DataFrame:
     return template.wall_axes(placed(m, m.wall))
 
 
-@query(AXES + """, bands AS (SELECT CAST(1 + iy * 5 // w AS INTEGER) AS part, y, z FROM p WHERE ix = 0), pc AS (SELECT part, avg(y * p1_y + z * p1_z) AS pc1, avg(y * p2_y + z * p2_z) AS pc2 FROM bands, axes GROUP BY part),
+@query(AXES + """, bands AS (SELECT CAST(1 + iy * 5 // w AS INTEGER) AS part, y, z FROM p), pc AS (SELECT part, avg(y * p1_y + z * p1_z) AS pc1, avg(y * p2_y + z * p2_z) AS pc2 FROM bands, axes GROUP BY part),
 lo AS (SELECT *, row_number() OVER (ORDER BY pc1, part) = 1 AS low FROM pc), rk AS (SELECT *, row_number() OVER (ORDER BY low, pc2, part) AS r FROM lo)
 SELECT part, CASE WHEN low THEN 'temporal' ELSE ['calcarine', 'medial1', 'medial2', 'medial3'][r] END AS name, round(pc1, 6) AS pc1, round(pc2, 6) AS pc2 FROM rk""")
 def anatomical_naming(m: Mesh) -> DataFrame:
-    bands = m.points.where("ix = 0").select(*KEY, "vid", F.expr(f"cast(1 + iy * 5 div {m.width} as int)").alias("part"))
+    bands = m.points.select(*KEY, "vid", F.expr(f"cast(1 + iy * 5 div {m.width} as int)").alias("part"))
     return template.name_cuts(bands, m.vertices, placed(m, m.wall))
 
 
@@ -637,15 +655,17 @@ def flatten_kernel(m: Mesh) -> DataFrame:
 
 
 def trail(m: Mesh) -> DataFrame:
-    """57 made snapshots: the rim's first vertices drifting, in three phases."""
-    at = m.points.where("vid < 57").select(*KEY, (F.col("vid") + 1).cast("int").alias("step"), F.when(F.col("vid") < 20, "epoch_1").when(F.col("vid") < 41, "epoch_2").otherwise("spring").alias("phase"), F.col("vid").cast("int").alias("iteration"), (100 - F.col("vid") + F.col("x")).alias("j_d"), F.col("y").alias("j_a"), (50 - F.col("vid") % 7 * 3).cast("int").alias("n_flipped"), F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct((F.col("u") + 2).alias("u"), (F.col("v") - F.col("x")).alias("v"))).alias("uv"))
-    return at
+    """A made snapshot of every vertex: two points that drift, in three phases of a third each."""
+    n = m.width * m.width
+    phase = F.when(F.col("vid") * 3 < n, "epoch_1").when(F.col("vid") * 3 < 2 * n, "epoch_2").otherwise("smoothing")
+    points = F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct((F.col("u") + 2).alias("u"), (F.col("v") - F.col("x")).alias("v")))
+    return m.points.select(*KEY, (F.col("vid") + 1).cast("int").alias("step"), phase.alias("phase"), F.col("vid").cast("int").alias("iteration"), (1e6 - F.col("vid") + F.col("x")).alias("j_d"), F.col("y").alias("j_a"), (n - F.col("vid") % 7 * 3 - F.col("vid")).cast("int").alias("n_flipped"), points.alias("uv"))
 
 
-TRAIL = ", tr AS (SELECT CAST(vid + 1 AS INTEGER) AS step, CASE WHEN vid < 20 THEN 'epoch_1' WHEN vid < 41 THEN 'epoch_2' ELSE 'spring' END AS phase, 100 - vid + x AS j_d, y AS j_a, CAST(50 - vid % 7 * 3 AS INTEGER) AS n_flipped, u, v, x FROM p WHERE vid < 57)"
+TRAIL = ", tr AS (SELECT CAST(vid + 1 AS INTEGER) AS step, w * w AS n, CASE WHEN vid * 3 < w * w THEN 'epoch_1' WHEN vid * 3 < 2 * w * w THEN 'epoch_2' ELSE 'smoothing' END AS phase, 1e6::DOUBLE - vid + x AS j_d, y AS j_a, CAST(w * w - vid % 7 * 3 - vid AS INTEGER) AS n_flipped, u, v, x FROM p)"
 
 
-@query(TRAIL + ", ids AS (SELECT DISTINCT CAST(round_even(i * 56 / 24.0, 0) AS INTEGER) + 1 AS step FROM (SELECT unnest(range(25)) AS i)) SELECT step FROM ids")
+@query(TRAIL + ", ids AS (SELECT DISTINCT CAST(round_even(i * (w * w - 1) / 24.0::DOUBLE, 0) AS INTEGER) + 1 AS step FROM (SELECT unnest(range(25)) AS i), n) SELECT step FROM ids")
 def snapshot_sampling(m: Mesh) -> DataFrame:
     return snapshots.sampled(trail(m), 25).select(*KEY, "step")
 
@@ -655,7 +675,7 @@ def snapshot_every_nth(m: Mesh) -> DataFrame:
     return snapshots.every_nth(trail(m), 10).select(*KEY, "step")
 
 
-@query(TRAIL + """, h AS (SELECT step, 1 + CASE WHEN step = 1 THEN 15 ELSE 0 END + CASE WHEN phase <> lead(phase) OVER (ORDER BY step) THEN 7 ELSE 0 END + CASE WHEN step = 57 THEN 30 ELSE 0 END AS times FROM tr)
+@query(TRAIL + """, h AS (SELECT step, 1 + CASE WHEN step = 1 THEN 15 ELSE 0 END + CASE WHEN phase <> lead(phase) OVER (ORDER BY step) THEN 7 ELSE 0 END + CASE WHEN step = n THEN 30 ELSE 0 END AS times FROM tr)
 SELECT step, CAST(row_number() OVER (ORDER BY step) - 1 AS INTEGER) AS frame_idx FROM (SELECT step, unnest(range(times)) FROM h)""")
 def frame_holds(m: Mesh) -> DataFrame:
     return snapshots.with_holds(trail(m), 15.0, 1.0, 0.5, 2.0).select(*KEY, "step", F.col("frame_idx").cast("int").alias("frame_idx"))
@@ -666,7 +686,7 @@ def frame_boxes(m: Mesh) -> DataFrame:
     return snapshots.boxes(trail(m))
 
 
-@query(TRAIL + " SELECT step, (CASE phase WHEN 'epoch_1' THEN 'Epoch 1' WHEN 'epoch_2' THEN 'Epoch 2' ELSE 'Spring' END) || ' ' || (step - 1) AS label FROM tr")
+@query(TRAIL + " SELECT step, (CASE phase WHEN 'epoch_1' THEN 'Epoch 1' WHEN 'epoch_2' THEN 'Epoch 2' ELSE 'Smoothing' END) || ' ' || (step - 1) AS label FROM tr")
 def frame_labels(m: Mesh) -> DataFrame:
     return snapshots.labels(trail(m))
 
@@ -707,23 +727,28 @@ def flipped_centroids(m: Mesh) -> DataFrame:
     return report.flipped_centroids(m.faces, m.uv)
 
 
-def view_sql(elevation: float, azimuth: float) -> str:
+def view_sql(elevation: float, azimuth: float, *, turned_over: bool = False) -> str:
     r, length = report.rotation(elevation, azimuth), math.sqrt(sum(x * x for x in report.LIGHT))
     turned = [" + ".join(f"({w!r}) * n{a}" for w, a in zip(row, "xyz", strict=True)) for row in r]
+    if turned_over:
+        turned = [f"-({t})" for t in turned]
     light = " + ".join(f"({w / length!r}) * t{i}" for i, w in enumerate(report.LIGHT))
-    depth = " + ".join(f"({w!r}) * ({a}0 + {a}1 + {a}2) / 3" for w, a in zip(r[2], "xyz", strict=True))
+    depth = " + ".join(f"({w!r}) * (({a}0 + {a}1 + {a}2) / 3)" for w, a in zip(r[2], "xyz", strict=True))
     return EXCLUDED + f""", inside AS (SELECT DISTINCT unnest([a, b, c]) AS vid FROM left_f), s AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) + 1e-10 AS l FROM fa), t AS (SELECT *, ({turned[0]}) / l AS t0, ({turned[1]}) / l AS t1, ({turned[2]}) / l AS t2, {depth} AS depth FROM s),
 h AS (SELECT *, 0.4 + 0.6 * least(greatest({light}, 0), 1) AS h, a NOT IN (SELECT vid FROM inside) OR b NOT IN (SELECT vid FROM inside) OR c NOT IN (SELECT vid FROM inside) AS is_cut FROM t WHERE t2 > 0)
-SELECT fid, is_cut, round(CASE WHEN is_cut THEN least(0.8 + 0.2 * h, 1) WHEN (c0 + c1 + c2) / 3 > 0 THEN 0.3 * h ELSE 0.7 * h END, 5) AS shade, round(depth, 5) AS depth FROM h"""
+SELECT fid, is_cut, round(CASE WHEN is_cut THEN least(0.8 + 0.2 * h, 1) WHEN (c0 + c1 + c2) / 3 > 0 THEN 0.3 * h ELSE 0.7 * h END, 5) AS shade, round(depth, 5) AS depth, CAST(row_number() OVER (ORDER BY depth, fid) AS INTEGER) AS depth_rank FROM h"""
 
 
 def _view(name: str) -> None:
+    """The view from below sees the mesh turned over: its faces run the other way, so that some are seen at all."""
+
     def run(m: Mesh) -> DataFrame:
         patch = mesh.used_vertices(mesh.faces_without(m.faces, excluded(m)))
-        return report.view_faces(m.vertices, m.faces, m.points.select(*KEY, "vid", "value"), patch, "lh", name).drop("depth_rank")
+        tri = m.faces.select(*KEY, "fid", "a", F.col("c").alias("b"), F.col("b").alias("c")) if name == "ventral" else m.faces
+        return report.view_faces(m.vertices, tri, m.points.select(*KEY, "vid", "value"), patch, "lh", name)
 
     run.__name__ = f"projection_view_{name}"
-    query(view_sql(*report.view_angles("lh", name)), digits=5)(run)
+    query(view_sql(*report.view_angles("lh", name), turned_over=name == "ventral"), digits=5)(run)
 
 
 for _name in ("medial", "ventral", "frontal"):
@@ -765,8 +790,8 @@ def template_filter(m: Mesh) -> DataFrame:
     return files.parse_template(files.template_json(both.unionByName(other)), "lh")
 
 
-@query("SELECT vid AS flipped, round(vid / 4.0, 2)::DOUBLE AS distance_error, 'sub-' || vid AS name, CASE WHEN vid % 2 = 0 THEN 'lh' ELSE 'rh' END AS hemisphere FROM p WHERE ix = 3")
+@query("SELECT vid AS flipped, round(vid / 4.0, 2)::DOUBLE AS distance_error, 'sub-' || vid AS name, CASE WHEN vid % 2 = 0 THEN 'lh' ELSE 'rh' END AS hemisphere FROM p")
 def log_parse(m: Mesh) -> DataFrame:
     hemi = F.when(F.col("vid") % 2 == 0, "lh").otherwise("rh")
     text = F.concat(F.lit("Input patch: /data/sub-"), F.col("vid"), F.lit("/surf/"), hemi, F.lit(".patch.3d\nsome line\nFINAL RESULT\nFlipped triangles: 900 -> "), F.col("vid"), F.lit("\nMean % distance error: "), F.format_string("%.2f", F.col("vid") / 4.0), F.lit("%\n"))
-    return files.parse_logs(m.points.where("ix = 3").select(text.alias("value"))).withColumnRenamed("subject", "name")
+    return files.parse_logs(m.points.select(text.alias("value"))).withColumnRenamed("subject", "name")

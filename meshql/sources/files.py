@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.checkpoints import write_file
 from ..schema import KEY, SCHEMAS
 from . import binary
 
@@ -85,23 +86,13 @@ def curvature_of_patch(curvature: DataFrame, patch: DataFrame) -> DataFrame:
     return patch.join(curvature, [*KEY, "vid"]).select(*KEY, "pid", "vid", "value")
 
 
-def _fs_write(folder: str, name: str, data: bytes) -> None:
-    import pyarrow.fs as pafs
-
-    fs, path = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-    fs.create_dir(f"{path}/{name}".rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(f"{path}/{name}.part") as out:
-        out.write(data)
-    fs.move(f"{path}/{name}.part", f"{path}/{name}")
-
-
 def _encoded(df: DataFrame, folder: str, file: str, encode: Callable[[pd.DataFrame], bytes]) -> DataFrame:
     """One file per mesh under folder/subject/hemi.file; returns (subject, hemi, path, n_bytes). The folder must be reachable by all workers."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         subject, hemi = pdf["subject"].iloc[0], pdf["hemi"].iloc[0]
         raw, name = encode(pdf), f"{subject}/{hemi}.{file}"
-        _fs_write(folder, name, raw)
+        write_file(f"{folder}/{name}", raw)
         return pd.DataFrame({"subject": [subject], "hemi": [hemi], "path": [f"{folder}/{name}"], "n_bytes": [len(raw)]})
 
     return df.groupBy(*KEY).applyInPandas(run, "subject string, hemi string, path string, n_bytes long")
@@ -198,15 +189,25 @@ def template_json(cuts: DataFrame) -> DataFrame:
     return each.groupBy().agg(F.to_json(F.map_from_entries(entries)).alias("value"))
 
 
+# The texts that open a line of the optimiser's log.
+LOG_INPUT, LOG_END, LOG_FLIPPED, LOG_ERROR = "Input patch:", "FINAL RESULT", "Flipped triangles:", "Mean % distance error:"
+
+
 def parse_logs(texts: DataFrame) -> DataFrame:
     """distance_error, flipped, subject, hemisphere of whole log texts (column value); null where the text doesn't tell."""
-    final = r"(?s)FINAL RESULT.*?Flipped triangles:[^\n]*->\s+(\d+)\s*\nMean % distance error:\s+([\d.]+)%"
-    path = F.btrim(F.regexp_extract("value", r"Input patch:[ \t]*([^\n]+)", 1))
+    rows = texts.select(F.transform(F.split("value", r"\r?\n"), lambda x: F.btrim(x)).alias("rows"))
+    rows = rows.withColumn("at", F.array_position("rows", LOG_END)).withColumn("end", F.when(F.col("at") > 0, F.slice("rows", F.greatest(F.col("at"), F.lit(1)), F.size("rows"))))
+
+    def field(lines: str, mark: str) -> Column:
+        line = F.get(F.filter(lines, lambda x: F.startswith(x, F.lit(mark))), F.lit(0))
+        return F.btrim(F.substring(line, len(mark) + 1, 1 << 30))
+
+    path = field("rows", LOG_INPUT)
     subject, hemi = path_key(path)
-    some = lambda c: F.when(c != "", c)
-    return texts.select(
-        some(F.regexp_extract("value", final, 2)).cast("double").alias("distance_error"), some(F.regexp_extract("value", final, 1)).cast("long").alias("flipped"),
-        F.when(path != "", subject).alias("subject"), some(hemi).alias("hemisphere"),
+    after = F.btrim(F.get(F.split(field("end", LOG_FLIPPED), "->"), F.lit(1)))
+    return rows.select(
+        F.rtrim(field("end", LOG_ERROR), F.lit("%")).try_cast("double").alias("distance_error"), after.try_cast("long").alias("flipped"),
+        F.when(path != "", subject).alias("subject"), F.when(hemi != "", hemi).alias("hemisphere"),
     )
 
 

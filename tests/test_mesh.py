@@ -428,3 +428,36 @@ def test_block_sampling_is_that_of_the_tables(spark):
 def test_empty_mesh_has_no_rings(spark):
     adj = spark.createDataFrame([], KEYED + "src long, dst long, w double")
     assert rings.geodesics(adj, 2).count() == 0 and rings.block_rings(adj, 2).count() == 0
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation") + df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+
+
+def test_plans_grow_linearly_with_rounds(spark):
+    grid = plain_grid(spark, 5)
+    adj, g = mesh.mesh_graph(grid.faces, grid.vertices), grid.uv.withColumnsRenamed({"u": "gu", "v": "gv"})
+    two, four, six = (scans(energy.smooth(g, adj, n)) for n in (2, 4, 6))
+    assert six - four == four - two <= 4
+    assert scans(energy.smooth(g, adj, 40)) <= scans(energy.smooth(g, adj, energy.CUT_ROUNDS))
+    pairs = rings.krings(adj, 2)
+    two, four, six = (scans(rings.relaxed_distances(adj, pairs, n)) for n in (2, 4, 6))
+    assert six - four == four - two <= 4
+    assert scans(rings.krings(adj, 5)) - scans(rings.krings(adj, 4)) <= 4
+
+
+def test_exact_percentiles(spark):
+    values = [float(x) for x in np.random.default_rng(3).standard_normal(997).round(1)]
+    got = report.exact_percentiles(spark.createDataFrame([(x,) for x in values] + [(None,)], "a double").repartition(7), "a", {"p1": 0.01, "p50": 0.5, "p99": 0.99}).first()
+    assert [got["p1"], got["p50"], got["p99"]] == pytest.approx(list(np.percentile(values, [1, 50, 99])))
+    assert report.exact_percentiles(spark.createDataFrame([], "a double"), "a", {"p1": 0.01}).first()["p1"] is None
+
+
+def test_entry_survives_a_missing_library():
+    import os
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['ahocorasick'] = sys.modules['regex'] = None\nimport __spark_entry__ as e\nprint(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert done.returncode == 0 and int(done.stdout.split()[0]) > 90

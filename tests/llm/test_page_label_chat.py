@@ -143,7 +143,8 @@ def test_contaminated_documents(spark):
     for limit in (10**6, -1):  # with and without broadcast
         got = decontaminate.matches(frame(spark, docs, "doc_id long, text string"), frame(spark, items, "item_id long, text string"), broadcast_windows=limit).collect()
         found = {(r["doc_id"], r["item_id"]): r for r in got}
-        assert {d for d, i in found if i == 100} >= {1, 2, 7} and not {d for d, i in found if i == 100} & {3, 4, 5, 8, 9, None}
+        assert {d for d, i in found if i == 100} >= {1, 2, 7} and not {d for d, i in found if i == 100} & {3, 4, 5, 8, None}
+        assert found[9, 100]["n_covered"] == found[9, 100]["n_tokens"] and not found[9, 100]["same"]  # two values of the item may become one
         assert found[1, 100]["same"] and not found[2, 100]["same"] and found[1, 100]["n_covered"] == found[1, 100]["n_tokens"]
         assert len(got) == len(found)
 
@@ -200,12 +201,92 @@ def test_decontamination_short_and_dense_items(spark):
         n = len(dense.split())
         want = {(1, 1, 6, 6, True), (2, 1, 6, 6, False), (4, 2, 1, 1, True), (6, 3, n, n, True), (8, 4, 2, 2, True)}
         assert {tuple(r) for r in got if r["doc_id"] != 7} == want and len(got) == len(want) + 1
-        assert [r["n_covered"] for r in got if r["doc_id"] == 7] == [19]  # tokens 2 to 20 of 23
+        assert [(r["n_covered"], r["same"]) for r in got if r["doc_id"] == 7] == [(n - 1, False)]  # but for the last token, whose only window has two plain words
     joined = [(1, "alpha beta gamma"), (1, ITEM), (2, ITEM)]
     got = decontaminate.matches(frame(spark, [(1, ITEM), (2, "alpha beta gamma")], "doc_id long, text string"), frame(spark, joined, "item_id long, text string")).collect()
     assert {tuple(r)[:4] for r in got} == {(1, i, len(ITEM.split()), len(ITEM.split())) for i in (1, 2)}
 
 
+def brute_matches(docs, items):
+    """The rule on lists of words, for texts of plain ASCII whose names are capitalised words."""
+
+    def tokens(text):
+        out = []
+        for w in (text or "").split():
+            if w := w.strip("".join(chr(c) for c in range(128) if not chr(c).isalnum())):
+                number = w[0].isdigit() and all(c in "0123456789.,:/-" for c in w)
+                unit = bool(out) and out[-1][1] == "<n>" and w.lower() in decontaminate.UNITS
+                out.append((w.lower(), "<n>" if number else "<u>" if unit else "<c>" if w[0].isupper() else w.lower()))
+        return out
+
+    def is_slot(t):
+        return t[1] in ("<n>", "<u>", "<c>")
+
+    found = set()
+    for i, item in items:
+        own = tokens(item)
+        size = min(8, len(own))
+        grams = [own[k : k + size] for k in range(len(own) - size + 1)] if own else []
+        plain = [sum(not is_slot(t) for t in g) for g in grams]
+        least = 5 if size == 8 and max(plain) >= 5 else 3
+        for d, doc in docs:
+            there, spots = tokens(doc), {}
+            for k, g in enumerate(grams):
+                for at in range(len(there) - size + 1):
+                    other = there[at : at + size]
+                    if [t[0] for t in g] == [t[0] for t in other]:
+                        spots.setdefault(at - k, []).append((k, ()))
+                    if plain[k] < size and plain[k] >= least and [t[1] for t in g] == [t[1] for t in other]:
+                        spots.setdefault(at - k, []).append((k, tuple((a[0], b[0]) for a, b in zip(g, other, strict=True) if is_slot(a))))
+            covered, same = set(), True
+            for group in spots.values():
+                to = {}
+                for _, fill in group:
+                    for a, b in fill:
+                        to.setdefault(a, set()).add(b)
+                for k, fill in group:
+                    if all(len(to[a]) == 1 for a, _ in fill):
+                        covered |= set(range(k, k + size))
+                        same &= all(a == b for a, b in fill)
+            if covered and 100 * len(covered) >= 50 * len(own):
+                found.add((d, i, len(own), len(covered), same))
+    return found
+
+
+def test_decontamination_by_brute_force(spark):
+    items = [
+        (1, "Who wrote the play Hamlet?"), (2, "What is 3 + 4 * 5 - 6 / 7 + 8?"), (3, "A train leaves the town of Basel at 12 and is late by 5 minutes when it gets to Bern"), (4, ITEM),
+        (5, "Add 12 to the square of 12 and write down what is left after taking 12 away"), (6, "3 4 5 6 7 8 9 10 11 12"),
+    ]
+    docs = [
+        (1, FILL + "Who wrote the play Hamlet? " + FILL), (2, FILL + "What is 3 + 4 * 5 - 6 / 7 + 8? " + FILL), (3, FILL + items[2][1].replace("12", "7").replace("5", "7")),
+        (4, ITEM.replace("Alice", "Bob").replace("Robert", "Bob")), (5, "who wrote the play Macbeth"), (6, "What is 9 + 1 * 2 - 3 / 4 + 5?"), (7, items[4][1].replace("12", "7")),
+        (8, "Add 12 to the square of 30 and write down what is left after taking 9 away"), (9, "1 2 3 4 5 6 7 8 9 10"), (10, None), (11, FILL), (12, items[5][1] + " " + ITEM.lower()),
+    ]
+    want = brute_matches(docs, items)
+    assert {(1, 1, 5, 5, True), (2, 2, 8, 8, True), (4, 4, len(ITEM.split()), len(ITEM.split()), False)} <= want and {d for d, i, *_ in want if i == 3} == {3} and (6, 2) not in {x[:2] for x in want}
+    made = frame(spark, docs, "doc_id long, text string"), frame(spark, items, "item_id long, text string")
+    for options in ({}, {"broadcast_items": -1}, {"broadcast_windows": -1}):
+        assert {tuple(r) for r in decontaminate.matches(*made, **options).collect()} == want
+
+
+def test_decontamination_recall_of_other_values(spark):
+    """Items of the table's kind with every slot filled anew, values drawn from few, so that they coincide often: all are found."""
+    r = random.Random(11)
+    items, docs = [], []
+    for i in range(60):
+        words = [r.choice(["{c}", "{n}", "{n} km"]) if r.random() < 0.2 else "".join(r.choices(SYLLABLES, k=2)) for _ in range(r.randint(20, 40))]
+        put = lambda names, numbers: " ".join(w.replace("{c}", r.choice(names)).replace("{n}", r.choice(numbers)) for w in words)
+        first = dict(c=[f"Name{chr(97 + k)}" for k in range(20)], n=[str(k) for k in range(100, 200)])
+        text = put(first["c"], first["n"])
+        to = {}
+        docs.append((i, " ".join(to.setdefault(w, r.choice(["Ada", "Bo"]) if w[0].isupper() else r.choice(["7", "8"])) if w[0].isupper() or w[0].isdigit() else w for w in text.split())))
+        items.append((i, text))
+    want = {(d, i) for d, i, *_ in brute_matches(docs, items)}
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.matches(frame(spark, docs, "doc_id long, text string"), frame(spark, items, "item_id long, text string")).collect()}
+    assert got == want and sum((i, i) in got for i in range(60)) >= 57
+
+
 # --- chats ---------------------------------------------------------------------------------------------------------------------------
 
 

@@ -24,6 +24,8 @@ from .textkit import tidy
 NAME = "word_bpe_49k.json"
 #: Words of each of two generations whose encoding a worker keeps. Only speed depends on it.
 CACHE_WORDS = 120_000
+#: Pairs of tokens whose test a worker keeps; then it begins anew.
+CACHE_PAIRS = 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -118,6 +120,8 @@ class WordBpe:
                     continue
                 ok = fits.get(before << 32 | token)
                 if ok is None:
+                    if len(fits) >= CACHE_PAIRS:
+                        fits.clear()
                     ok = fits[before << 32 | token] = self.compatible(before, token)
                 if not ok:
                     continue
@@ -195,7 +199,7 @@ def bpe(docs: DataFrame, path: str | None = None, *, with_ids: bool = False) ->
     ids are those of the vocabulary file's tokenizer without added tokens; strings of its special tokens inside a text are
     those tokens. ids_sha256 hashes the decimal ids joined by one space, decoded_sha256 the text decoded from them. Null and
     empty texts have no tokens. Rows are independent, so repeated rows and any doc_id are fine; columns of docs with
-    the names of new ones are replaced. No rows give no rows. Each worker loads the vocabulary file, about 2 MB, by its path.
+    the names of new ones are replaced. Very long texts are encoded whole, one at a time. No rows give no rows. Each worker loads the vocabulary file, about 2 MB, by its path.
     """
     path = path or vocabulary()
     new = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>", "decoded": "string"} if with_ids else {})

@@ -87,7 +87,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     odd = r"\### Assistant: </turn> ok"
     planted = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
-    out = format_chats(chats.unionByName(planted))
+    out = format_chats(chats).unionByName(format_chats(planted))  # apart from a conversation of the table that has its number
     read = out.select("*", read_back(F.col("formatted")).alias("read"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     lines = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
@@ -99,11 +99,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, false AS added FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', true
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', true
 ), b AS (
-  SELECT *, (lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS DISTINCT FROM role)::INT AS fresh,
+  SELECT *, (lag(role) OVER (PARTITION BY conv_id, added ORDER BY turn, role, text) IS DISTINCT FROM role)::INT AS fresh,
          length(text) + 4 * (length(text) - length(replace(text, '&', ''))) + 3 * (length(text) - length(replace(text, '<', ''))) + 3 * (length(text) - length(replace(text, '>', ''))) AS n_esc
   FROM c
 )
@@ -113,5 +113,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        (sum(n_esc) + sum(CASE WHEN fresh = 1 THEN 16 + length(role) ELSE 7 END))::BIGINT AS formatted_chars,
        sum(fresh)::BIGINT AS n_blocks
-FROM b GROUP BY conv_id
+FROM b GROUP BY conv_id, added
 """

@@ -37,9 +37,11 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n_words = np.diff(bounds)
     out = {"n_words": n_words, "word_chars": _sums(chars, bounds), "n_symbols": _sums(SYMBOL[data], offsets)}
 
+    rolling = K.Windows(words, bounds)
+
     def in_repeats(n: int, later_only: bool) -> np.ndarray:
-        keys, at = K.ngram_hashes(words, bounds, n)
-        again, later = K.repeated(keys, K.rows_of(at, bounds))
+        keys, at = rolling.of(n)
+        again, later = K.repeated(keys, rolling.rows[at])
         return K.covered(at[later if later_only else again], n, len(words))
 
     out["n_repeat_words"] = _sums(in_repeats(3, False), bounds)
@@ -68,8 +70,8 @@ def repetition(docs: DataFrame) -> DataFrame:
 
     Kept texts pass the base rules (50 words at least, at most half of the words in repeated 3-word windows) and every
     limit on duplicated lines and on characters inside n-grams of 5 to 10 words that occurred before in the text. Null and
-    empty texts have no words and fail. doc_id may be null or repeated: each row is judged by its own text. No rows give
-    no rows; other columns are left out.
+    empty texts have no words and fail. doc_id may be null or repeated: each row is judged by its own text. Very long texts are judged
+    whole, with some tens of bytes of temporaries for each of theirs. No rows give no rows; other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

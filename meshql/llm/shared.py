@@ -2,58 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.checkpoints import map_file, new_folder, settled as cut, shared_dir, write_file
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where none is set, as in tests, a temporary one is set and used."""
-    sc = spark.sparkContext
-    place = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(place)
-    return place
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, kept in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """URI of a fresh folder in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def write_file(uri: str, data: bytes | memoryview) -> None:
-    """Write a whole file; a task that is run again leaves the same content, never half a file."""
-    fs, path = pafs.FileSystem.from_uri(uri)
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
-        out.write(data)
-    fs.move(part, path)
-
-
-def map_file(uri: str) -> pa.Buffer | None:
-    """The file memory-mapped; where the shared folder isn't mounted, read into memory. None if there is no such file."""
-    fs, path = pafs.FileSystem.from_uri(uri)
-    if isinstance(fs, pafs.LocalFileSystem):
-        if not os.path.exists(path):
-            return None
-        return pa.memory_map(path).read_buffer() if os.path.getsize(path) else pa.py_buffer(b"")
-    if fs.get_file_info(path).type == pafs.FileType.NotFound:
-        return None
-    with fs.open_input_file(path) as f:
-        return f.read_buffer()
+__all__ = ["crc", "cut", "map_file", "new_folder", "partitions_for", "shared_dir", "sharded", "table", "write_file"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,3 +22,8 @@ def crc(column: Column) -> Column:
 def partitions_for(df: DataFrame) -> int:
     """Shards for aggregating what a scan of df yields: a power of two near its number of input splits, 16 at least."""
     return 1 << max(4, (df.rdd.getNumPartitions() - 1).bit_length())
+
+
+def sharded(df: DataFrame, column: str, shards: int) -> DataFrame:
+    """df with every shard (0 to shards - 1) in a partition of its own, so that no task takes several of them whatever AQE would join."""
+    return df.repartitionById(shards, F.col(column).cast("int"))

@@ -47,17 +47,20 @@ _inv = np.ones(1, dtype=U64)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; kept between calls."""
+    """base**i and base**-i modulo 2**64 for i < n. Those for a chunk are kept between calls, longer ones, for a text beyond it, are not."""
     global _pow, _inv
-    if len(_pow) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        with np.errstate(over="ignore"):
-            step = np.full(size, _BASE, dtype=U64)
-            step[0] = 1
-            _pow = np.cumprod(step, dtype=U64)
-            step[1:] = pow(_BASE, -1, 1 << 64)
-            _inv = np.cumprod(step, dtype=U64)
-    return _pow, _inv
+    if len(_pow) >= n:
+        return _pow, _inv
+    size = max(n, 2 * CHUNK_BYTES + 1)
+    with np.errstate(over="ignore"):
+        step = np.full(size, _BASE, dtype=U64)
+        step[0] = 1
+        power = np.cumprod(step, dtype=U64)
+        step[1:] = pow(_BASE, -1, 1 << 64)
+        inverse = np.cumprod(step, dtype=U64)
+    if n <= 2 * CHUNK_BYTES + 1:
+        _pow, _inv = power, inverse
+    return power, inverse
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -170,6 +173,25 @@ def ngram_hashes(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndar
     return out[at], at
 
 
+class Windows:
+    """Rolling hashes of the runs of words inside rows, of any length, from one prefix sum of a polynomial over the words' hashes.
+
+    Rolling on by a word takes one term off and adds one: here both ends come from the prefix sums, for all windows of a length at once.
+    """
+
+    def __init__(self, words: np.ndarray, bounds: np.ndarray) -> None:
+        self.power, self.inverse = _powers(len(words) + 1)
+        self.total = np.zeros(len(words) + 1, dtype=U64)
+        np.cumsum(words * self.power[: len(words)], out=self.total[1:])
+        self.room = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(words))  # words left in the row, from each one on
+        self.rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of every run of n words inside a row, and the place of its first word."""
+        at = np.flatnonzero(self.room >= n)
+        return mix((self.total[at + n] - self.total[at]) * self.inverse[at] + _salt(n)), at
+
+
 def rows_of(places: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The row that holds each place."""
     return np.searchsorted(bounds, places, "right") - 1

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .shared import crc, map_file, new_folder, table, write_file
+from .shared import crc, map_file, new_folder, sharded, table, write_file
 
 #: Pairs that a task holds before it counts and sends them.
 FLUSH = 4_000_000
@@ -162,10 +162,6 @@ def _count_counts(n: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(n, 5), minlength=6)[1:5].astype(np.int64)
 
 
-#: Shard number of the rows that carry totals instead of words.
-STATS = -1
-
-
 def _pair_shards(uri: str, shards: int):  # noqa: ANN202
     def run(group: pa.Table) -> pa.Table:
         firsts, seconds, counts = [], [], []
@@ -179,7 +175,7 @@ def _pair_shards(uri: str, shards: int):  # noqa: ANN202
         keys, one, n = _totals(pair_key(first, second), np.concatenate(counts))
         first, second = first[one], second[one]
         write_file(f"{uri}/pairs-{group['shard'][0].as_py():06d}", _Out().put(keys).counts(n).bytes())
-        rows = [(STATS, _Out().put(_count_counts(n)).bytes())]
+        rows = [(shards, _Out().put(_count_counts(n)).bytes())]
         # of each word: pairs it begins that occur once, twice, more often; pairs it ends; its tokens
         one_of = np.ones(len(n), dtype=np.int64)
         f, _, f1, f2, f3 = _totals(first, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
@@ -193,11 +189,13 @@ def _pair_shards(uri: str, shards: int):  # noqa: ANN202
     return run
 
 
-def _word_shards(uri: str):  # noqa: ANN202
+def _word_shards(uri: str, stats: int):  # noqa: ANN202
+    """stats: the shard whose rows carry totals instead of words."""
+
     def run(group: pa.Table) -> pa.Table:
         shard = group["shard"][0].as_py()
         out = np.zeros(16, dtype=np.int64)
-        if shard == STATS:
+        if shard == stats:
             for blob in group["blob"]:
                 out[:4] += _In(blob.as_buffer()).take(np.int64)
         else:
@@ -310,19 +308,23 @@ class Model:
 _open: dict[str, Model] = {}
 
 
+#: Tokens of a shard, on the average: tens of MB of pairs at most, at any size of the corpus.
+SHARD_TOKENS = 1 << 22
+
+
 def count(train: DataFrame) -> Model:
     """Count the texts of train and write the model to the shared folder."""
     spark, texts = train.sparkSession, train.select("text")
-    shards = 1 << max(4, (texts.rdd.getNumPartitions() - 1).bit_length())
     buckets = texts.mapInArrow(K.tidy(_bucket_counts), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     total = np.zeros(BUCKETS, dtype=np.int64)
     for r in buckets.toArrow().to_pylist():  # as many rows as buckets at most
         total[r["bucket"]] = r["n"]
     hot = total * HOT_SHARE > total.sum()
+    shards = 1 << max(4, int(total.sum() // SHARD_TOKENS).bit_length())
     uri = new_folder(spark, "kneser-ney")
     sent = texts.mapInArrow(K.tidy(_pairs(hot, shards)), "shard int, blob binary")
-    words = sent.groupBy("shard").applyInArrow(_pair_shards(uri, shards), "shard int, blob binary")
-    stats = words.groupBy("shard").applyInArrow(_word_shards(uri), "stat array<long>").toArrow()["stat"]  # a row for each shard
+    words = sharded(sent, "shard", shards).groupBy("shard").applyInArrow(_pair_shards(uri, shards), "shard int, blob binary")
+    stats = sharded(words, "shard", shards + 1).groupBy("shard").applyInArrow(_word_shards(uri, shards), "stat array<long>").toArrow()["stat"]  # a row for each shard
     return Model(uri, shards, hot, np.array(stats.to_pylist(), dtype=np.int64).reshape(-1, 16).sum(axis=0))
 
 
@@ -351,7 +353,7 @@ def perplexity(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     The model learns from the documents whose crc32 of doc_id modulo 7 isn't 2; a null doc_id counts as an empty text there. Null
-    and empty texts are one end token. Repeated rows count and are scored each. Without training rows every token is
+    and empty texts are one end token. Very long texts are counted and scored whole. Repeated rows count and are scored each. Without training rows every token is
     unseen: its base probability is 1 and its score 0. No rows give no rows; other columns are left out.
     """
     held_out = crc(F.col("doc_id")) % 7 == 2

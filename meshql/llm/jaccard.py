@@ -2,8 +2,9 @@
 
 Each document is the set of its word n-grams. Sets meet in index lists of their rarest n-grams (prefix filter). Two relations between sets save work:
 inside a list, entries of one size and position form blocks that are skipped together when no pair of them can share enough;
-and the answers of a list's hub, to which its other entries are compared first, bound those of the entries that it is similar to,
-so that most pairs of a group are settled by what is known of both against the hub, or by being connected already.
+and answers are reused: those of a list's hub, to which its other entries are compared first, bound those of the entries that it is
+similar to, so that most pairs of a group are settled by what is known of both against the hub, or by being connected already; of what
+is left, a set's answers are derived from a highly similar set's by the n-grams in which the two differ.
 
 Lists never leave the task that holds their n-gram's shard as pairs: what has to be compared travels as packed arrays
 by pairs of blocks of similar sets. Equal sets are one entry throughout.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 from .kneser_ney import _blobs, _In, _Out, _totals
-from .shared import cut, new_folder, table
+from .shared import cut, new_folder, sharded, table
 
 WORDS, PERCENT = 5, 80
 #: Buckets of the table of n-gram counts that orders n-grams from rare to frequent: 1 MB for any input. It bears on speed, not on results.
@@ -29,6 +30,8 @@ SKETCH_BITS, SLICES = 20, 64
 FLUSH, BLOCK = 2_000_000, 512
 #: Up to so many ids are sent to the workers to fetch texts; with more, the texts are joined.
 BROADCAST_IDS = 2_000_000
+#: Entries of a shard of index lists, on the average: tens of MB at any size of the corpus.
+SHARD_ENTRIES = 1 << 20
 U64 = np.uint64
 
 
@@ -61,40 +64,41 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _signatures(words: int):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in K.chunks(batch.column("text")):
-                size, fp = prints(*sets(data, offsets, words), b - a)
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), pa.array(size), _longs(fp)], ["doc", "n", "fp"])
+SIGNED = "doc long, n long, fp long, shard int, blob binary"
 
-    return run
 
+def _signatures(words: int):  # noqa: ANN202
+    """A row with size and fingerprint for each text, and at a task's end rows with its counts of n-grams by bucket, packed by slice."""
 
-def _sketch(words: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
-            for _, _, data, offsets in K.chunks(batch.column("text")):
-                _, keys = sets(data, offsets, words)
+            for a, b, data, offsets in K.chunks(batch.column("text")):
+                rows, keys = sets(data, offsets, words)
+                size, fp = prints(rows, keys, b - a)
                 total += np.bincount((keys >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), pa.array(size), _longs(fp), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], SIGNED_NAMES)
         parts = total.reshape(SLICES, -1)
         held = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array([_Out().counts(parts[s]).bytes() for s in held], pa.binary())], ["shard", "blob"])
+        none = pa.nulls(len(held), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(held.astype(np.int32)), pa.array([_Out().counts(parts[s]).bytes() for s in held], pa.binary())], SIGNED_NAMES)
 
     return run
 
 
+SIGNED_NAMES = [x.split()[0] for x in SIGNED.split(", ")]
+
+
 def _sum_slices(group: pa.Table) -> pa.Table:
     total = sum(_In(b.as_buffer()).counts() for b in group["blob"])
     code = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
     return pa.table({"shard": group["shard"].slice(0, 1).combine_chunks(), "blob": pa.array([code.tobytes()], pa.binary())})
 
 
-def frequency_codes(texts: DataFrame, words: int) -> np.ndarray:
-    """For each bucket of n-grams a code that grows with their count over all texts."""
+def frequency_codes(signed: DataFrame) -> np.ndarray:
+    """For each bucket of n-grams a code that grows with their count over all texts, from the rows of counts among `signed`."""
     out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), dtype=np.uint8)
-    parts = texts.mapInArrow(K.tidy(_sketch(words)), "shard int, blob binary").groupBy("shard").applyInArrow(_sum_slices, "shard int, blob binary")
+    parts = signed.where("shard is not null").select("shard", "blob").groupBy("shard").applyInArrow(_sum_slices, "shard int, blob binary")
     for s, blob in parts.collect():  # 64 rows of 16 kB
         out[s] = np.frombuffer(blob, dtype=np.uint8)
     return out.ravel()
@@ -188,6 +192,53 @@ def _unpack(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
 
 
+#: Sets of fewer n-grams are compared anew; for larger ones answers are derived if so much of a set, in hundredths, is the other's too.
+DERIVE_SIZE, DERIVE_SHARE = 128, 60
+
+
+def _common(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Mask of those of p that q has; both sorted."""
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    return q[at] == p
+
+
+class _Answers:
+    """Overlaps of a run of sets with others. Where a set is highly similar to one whose overlaps are known, its own are derived from those.
+
+    With base B and set X, X's overlap with Y is B's, plus what Y has of X without B, less what Y has of B without X. Both differences are taken once.
+    """
+
+    def __init__(self, found: dict[int, np.ndarray]) -> None:
+        self.found = found
+        self.base, self.known = None, {}
+        self.of, self.plus, self.minus = None, None, None
+        self.derived = 0
+
+    def overlap(self, x: int, y: int) -> int:
+        p, q = self.found[x], self.found[y]
+        if len(p) < DERIVE_SIZE:
+            return int(np.count_nonzero(_common(p, q)))
+        if x != self.base and x != self.of:
+            self._begin(x, p)
+        if x == self.base:
+            both = self.known[y] = int(np.count_nonzero(_common(p, q)))
+            return both
+        if y not in self.known:
+            return int(np.count_nonzero(_common(p, q)))
+        self.derived += 1
+        return self.known[y] + int(np.count_nonzero(_common(self.plus, q))) - int(np.count_nonzero(_common(self.minus, q)))
+
+    def _begin(self, x: int, p: np.ndarray) -> None:
+        if self.base is not None:
+            b = self.found[self.base]
+            own = _common(p, b)
+            if 100 * np.count_nonzero(own) >= DERIVE_SHARE * max(len(p), len(b)):
+                self.of, self.plus, self.minus = x, p[~own], b[~_common(b, p)]
+                return
+        self.base, self.known, self.of = x, {}, None
+
+
 def _compare(words: int, percent: int, all_answers: bool):  # noqa: ANN202
     """Compare the pairs of a group whose sets' texts are in the same group.
 
@@ -206,16 +257,13 @@ def _compare(words: int, percent: int, all_answers: bool):  # noqa: ANN202
             edges = np.searchsorted(rows, np.arange(b - a + 1))
             for i in range(b - a):
                 found[own[a + i]] = keys[edges[i] : edges[i + 1]]
-        union, out = _Union(), []
+        union, out, answers = _Union(), [], _Answers(found)
         for x, y in pairs.tolist():
             cx, cy = comp[x], comp[y]
             if not all_answers and union.find(cx) == union.find(cy):
                 continue
-            p, q = found[x], found[y]
-            at = np.searchsorted(q, p)
-            at[at == len(q)] = 0
-            both = int(np.count_nonzero(q[at] == p))
-            linked = 100 * both >= percent * (len(p) + len(q) - both)
+            both = answers.overlap(x, y)
+            linked = 100 * both >= percent * (len(found[x]) + len(found[y]) - both)
             if linked:
                 union.join(cx, cy)
             if linked or all_answers:
@@ -331,16 +379,18 @@ def near_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     Documents link when 100 * |intersection| >= percent * |union| of their sets of distinct n-word shingles (A-Z lower-cased, words
     parted by white space). A text with fewer words is one shingle as a whole; null, empty and blank texts have an empty set and no links.
     component_id is the smallest doc_id reachable by links. A null doc_id counts as the largest and stays null where no other is reached.
-    Repeated rows link with each other. No rows give no rows; other columns are left out. Sets are told apart by 64-bit hashes.
+    Repeated rows link with each other. Very long texts are taken whole. No rows give no rows; other columns are left out. Sets are told apart
+    by 64-bit hashes.
     """
     far = 2**63 - 1
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(far)).alias("doc"), "text")
     texts_only = base.select("text")
-    shards = 1 << max(5, texts_only.rdd.getNumPartitions().bit_length())
-    signed = cut(base.mapInArrow(K.tidy(_signatures(words)), "doc long, n long, fp long"))
-    codes = docs.sparkSession.sparkContext.broadcast(frequency_codes(texts_only, words))
+    signed = cut(base.mapInArrow(K.tidy(_signatures(words)), SIGNED))
+    codes = docs.sparkSession.sparkContext.broadcast(frequency_codes(signed))
+    signed = signed.where("shard is null").select("doc", "n", "fp")
+    shards = 1 << max(5, int((signed.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // 100 // SHARD_ENTRIES).bit_length())
     sent = texts_only.mapInArrow(K.tidy(_index(words, percent, codes, shards)), "shard int, blob binary")
-    lists = cut(sent.groupBy("shard").applyInArrow(_lists(percent), LISTS))
+    lists = cut(sharded(sent, "shard", shards).groupBy("shard").applyInArrow(_lists(percent), LISTS))
 
     least = signed.where("n > 0").groupBy("fp").agg(F.min("doc").alias("doc"))
     live = least.join(lists.select("fp").distinct(), "fp")
@@ -375,7 +425,7 @@ def near_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     sets_of = cut(sets_of)
     entries = lists.join(sets_of, "fp").join(answers.select(F.col("a").alias("hub"), F.col("b").alias("fp"), "both"), ["hub", "fp"], "left")
     mixed = entries.select("shard", "token", "fp", "comp", "block", "n", "place", "hub_n", F.when(F.col("fp") == F.col("hub"), F.col("n")).otherwise(F.col("both")).cast("double").alias("both"))
-    rest = cut(mixed.groupBy("shard").applyInArrow(_rest(percent), "a long, b long, pairs binary, fps array<long>"))
+    rest = cut(sharded(mixed, "shard", shards).groupBy("shard").applyInArrow(_rest(percent), "a long, b long, pairs binary, fps array<long>"))
     groups = _groups(rest.select(F.coalesce(F.sum(F.size("fps")), F.lit(0))).first()[0])
     rest = rest.withColumn("g", F.pmod(F.xxhash64("a", "b"), F.lit(groups)))
     needed = rest.select("g", F.explode("fps").alias("fp")).distinct().join(sets_of.select("fp", "comp"), "fp")

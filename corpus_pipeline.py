@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet in the shared folder and read again as the
 next stage's docs. All stages but the last return the columns of documents. Empty tables pass through all stages; null texts count as empty;
-rows with a null doc_id are kept by the stages that drop documents by id.
+rows with a null doc_id are kept by the stages that drop documents by id. Very long texts go through all stages whole. Of linked documents the one
+with the smallest doc_id stays, of rows that repeat it in all columns but maps one. Columns of documents are carried along, but for those named like
+the ones that the last stage adds (n_tokens, ids_sha256, decoded_sha256), which it replaces.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = cut(jaccard.near_components(docs))
     kept = _without(docs, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
     repeats = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return kept.dropDuplicates() if repeats else kept
+    comparable = [c for c, kind in kept.dtypes if "map<" not in kind]
+    return kept.dropDuplicates(comparable) if repeats else kept
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat_format, decontaminate, hilbert, html_extract, jaccard, kneser_ney, line_dedup, repetition, toxicity
+from . import bpe, chat_format, decontaminate, elkan, hilbert, html_extract, jaccard, kneser_ney, line_dedup, minhash, repetition, toxicity
 
 QUERIES = {
     "op1_crf_html": html_extract.query,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_repetition": repetition.query,
     "op9_bpe": bpe.query,
     "op10_kneser_ney": kneser_ney.query,
+    "op11_elkan_codes": elkan.query,
+    "op12_minhash": minhash.query,
 }
 
 #: The others have no SQL: they are tested against brute force.
@@ -22,4 +24,6 @@ ORACLE_SQL = {
     "op5_jaccard_join": jaccard.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
     "op8_repetition": repetition.ORACLE,
+    "op11_elkan_codes": elkan.ORACLE,
+    "op12_minhash": minhash.ORACLE,
 }

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.checkpoints import map_file, new_folder, settled as cut, shared_dir, write_file
+from ..operators.checkpoints import map_file, new_folder, remove, settled as cut, shared_dir, write_file
 
-__all__ = ["crc", "cut", "map_file", "new_folder", "partitions_for", "shared_dir", "sharded", "table", "write_file"]
+__all__ = ["crc", "cut", "map_file", "new_folder", "partitions_for", "remove", "shared_dir", "sharded", "table", "write_file"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -391,13 +391,13 @@ def near_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     shards = 1 << max(5, int((signed.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // 100 // SHARD_ENTRIES).bit_length())
     sent = texts_only.mapInArrow(K.tidy(_index(words, percent, codes, shards)), "shard int, blob binary")
     lists = cut(sharded(sent, "shard", shards).groupBy("shard").applyInArrow(_lists(percent), LISTS))
-    return linked_components(base, signed, lists, lambda mixed: sharded(mixed, "shard", shards), words, percent)
+    return linked_components(base, signed, lists, lambda mixed, _: sharded(mixed, "shard", shards), words, percent)
 
 
-def linked_components(base: DataFrame, signed: DataFrame, lists: DataFrame, dealt: Callable[[DataFrame], DataFrame], words: int, percent: int) -> DataFrame:
+def linked_components(base: DataFrame, signed: DataFrame, lists: DataFrame, dealt: Callable[[DataFrame, DataFrame], DataFrame], words: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) from the lists in which sets meet, every link confirmed on the full sets.
 
-    base: (doc, text). signed: (doc, n, fp), a row for each of base. lists: LISTS, whatever index they come from. dealt: brings the entries of a shard together.
+    base: (doc, text). signed: (doc, n, fp), a row for each of base. lists: LISTS, whatever index they come from. dealt: brings the entries of a shard together, given them and (fp, lead), the set that each set stands with.
     """
     far = 2**63 - 1
     least = signed.where("n > 0").groupBy("fp").agg(F.min("doc").alias("doc"))
@@ -433,7 +433,7 @@ def linked_components(base: DataFrame, signed: DataFrame, lists: DataFrame, deal
     sets_of = cut(sets_of)
     entries = lists.join(sets_of, "fp").join(answers.select(F.col("a").alias("hub"), F.col("b").alias("fp"), "both"), ["hub", "fp"], "left")
     mixed = entries.select("shard", "token", "fp", "comp", "block", "n", "place", "hub_n", F.when(F.col("fp") == F.col("hub"), F.col("n")).otherwise(F.col("both")).cast("double").alias("both"))
-    rest = cut(dealt(mixed).groupBy("shard").applyInArrow(_rest(percent), "a long, b long, pairs binary, fps array<long>"))
+    rest = cut(dealt(mixed, led).groupBy("shard").applyInArrow(_rest(percent), "a long, b long, pairs binary, fps array<long>"))
     groups = _groups(rest.select(F.coalesce(F.sum(F.size("fps")), F.lit(0))).first()[0])
     rest = rest.withColumn("g", F.pmod(F.xxhash64("a", "b"), F.lit(groups)))
     needed = rest.select("g", F.explode("fps").alias("fp")).distinct().join(sets_of.select("fp", "comp"), "fp")

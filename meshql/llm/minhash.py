@@ -92,8 +92,11 @@ def _signed(words: int, count: int, per: int):  # noqa: ANN202
     return run
 
 
-def band_lists(signed: DataFrame, percent: int) -> DataFrame:
-    """Lists (jaccard.LISTS) of the different sets that share a band. The hub is the set with the least hash, found by a partial aggregate; pair: sizes allow a link with it."""
+def band_lists(signed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Lists (jaccard.LISTS) of the different sets that share a band, and (token, hub, hub_n): the set with the least hash of each list, found by a partial aggregate.
+
+    pair: the sizes allow a link with the hub.
+    """
     sets_of = signed.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     entries = sets_of.select("fp", "n", F.explode("bands").alias("token"))
     lead = F.min(F.struct(F.xxhash64("fp").alias("h"), "fp", "n"))
@@ -102,16 +105,21 @@ def band_lists(signed: DataFrame, percent: int) -> DataFrame:
     # the smallest overlap of a link is at most the smaller set
     fits = F.ceil((F.col("n") + F.col("hub_n")) * percent / (100 + percent)) <= F.least("n", "hub_n")
     zero = F.lit(0)
-    return entries.join(hubs, "token").select(zero.alias("shard"), "token", "fp", "n", zero.cast("long").alias("place"), "hub", "hub_n", ((F.col("fp") != F.col("hub")) & fits).alias("pair"))
+    return entries.join(hubs, "token").select(zero.alias("shard"), "token", "fp", "n", zero.cast("long").alias("place"), "hub", "hub_n", ((F.col("fp") != F.col("hub")) & fits).alias("pair")), hubs
 
 
-def open_lists(mixed: DataFrame, shards: int) -> DataFrame:
-    """Of the lists' entries those of lists with sets of several components. A list of over PART sets goes as pairs of parts: each entry to the pairs that hold its part."""
-    many = cut(mixed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).where("low < high").select("token", F.ceil(F.col("c") / PART).alias("parts")))
-    own = mixed.drop("shard").join(many, "token").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
+def open_lists(mixed: DataFrame, hubs: DataFrame, led: DataFrame, shards: int) -> DataFrame:
+    """Of the lists' entries those of lists with sets of several components, dealt by neighbourhood: lists whose hubs stand with one set go to one shard, where a pair
+    that meets in many of them is found once. A neighbourhood of over PART sets goes as pairs of parts: each entry to the pairs that hold its part."""
+    many = mixed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("c")).where("low < high").select("token", "c")
+    placed = cut(many.join(hubs.select("token", "hub"), "token").join(led.select(F.col("fp").alias("hub"), "lead"), "hub").select("token", "lead", "c"))
+    total = placed.groupBy("lead").agg(F.ceil(F.sum("c") / (BANDS * PART)).alias("parts"))
+    placed = cut(placed.join(total, "lead").select("token", "lead", "parts"))
+    own = mixed.drop("shard").join(placed, "token").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
     pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    held = pairs.withColumn("token", F.when(F.col("parts") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other"))))
-    return held.drop("part", "other", "parts").withColumn("shard", F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int"))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    held = pairs.withColumn("shard", F.pmod(F.xxhash64("lead", low, high), F.lit(shards)).cast("int")).withColumn("token", F.when(F.col("parts") == 1, F.col("token")).otherwise(F.xxhash64("token", low, high)))
+    return held.drop("part", "other", "parts", "lead")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, count: int = BANDS, per: int = ROWS) -> DataFrame:
@@ -125,9 +133,10 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     """
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), "text")
     signed = cut(base.mapInArrow(K.tidy(_signed(words, count, per)), "doc long, n long, fp long, bands array<long>"))
-    lists = cut(band_lists(signed, percent))
+    lists, hubs = band_lists(signed, percent)
+    lists = cut(lists)
     shards = max(64, lists.count() // ENTRIES)
-    found = jaccard.linked_components(base, signed.drop("bands"), lists, lambda mixed: open_lists(mixed, shards), words, percent)
+    found = jaccard.linked_components(base, signed.drop("bands"), lists, lambda mixed, led: open_lists(mixed, hubs, led, shards), words, percent)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

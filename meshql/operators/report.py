@@ -128,6 +128,15 @@ def grid_layout(uv: DataFrame) -> DataFrame:
     return turned.join(F.broadcast(box), KEY).select(*KEY, "vid", (F.col("u") - F.col("mu")).alias("u"), (F.col("v") - F.col("mv")).alias("v"))
 
 
+def grid_limits(grid: DataFrame) -> DataFrame:
+    """Limits of the flatmaps of subjects that have both hemispheres: half the longer side of each, the subject's larger one, and the largest of all."""
+    half = (F.greatest(F.max("u") - F.min("u"), F.max("v") - F.min("v")) / 2).alias("half")
+    boxes = settled(grid.groupBy(*KEY).agg(half))  # a row for each mesh from here on
+    own = boxes.groupBy("subject").agg(F.max("half").alias("own_limit"), F.count("*").alias("n")).where("n = 2").drop("n")
+    kept = boxes.join(own, "subject")
+    return kept.join(F.broadcast(kept.agg(F.max("half").alias("shared_limit")))).select(*KEY, "half", "own_limit", "shared_limit")
+
+
 def median_distortion(distortion: DataFrame) -> DataFrame:
     return distortion.groupBy(*KEY).agg(F.median("distortion").alias("median"), F.avg("distortion").alias("mean"))
 

@@ -26,7 +26,8 @@ def path_key(path: Column) -> tuple[Column, Column]:
     return subject, F.regexp_extract(name, r"^(lh|rh)\.", 1)
 
 
-def _decoded(spark: SparkSession, paths: str | list[str], schema: str, decode: Callable[[bytes], pd.DataFrame]) -> DataFrame:
+def _decoded(spark: SparkSession, paths: str | list[str], schema: str, decode: Callable[[bytes], pd.DataFrame], tolerant: bool = False) -> DataFrame:
+    """tolerant: a column `failure` more; a file that can't be decoded is one row with the reason there, in place of an error."""
     subject, hemi = path_key(F.col("path"))
     files = spark.read.format("binaryFile").load(paths).select(subject.alias("subject"), hemi.alias("hemi"), "path", "content")
 
@@ -34,48 +35,53 @@ def _decoded(spark: SparkSession, paths: str | list[str], schema: str, decode: C
         for batch in batches:
             for row in batch.itertuples():
                 try:
-                    out = decode(row.content)
+                    out, failure = decode(row.content), None
                 except ValueError as e:
-                    raise ValueError(f"{row.path}: {e}") from e
+                    if not tolerant:
+                        raise ValueError(f"{row.path}: {e}") from e
+                    out, failure = pd.DataFrame(index=[0], columns=empty), f"{row.path.rpartition('/')[2]}: {e}"
                 out.insert(0, "subject", row.subject)
                 out.insert(1, "hemi", row.hemi)
+                if tolerant:
+                    out["failure"] = failure
                 yield out
 
-    return files.mapInPandas(run, schema)
+    empty = [c.split()[0] for c in schema.split(", ") if c.split()[0] not in KEY]
+    return files.mapInPandas(run, schema + ", failure string" * tolerant)
 
 
-def read_patches(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_patches(spark: SparkSession, paths: str | list[str], *, tolerant: bool = False) -> DataFrame:
     """patch rows; pid is the place in the file. Raises on a wrong header or a short body."""
 
     def decode(raw: bytes) -> pd.DataFrame:
         xyz, ids, border = binary.read_patch(raw)
         return pd.DataFrame({"pid": np.arange(len(ids)), "vid": ids, "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2], "is_border": border})
 
-    return _decoded(spark, paths, SCHEMAS["patch"], decode)
+    return _decoded(spark, paths, SCHEMAS["patch"], decode, tolerant)
 
 
-def read_vertices(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_vertices(spark: SparkSession, paths: str | list[str], *, tolerant: bool = False) -> DataFrame:
     def decode(raw: bytes) -> pd.DataFrame:
         xyz, _ = binary.read_surface(raw)
         return pd.DataFrame({"vid": np.arange(len(xyz)), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
 
-    return _decoded(spark, paths, "subject string, hemi string, vid long, x double, y double, z double", decode)
+    return _decoded(spark, paths, "subject string, hemi string, vid long, x double, y double, z double", decode, tolerant)
 
 
-def read_faces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_faces(spark: SparkSession, paths: str | list[str], *, tolerant: bool = False) -> DataFrame:
     def decode(raw: bytes) -> pd.DataFrame:
         _, faces = binary.read_surface(raw)
         return pd.DataFrame({"fid": np.arange(len(faces)), "a": faces[:, 0], "b": faces[:, 1], "c": faces[:, 2]})
 
-    return _decoded(spark, paths, SCHEMAS["faces"], decode)
+    return _decoded(spark, paths, SCHEMAS["faces"], decode, tolerant)
 
 
-def read_curvatures(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_curvatures(spark: SparkSession, paths: str | list[str], *, tolerant: bool = False) -> DataFrame:
     def decode(raw: bytes) -> pd.DataFrame:
         values = binary.read_curvature(raw)
         return pd.DataFrame({"vid": np.arange(len(values)), "value": values})
 
-    return _decoded(spark, paths, SCHEMAS["morph"], decode)
+    return _decoded(spark, paths, SCHEMAS["morph"], decode, tolerant)
 
 
 def curvature_of_patch(curvature: DataFrame, patch: DataFrame) -> DataFrame:
@@ -218,6 +224,19 @@ def read_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 # --- finding files ----------------------------------------------------------------------------------------------------
 
 
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """subject, hemi, kind, path of the hemispheres' files (lh.kind, rh.kind) below a folder; none of them is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[lr]h.*").load(folder)
+    subject, hemi = path_key(F.col("path"))
+    return found.select(subject.alias("subject"), hemi.alias("hemi"), F.substring(F.element_at(F.split("path", "/"), -1), 4, 1000).alias("kind"), "path")
+
+
+def first_surface(files: DataFrame, order: tuple[str, ...] = BASE_SURFACES) -> DataFrame:
+    """subject, hemi, path of the surface that comes first in `order`, of each hemisphere that has any."""
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("kind"))
+    return files.where(rank > 0).groupBy(*KEY).agg(F.min_by("path", rank).alias("path"))
+
+
 def base_surface(paths: list[str], patch: str, order: tuple[str, ...] = BASE_SURFACES) -> str | None:
     """Of the listed files the surface beside a patch that comes first in `order`; the patch's name must begin with lh. or rh."""
     folder, _, name = patch.rpartition("/")

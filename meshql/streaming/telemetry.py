@@ -22,3 +22,34 @@ def progress(snapshots: DataFrame) -> DataFrame:
 def watch(snapshots: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
     """Keeps progress() of a stream in a memory table."""
     return progress(snapshots).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# --- events of runs, by day -----------------------------------------------------------------------------------------------
+
+PARTIAL = "day date, run long, n long, n_errors long, k_total long, low struct<value:double,event:long>, head struct<ts:timestamp_ntz,event:long,value:double>, tail struct<ts:timestamp_ntz,event:long,value:double>"
+DAILY = "run long, n long, n_errors long, k_total long, best_value double, best_event long, first_event long, last_event long, first_value double, last_value double, rel_change double, day date"
+
+
+def day_partials(events: DataFrame) -> DataFrame:
+    """PARTIAL rows of events (event_id, ts, user_id as the run, event_type, value, props): what can be merged with other events of the same run and day.
+
+    An event without a time counts on no day (null). Values that are null or not a number count, but are never the lowest. k_total adds the field `k` of the JSON in props;
+    where there is none it adds nothing. A hot run or day is brought down to one row a task before the shuffle.
+    """
+    ts, value = F.col("ts").cast("timestamp_ntz"), F.col("value").cast("double")
+    at = F.when(ts.isNotNull(), F.struct(ts.alias("ts"), F.col("event_id").cast("long").alias("event"), value.alias("value")))
+    low = F.when(value.isNotNull() & ~F.isnan(value), F.struct(value.alias("value"), F.col("event_id").cast("long").alias("event")))
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    return events.groupBy(F.to_date(ts).alias("day"), F.col("user_id").cast("long").alias("run")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("n_errors"), F.coalesce(F.sum(k), F.lit(0)).alias("k_total"), F.min(low).alias("low"), F.min(at).alias("head"), F.max(at).alias("tail"),
+    )
+
+
+def day_rows(partials: DataFrame) -> DataFrame:
+    """DAILY rows: per run and day the events, errors, lowest value and its first event id, first and last event by time, and the relative fall from the first value to the last."""
+    total = partials.groupBy("day", "run").agg(*[F.sum(c).alias(c) for c in ("n", "n_errors", "k_total")], F.min("low").alias("low"), F.min("head").alias("head"), F.max("tail").alias("tail"))
+    first, last = F.col("head.value"), F.col("tail.value")
+    return total.select(
+        "run", "n", "n_errors", "k_total", F.col("low.value").alias("best_value"), F.col("low.event").alias("best_event"), F.col("head.event").alias("first_event"), F.col("tail.event").alias("last_event"),
+        first.alias("first_value"), last.alias("last_value"), F.when(first > 0, F.round((first - last) / first, 6)).alias("rel_change"), "day",
+    )

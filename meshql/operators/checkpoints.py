@@ -52,6 +52,12 @@ def _uri(place: str) -> str:
     return place if "://" in place or not place.startswith("/") and ":" in place else "file://" + os.path.abspath(place)
 
 
+def file_system(place: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it without a slash at its end."""
+    fs, path = pafs.FileSystem.from_uri(_uri(place))
+    return fs, path.rstrip("/")
+
+
 def write_file(uri: str, data: bytes | memoryview) -> None:
     """Write a whole file; a task that is run again leaves the same content, never half a file."""
     fs, path = pafs.FileSystem.from_uri(_uri(uri))

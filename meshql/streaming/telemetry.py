@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..schema import KEY, SCHEMAS
 
@@ -24,6 +28,38 @@ def watch(snapshots: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
     return progress(snapshots).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+TRACE = "subject string, hemi string, step int, phase string, energy double, rel_change double, best_flipped int"
+KEPT = "step int, best int, phases array<string>, energies array<double>"
+
+
+def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Trace rows of a mesh's new snapshots. Kept between batches: the last step, the fewest flips, and each phase's last energy. Steps up to the last one are passed over."""
+    last, best, phases, energies = state.get if state.exists else (-1, None, [], [])
+    before = dict(zip(phases, energies, strict=True))
+    for part in parts:
+        out = []
+        for r in part.drop_duplicates("step").sort_values("step").itertuples():
+            if r.step <= last:
+                continue
+            was, best, last = before.get(r.phase), min(r.n_flipped, r.n_flipped if best is None else best), r.step
+            out.append((*key, r.step, r.phase, r.energy, (was - r.energy) / was if was is not None and was > 0 else None, best))
+            before[r.phase] = r.energy
+        if out:
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in TRACE.split(", ")])
+            yield frame.astype({"step": "int32", "best_flipped": "int32", "rel_change": "float64"})
+    state.update((int(last), None if best is None else int(best), list(before), [float(x) for x in before.values()]))
+
+
+def traces(snapshots: DataFrame) -> DataFrame:
+    """The rows of snapshots.energy_changes() from a stream of snapshots, as they come.
+
+    A mesh's snapshots must come in the order of their steps, but for those of one micro-batch; a step that comes after a later one, or again, is passed over. The coordinates
+    aren't read. State is a few numbers for each mesh and phase.
+    """
+    own = snapshots.select(*KEY, "step", "phase", (F.col("j_d") + F.col("j_a")).alias("energy"), "n_flipped")
+    return own.groupBy(*KEY).applyInPandasWithState(_advance, TRACE, KEPT, "append", GroupStateTimeout.NoTimeout)
+
+
 # --- events of runs, by day -----------------------------------------------------------------------------------------------
 
 PARTIAL = "day date, run long, n long, n_errors long, k_total long, low struct<value:double,event:long>, head struct<ts:timestamp_ntz,event:long,value:double>, tail struct<ts:timestamp_ntz,event:long,value:double>"

@@ -1,4 +1,4 @@
-"""Command line for spark-submit: run, project, flatten, batch, report, snapshots. A bare folder means run.
+"""Command line for spark-submit: run, project, flatten, batch, report, view, template, snapshots. A bare folder means run.
 
 Every command works on one or both hemispheres of a subject folder and prints a status line for each; the exit code is 1 if any failed.
 """
@@ -9,17 +9,18 @@ import argparse
 import os
 import sys
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import folders
 from .config import FlattenConfig, Phase
-from .operators import batch, cuts, flatten, mesh, metrics, report, snapshots, topology
+from .operators import cuts, flatten, mesh, metrics, report, snapshots, topology
 from .operators.checkpoints import settled
 from .schema import KEY
 from .sources import files, store
 
-COMMANDS = ("run", "project", "flatten", "batch", "report", "snapshots")
+COMMANDS = ("run", "project", "flatten", "batch", "report", "view", "template", "snapshots")
 
 
 def session() -> SparkSession:
@@ -63,8 +64,7 @@ def project(spark: SparkSession, folder: str, hemi: str, template: str, output:
         return output
     surf = folder if os.path.basename(folder) == "surf" else f"{folder}/surf"
     inflated, tri = files.read_vertices(spark, f"{surf}/{hemi}.inflated").cache(), files.read_faces(spark, f"{surf}/{hemi}.inflated").cache()
-    base = files.base_surface(_beside(f"{surf}/x"), f"{surf}/{hemi}.x") or f"{surf}/{hemi}.inflated"
-    adj = settled(mesh.mesh_graph(tri, files.read_vertices(spark, base)))
+    adj = settled(mesh.mesh_graph(tri, folders.ground(spark, surf, hemi)))
     key = inflated.select(*KEY).distinct()
     own = files.read_template(spark, template, hemi).crossJoin(F.broadcast(key.limit(1))).select(*KEY, "name", "vid", "ord")
     wall = own.where("name = 'mwall'").select(*KEY, "vid")
@@ -95,49 +95,6 @@ def flatten_patch(spark: SparkSession, patch: str, base: str | None, output: str
     return output
 
 
-def _listed(spark: SparkSession, folder: str) -> DataFrame:
-    """files.listing(), with no rows where there is no such folder yet."""
-    try:
-        return files.listing(spark, folder)
-    except AnalysisException:
-        return spark.createDataFrame([], "subject string, hemi string, kind string, path string")
-
-
-def flatten_folder(spark: SparkSession, folder: str, output: str, config: FlattenConfig, overwrite: bool) -> DataFrame:
-    """Flatten the cut patches of all subjects below a folder in one job, each beside the others, and write output/subject/hemi.flat.patch.3d.
-
-    A status row for each hemisphere: done, skipped (its flat patch is there, and overwrite isn't set) or error, with the reason. A file that can't be read, a hemisphere without
-    a base surface or a mesh that fails is an error of its own hemisphere. Paths are listed by the driver; contents are read by tasks.
-    """
-    there = settled(files.listing(spark, folder))
-    cut = there.where("kind = 'cut.patch.3d'")
-    ready = (there if output == folder else _listed(spark, output)).where((F.col("kind") == "flat.patch.3d") & F.lit(not overwrite)).select(*KEY).distinct()
-    ready = settled(cut.select(*KEY).join(ready, KEY, "left_semi"))
-    todo = settled(cut.join(ready, KEY, "left_anti"))
-    base = settled(files.first_surface(there.join(todo.select(*KEY), KEY, "left_semi")))
-    lost = todo.join(base.select(*KEY), KEY, "left_anti").select(*KEY, F.lit("no base surface").alias("error"))
-    used = todo.join(base.select(*KEY), KEY, "left_semi")
-    skipped = ready.select(*KEY, F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("error"))
-    patches, surfaces = [r["path"] for r in used.collect()], [r["path"] for r in base.collect()]
-    if not patches:
-        return settled(skipped.unionByName(lost.withColumn("status", F.lit("error"))))
-    rows, places, tri = (settled(read(spark, paths, tolerant=True)) for read, paths in ((files.read_patches, patches), (files.read_vertices, surfaces), (files.read_faces, surfaces)))
-    unread = settled(rows.unionByName(places, allowMissingColumns=True).where("failure is not null").groupBy(*KEY).agg(F.min("failure").alias("error")))
-    rows, places, tri = (df.where("failure is null").drop("failure").join(unread, KEY, "left_anti") for df in (rows, places, tri))
-    own = rows.select(*KEY, F.col("pid").alias("vid"), "x", "y", "z")
-    solid = rows.select(*KEY, "pid", "vid").join(places, [*KEY, "vid"]).select(*KEY, F.col("pid").alias("vid"), "x", "y", "z")
-    found = batch.flatten_batch(own, mesh.patch_faces(tri, rows), config, base=solid)
-    flat = found.uv.join(rows.select(*KEY, F.col("pid").alias("vid"), F.col("vid").alias("orig"), "is_border"), [*KEY, "vid"])
-    # a row for each file written
-    written = settled(files.write_patches(flat.select(*KEY, F.col("vid").alias("pid"), F.col("orig").alias("vid"), F.col("u").alias("x"), F.col("v").alias("y"), F.lit(0.0).alias("z"), "is_border"), output, "flat.patch.3d"))
-    status = found.status.join(written, KEY, "left")
-    failed = lost.unionByName(unread).withColumn("status", F.lit("error"))
-    # a patch without any vertex has no row of its own so far
-    known = status.select(*KEY).unionByName(failed.select(*KEY))
-    empty = used.select(*KEY).join(known, KEY, "left_anti").select(*KEY, F.lit("error").alias("status"), F.lit("the patch is empty").alias("error"))
-    return settled(status.unionByName(failed, allowMissingColumns=True).unionByName(empty, allowMissingColumns=True).unionByName(skipped, allowMissingColumns=True))
-
-
 def report_patch(spark: SparkSession, flat: str, base: str | None, method: str) -> DataFrame:
     base = base or files.base_surface(_beside(flat), flat, files.REPORT_SURFACES)
     if base is None:
@@ -151,6 +108,17 @@ def report_patch(spark: SparkSession, flat: str, base: str | None, method: str)
     return report.flatmap_report(solid, uv, tri, kring).join(report.median_distortion(metrics.vertex_distortion(kring, uv)), KEY)
 
 
+def view_patch(spark: SparkSession, patch: str, view: str, output: str) -> str:
+    """The inflated surface beside a patch as a view shows it, what isn't in the patch as cut; written as Parquet."""
+    folder, name = os.path.split(patch)
+    surf = folder if os.path.exists(f"{folder}/{name[:3]}inflated") else f"{folder}/surf"
+    own, tri = files.read_vertices(spark, f"{surf}/{name[:3]}inflated").cache(), files.read_faces(spark, f"{surf}/{name[:3]}inflated")
+    curv = f"{surf}/{name[:3]}curv"
+    shade = files.read_curvatures(spark, curv) if os.path.exists(curv) else own.select(*KEY, "vid", F.lit(0.0).alias("value"))
+    report.view_faces(own, tri, shade, files.read_patches(spark, patch).select(*KEY, "vid"), name[:2], view).write.mode("overwrite").parquet(output)
+    return output
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="meshql", description=__doc__)
     sub = out.add_subparsers(dest="command", required=True)
@@ -174,12 +142,22 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("folder", help="of subjects")
     p.add_argument("--output", help="where the flat patches go, by subject; default: the folder")
     p = sub.add_parser("report")
-    p.add_argument("patch")
+    p.add_argument("patch", help="a flat patch, or a folder of subjects")
     p.add_argument("--base")
     p.add_argument("--method", default="fast", choices=["fast", "sampled"])
+    p = sub.add_parser("view", help="the faces that a view of the projection shows, as a table")
+    p.add_argument("patch")
+    p.add_argument("--view", default="medial", choices=["medial", "ventral", "frontal"])
+    p.add_argument("--output", required=True)
+    p = sub.add_parser("template", help="cuts of a subject's patches, as the JSON that project takes")
+    p.add_argument("folder")
+    p.add_argument("--patch", default="cut.patch.3d", help="the patches' name after lh. and rh.")
+    p.add_argument("--output", required=True)
     p = sub.add_parser("snapshots")
     p.add_argument("path")
     p.add_argument("--frames", type=int, default=100)
+    p.add_argument("--output", help="a folder for the table of frames; without it boxes are printed")
+    p.add_argument("--fps", type=float, default=15.0)
     return out
 
 
@@ -215,12 +193,20 @@ def main(argv: list[str] | None = None) -> int:
         step("flatten", lambda: flatten_patch(spark, args.patch, args.base, output, config_of(args), args.overwrite))
     elif args.command == "batch":
         rows: list = []
-        step("batch", lambda: f"{rows.extend(flatten_folder(spark, args.folder, args.output or args.folder, config_of(args), args.overwrite).orderBy(*KEY).collect()) or len(rows)} hemispheres")
+        step("batch", lambda: f"{rows.extend(folders.flatten_folder(spark, args.folder, args.output or args.folder, config_of(args), args.overwrite).orderBy(*KEY).collect()) or len(rows)} hemispheres")
         for r in rows:
             failed += r["status"] == "error"
             print(f"{r['subject']} {r['hemi']}: {r['status']}" + (f": {r['error']}" if r["error"] else ""))
+    elif args.command == "view":
+        step("view", lambda: view_patch(spark, args.patch, args.view, args.output))
+    elif args.command == "template":
+        step("template", lambda: folders.derive_template(spark, args.folder, args.patch, args.output))
+    elif args.command == "report" and os.path.isdir(args.patch):
+        step("report", lambda: [r.asDict() for r in folders.report_folder(spark, args.patch, args.method).orderBy(*KEY).collect()])
     elif args.command == "report":
         step("report", lambda: [r.asDict() for r in report_patch(spark, args.patch, args.base, args.method).collect()])
+    elif args.output:
+        step("snapshots", lambda: folders.write_frames(store.read_snapshots(spark, args.path), args.frames, args.fps, args.output))
     else:
         step("snapshots", lambda: [r.asDict() for r in snapshots.boxes(snapshots.sampled(store.read_snapshots(spark, args.path), args.frames)).orderBy("step").collect()])
     return int(failed > 0)

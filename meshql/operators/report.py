@@ -137,6 +137,12 @@ def grid_limits(grid: DataFrame) -> DataFrame:
     return kept.join(F.broadcast(kept.agg(F.max("half").alias("shared_limit")))).select(*KEY, "half", "own_limit", "shared_limit")
 
 
+def histogram_array(distortion: DataFrame, bins: int = 50, top: float = 100.0) -> DataFrame:
+    """histogram: the counts of distortion_histogram() as an array of all bins, empty ones too."""
+    counts = metrics.distortion_histogram(distortion, bins, top).groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
+    return counts.select(*KEY, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("histogram"))
+
+
 def median_distortion(distortion: DataFrame) -> DataFrame:
     return distortion.groupBy(*KEY).agg(F.median("distortion").alias("median"), F.avg("distortion").alias("mean"))
 

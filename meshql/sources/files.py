@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -217,6 +218,21 @@ def parse_logs(texts: DataFrame) -> DataFrame:
     )
 
 
+def log_texts(runs: DataFrame) -> DataFrame:
+    """subject, hemi, value: the end of the optimiser's log for each mesh of run_metrics(), with the path of its input (column `input`), in the form that parse_logs() takes."""
+    number = lambda c: F.format_string("%d", c)
+    lines = F.array(
+        F.concat(F.lit(f"{LOG_INPUT} "), "input"), F.lit(""), F.lit(LOG_END), F.concat(F.lit(f"  {LOG_FLIPPED} "), number("flipped_initial"), F.lit(" -> "), number("flipped_final")),
+        F.concat(F.lit(f"  {LOG_ERROR} "), F.format_string("%.2f", "pct_error"), F.lit("%")),
+    )
+    return runs.select(*KEY, F.array_join(lines, "\n").alias("value"))
+
+
+def write_logs(runs: DataFrame, folder: str) -> None:
+    """log_texts() as text files under folder/subject=.../hemi=..., written by tasks; those of other meshes stay."""
+    log_texts(runs).repartition(*KEY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEY).text(folder)
+
+
 def read_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return parse_logs(spark.read.text(paths, wholetext=True))
 
@@ -261,6 +277,15 @@ def complete_subjects(files: DataFrame, pattern: str = r"^(lh|rh)\..*flat.*\.3d$
     return flat.groupBy("subject").agg(F.count_distinct("hemi").alias("n")).where("n = 2").select("subject")
 
 
+def read_surface(spark: SparkSession, subject: str, kind: str, hemi: str, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of a subject's surface; FileNotFoundError if there is none."""
+    path = surface_path(subject, kind, hemi, folder)
+    try:
+        return read_vertices(spark, path), read_faces(spark, path)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no surface {path}") from e
+
+
 def surface_path(subject: str, kind: str, hemi: str, folder: str | None = None) -> str:
     """Path of a subject's surface. The folder given wins over SUBJECTS_DIR."""
     import os

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshql import cli
+from meshql import cli, folders
 from meshql.config import FlattenConfig, Phase
 from meshql.kernels import descent
 from meshql.operators import batch, flatten, report
@@ -140,13 +140,13 @@ def folder_of_subjects(path):
 
 def test_folder_in_one_job(spark, tmp_path, capsys):
     folder_of_subjects(tmp_path / "in")
-    found = {(r["subject"], r["hemi"]): r for r in cli.flatten_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), short(), False).collect()}
+    found = {(r["subject"], r["hemi"]): r for r in folders.flatten_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), short(), False).collect()}
     assert {k: r["status"] for k, r in found.items()} == {("one", "lh"): "done", ("one", "rh"): "done", ("two", "lh"): "error", ("two", "rh"): "error", ("three", "lh"): "error", ("three", "rh"): "done"}
     assert found["two", "lh"]["error"] == "no base surface" and found["two", "rh"]["error"].startswith("rh.cut.patch.3d: ") and "Euler" in found["three", "lh"]["error"]
     xyz, ids, _ = binary.read_patch((tmp_path / "out" / "one" / "lh.flat.patch.3d").read_bytes())
     assert len(ids) == found["one", "lh"]["n_used"] and (xyz[:, 2] == 0).all() and np.ptp(xyz[:, 0]) > 3
     before = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.3d")}
-    again = {(r["subject"], r["hemi"]): r["status"] for r in cli.flatten_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), short(), False).collect()}
+    again = {(r["subject"], r["hemi"]): r["status"] for r in folders.flatten_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), short(), False).collect()}
     assert again == {k: "skipped" if r["status"] == "done" else "error" for k, r in found.items()} and before == {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.3d")}
     cli_args = ["batch", str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--k-ring", "2", "--n-neighbors", "0", "--short"]
     assert cli.main(cli_args) == 1

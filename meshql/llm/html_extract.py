@@ -38,7 +38,7 @@ HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-h
 KINDS = {
     "ad": "ad ads advert advertisement adsbygoogle adbox sponsor sponsored promo promotion banner commercial anzeige werbung publicite publicidad".split(),
     "notice": "cookie cookies consent gdpr notice alert popup modal overlay privacy disclaimer warning toast hinweis aviso avis".split(),
-    "side": "sidebar side widget related recommend recommended more share sharing social follow author bio tags trending popular teaser rail".split(),
+    "side": "sidebar side widget related recommend recommended more share sharing social follow author bio tags trending popular teaser rail aussi relacionados verwandt".split(),
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs topbar toolbar pagination pager header masthead skip".split(),
     "form": "form newsletter subscribe signup login search register contact suche recherche".split(),
     "comments": "comment comments disqus discussion reply replies responses reader kommentar kommentare commentaire commentaires comentario comentarios".split(),
@@ -50,19 +50,23 @@ WORD_KIND = {w: k for k, words in KINDS.items() for w in words}
 CUES = {
     "comments": "comment komment coment repl antwort discuss respond".split(),
     "notice": "cookie consent gdpr privacy datenschutz privacidad".split(),
-    "form": "newsletter subscri abonn suscri signup login password email search suche regist".split(),
+    "form": "newsletter subscri abonn suscri signup login password(?!\\s*=) email search suche regist".split(),
     "ad": "advert sponsor anzeige werbung publici promo".split(),
-    "side": "related recommend popular trending share follow".split(),
+    "side": "related recommend popular trending share follow lire.aussi voir.aussi siehe.auch".split(),
     "foot": "copyright rights reserved impressum imprint terms".split(),
     "menu": "home menu about contact imprint".split(),
 }
 CUE = re.compile("|".join(rf"(?P<{k}>\b(?:{'|'.join(v)}))" for k, v in CUES.items()), re.I)
+#: Elements that hold parts of different kinds side by side: the first part in them tells nothing of the others.
+SHARED = frozenset(("body", "tr", "tbody", "table"))
 #: A text of up to so many words may tell what it, or what follows it, is.
 TELLS = 8
 #: Features around a block that set it apart from the article which it may stand in.
 APART = frozenset(("part-in-article", "hidden", "in:aside", "in:form", "in:nav", "in:footer", "in:menu", "in:dialog", *(f"kind:{k}" for k in KINDS if k != "good")))
 CONTROLS = frozenset(("input", "button", "textarea", "select"))
 PARTS = re.compile(r"[a-z]+")
+#: Longest attributes whose features are kept for other elements.
+KEPT_CHARS = 200
 #: Words of KINDS with so many letters also stand for longer words that begin with them.
 STEM = 6
 STEMS = {w: k for w, k in WORD_KIND.items() if len(w) >= STEM}
@@ -81,9 +85,13 @@ def _names(attrs: str) -> list[str]:
     return found
 
 
-@lru_cache(maxsize=20_000)
 def _own(tag: str, attrs: str) -> frozenset[str]:
-    """Features of an element by itself."""
+    """Features of an element by itself. Those of long attributes aren't kept, so that what is kept has a bound in bytes."""
+    return _kept(tag, attrs) if len(attrs) <= KEPT_CHARS else _kept.__wrapped__(tag, attrs)
+
+
+@lru_cache(maxsize=20_000)
+def _kept(tag: str, attrs: str) -> frozenset[str]:
     own = {f"in:{tag}"} | {f"kind:{k}" for w in _names(attrs) if (k := _kind(w))}
     if HIDDEN.search(attrs):
         own.add("hidden")
@@ -167,11 +175,19 @@ class _Element:
 Block = tuple[str, frozenset[str], str, float, tuple[str, ...]]
 
 
+def _group(tag: str) -> str:
+    """Headings of all levels close each other; other tags close their own kind."""
+    return "h" if tag[0] == "h" and tag[1:].isdigit() else tag
+
+
 def blocks(html: str) -> list[Block]:
     """(text, features of the elements around, innermost tag, share of its characters in links, features of its place) of every leaf block with text."""
     root = _Element("", frozenset(), None)
     found: list[tuple[str, _Element, float]] = []
     stack, texts = [root], []
+    # places in the stack of the open elements of each tag, and of those that fence others in: no search goes through the stack
+    places: dict[str, list[int]] = {}
+    fences = [0]
     linked, in_link, at = 0, False, 0
 
     def close_block() -> None:
@@ -186,6 +202,17 @@ def blocks(html: str) -> list[Block]:
             texts.clear()
         linked = 0
 
+    def leave(place: int) -> None:
+        """Close the element at a place of the stack and all inside it."""
+        for e in stack[place:]:
+            places[_group(e.tag)].pop()
+            if e.tag in FENCE:
+                fences.pop()
+        del stack[place:]
+
+    def last(tag: str) -> int:
+        return (places.get(tag) or fences[:1])[-1]
+
     for start, end, tag, closing, attrs in tags(html):
         if start > at:
             piece = html[at:start]
@@ -204,18 +231,15 @@ def blocks(html: str) -> list[Block]:
             close_block()
             in_link = False
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag or tag[0] == "h" and tag[1:].isdigit() and stack[i].tag[0] == "h" and stack[i].tag[1:].isdigit():
-                        del stack[i:]
-                        break
+                if place := last(_group(tag)):
+                    leave(place)
             elif tag not in VOID:
-                shut = CLOSES.get(tag, ()) or (("p",) if stack[-1].tag == "p" else ())
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in shut or stack[i].tag == "p":
-                        del stack[i:]
-                        break
-                    if stack[i].tag in FENCE:
-                        break
+                place = max(map(last, (*CLOSES.get(tag, ()), "p")))
+                if place > fences[-1]:
+                    leave(place)
+                places.setdefault(_group(tag), []).append(len(stack))
+                if tag in FENCE:
+                    fences.append(len(stack))
                 stack.append(_Element(tag, _inside(stack[-1].around, _own(tag, attrs if "=" in attrs else "")), stack[-1]))
     if at < len(html):
         texts.append(html[at:])
@@ -258,7 +282,7 @@ def _placed(found: list[tuple[str, _Element, float]]) -> list[Block]:
         if cue:
             place.append(f"says:{cue}")
         for group in {home, far}:
-            if group.parent is not None and group.says and group.tag != "body":
+            if group.parent is not None and group.says and group.tag not in SHARED:
                 place.append(f"under:{group.says}")
         if e.controls or home.controls and home.parent is not None and home.tag != "body":
             place.append("controls")
@@ -334,7 +358,7 @@ def labelled_pages(number: int, seed: int) -> list[tuple[list[tuple], list[int]]
     for i in range(number):
         pieces = PageMaker(seed * 1_000_003 + i).page()
         # each text of a piece gets the mark, so that blocks tell their piece after parsing
-        html = "".join(re.sub(r">(?=\s*[^<\s])", f">\x01{y}\x01", p) if y >= 0 else p for p, y in pieces)
+        html = "".join((f"\x01{y}\x01" * (p[:1] not in ("<", "")) + re.sub(r">(?=\s*[^<\s])", f">\x01{y}\x01", p)) if y >= 0 else p for p, y in pieces)
         labels = []
         for text, *_ in blocks(html):
             mark = re.search(r"\x01([01])\x01", text)
@@ -347,8 +371,8 @@ def labelled_pages(number: int, seed: int) -> list[tuple[list[tuple], list[int]]
 
 
 @cache
-def train(pages: int = 450, seed: int = 1, steps: int = 250, ridge: float = 3e-4) -> Crf:
-    """Fit on made pages by Adam on the mean log-likelihood, all pages at once; takes a few seconds and no data of the corpus."""
+def train(pages: int = 2000, seed: int = 1, steps: int = 250, ridge: float = 3e-4) -> Crf:
+    """Fit on made pages by Adam on the mean log-likelihood, all pages at once; takes some ten seconds and no data of the corpus."""
     data = labelled_pages(pages, seed)
     names: dict[str, int] = {"bias": 0}
     rows = [[[0, *(names.setdefault(f, len(names)) for f in (*sorted(a), *shape(t, g, k), *c))] for t, a, g, k, c in found] for found, _ in data]

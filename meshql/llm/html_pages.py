@@ -23,13 +23,15 @@ HEADS = {
     "menu": ["Home", "About us", "Contact", "Menu"],
     "ad": ["Advertisement", "Sponsored", "Anzeige", "Werbung", "Promoted", "Publicidad"],
     "notice": ["We use cookies", "Cookie settings", "Privacy notice", "Datenschutz"],
-    "side": ["Related", "Popular now", "Share this", "Recommended for you", "Trending", "Follow us"],
+    "side": ["Related", "Popular now", "Share this", "Recommended for you", "Trending", "Follow us", "Lire aussi :", "Voir aussi", "Siehe auch"],
     "form": ["Newsletter", "Subscribe now", "Sign up by email", "Search", "Login", "Abonnieren"],
     "comments": ["Comments", "3 comments", "Leave a reply", "Kommentare", "Commentaires", "Comentarios", "Discussion", "12 replies"],
     "foot": ["All rights reserved", "Terms", "Impressum", "Copyright 2021", "Imprint"],
 }
 #: Shares of made pages whose elements have no names, and such as tell nothing; the others have names of AROUND and MAIN.
 BARE, HASHED = 0.3, 0.2
+#: Share of pages without any element for the article, and of blocks of an article that are lists of links.
+PLAIN, LINKED = 0.04, 0.015
 SEMANTIC = frozenset("nav header footer aside article main section menu dialog".split())
 
 SYLLABLES = "ba be bi bo da de di do fa fe ga go ha he ka ke la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to un en ar or".split()
@@ -99,7 +101,7 @@ class PageMaker:
         head = r.choice(["h2", "h3", "h4", "p", "div"])
         if kind == "menu":
             several = "<br>".join(f'<a href="/{i}">{self.words(1, 3)}</a>' for i in range(r.randint(1, 6)))
-            return self.wrap(where, r.choice([f"<ul>{self.links('li')}</ul>", self.links("span"), self.links("div"), several]))
+            return self.wrap(where, r.choice([f"<ul>{self.links('li')}</ul>", self.links("span"), self.links("div"), several, self.head(kind) or several]))
         if kind == "form":
             return self.wrap(where, self.head(kind, r.choice(["", head])) + f"<label>{self.words(1, 4)}</label><input><button>{self.words(1, 2)}</button>" + r.choice(["", f"<p>{self.sentence(3, 20)}</p>"]))
         if kind == "comments":
@@ -110,8 +112,22 @@ class PageMaker:
         inner = r.choice([self.head(kind) + self.sentence(2, 25), self.head(kind, head) + f"<p>{self.sentence(2, 40)}</p>", f"<p>{self.head(kind)}{self.sentence(2, 15)}</p>", self.head(kind, head) + f"<h4>{self.words(1, 4)}</h4><p>{self.sentence(3, 40)}</p>"])
         return self.wrap(where, r.choice([inner, inner, f"{self.head(kind, head)}<ul>{self.links('li')}</ul>"]) if kind == "side" else inner)
 
+    def plain(self) -> list[tuple[str, int]]:
+        """A page that is one run of text, or lines of it, without any element for the article."""
+        r = self.r
+        body = r.choice(["\n", "<br>", "<br><br>", "\n\n"]).join(self.sentence(*r.choice([(4, 20), (15, 80)])) for _ in range(r.choice([1, 1, 2, 4])))
+        return [(r.choice(["", "<body>", "<html><head><title>x</title></head><body>", "<html><body>"]), -1), (body, 1)]
+
+    def link_list(self) -> str:
+        """A list of links that is a part of the article: longer texts than a menu's."""
+        r = self.r
+        tag = r.choice(["ol", "ul", "ol"])
+        return f"<{tag}>" + "".join(f'<li><a href="/{i}">{self.sentence(*r.choice([(3, 8), (5, 15), (8, 25)]))}</a></li>' for i in range(r.randint(2, 9))) + f"</{tag}>"
+
     def page(self) -> list[tuple[str, int]]:
         """Pieces of html in page order, each with its label: 1 for article text. Wrappers that hold pieces have label -1."""
+        if self.r.random() < PLAIN:
+            return self.plain()
         r, out = self.r, [("<html><head><title>x</title></head><body>", -1)]
         framed = self.names != "plain" and r.random() < 0.2  # a table for the layout
         if framed:
@@ -125,8 +141,8 @@ class PageMaker:
         if r.random() < 0.8:
             out.append((f"<h1>{self.words(1, 12)}</h1>", 1))
         for _ in range(r.choice([1, 2, 3, 5, 8, 14])):
-            out.append((self.block(), 1))
-            if r.random() < 0.08:
+            out.append((self.link_list() if r.random() < LINKED else self.block(), 1))
+            if r.random() < 0.16:
                 out.append((self.other(r.choice(INSIDE)), 0))
         if r.random() < 0.15:
             out.append((self.other("comments"), 0))

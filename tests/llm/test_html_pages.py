@@ -1,6 +1,8 @@
 """Main text of pages written by hand, in layouts and with names that the made training pages don't have; and time on broken markup."""
 
+import os
 import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -51,7 +53,7 @@ def test_hand_labelled_page(name):
     assert len(got) == len(want) and all(g.startswith(w) for g, w in zip(got, want, strict=True)), got
 
 
-@pytest.mark.parametrize("unit", ["<a ", '<a href="', "<a x\">\"", "<script ", "<!-- ", "<p", "<a '\">", "<a \"'>", "<div>", "</", "<", "<a b='\"<i \"'>", "<title></title ", "&", "<x y=\"'\" "])
+@pytest.mark.parametrize("unit", ["<a ", '<a href="', "<a x\">\"", "<script ", "<!-- ", "<p", "<a '\">", "<a \"'>", "<div>", "</", "<", "<a b='\"<i \"'>", "<title></title ", "&", "<x y=\"'\" ", "<center>", "<ul><li>", "</center>", "<p></li>", "<h1></h2>", "<table><td>"])
 def test_broken_markup_takes_linear_time(unit):
     model, html = html_extract.train(), unit * (1_000_000 // len(unit))
     began = time.perf_counter()
@@ -60,6 +62,71 @@ def test_broken_markup_takes_linear_time(unit):
     assert time.perf_counter() - began < 6  # two runs of 1 MB
 
 
+@pytest.mark.parametrize(("open_", "close"), [("<div>", "</p>"), ("<ul>", "</li>"), ("<center>", "</b>"), ("<li>", "</h1>"), ("<section>", "</section>")])
+def test_deep_pages_take_linear_time(open_, close):
+    n = 1_000_000 // len(open_ + close)
+    began = time.perf_counter()
+    html_extract.train().text(open_ * n + "x" + close * n)
+    assert time.perf_counter() - began < 3
+
+
+def test_long_attributes_are_not_kept():
+    before = html_extract._kept.cache_info().currsize
+    html_extract.blocks("".join(f"<div class='menu' data-props='{i}{'x' * 5000}'>text</div>" for i in range(50)))
+    assert html_extract._kept.cache_info().currsize == before
+    assert "kind:menu" in html_extract.blocks(f"<div data-props='{'x' * 5000}' class=menu>text</div>")[0][1]
+
+
+#: Pages without an element for the article, lists of links as articles, parts told by a short text alone.
+OTHERS = [
+    ("It was a dark night, and the rain fell on the roofs of the town without an end in sight.", ["It was a dark"]),
+    ("<body>It was a dark night, and the rain fell on the roofs of the town.</body>", ["It was a dark"]),
+    ("<article><h1>Ten books</h1><ol>" + "".join(f"<li><a href=/{i}>The long road to the city number {i}, a novel.</a></li>" for i in range(6)) + "</ol></article>", ["Ten books", *["The long road"] * 6]),
+    ("<table><tr><td>Menu</td><td><h1>Title of it</h1><p>The first engines were slow, loud and heavy, and they broke down every other day.</p></td></tr></table>", ["Title of it", "The first engines"]),
+    ("<article><h1>Titre</h1><p>Il faisait nuit, et la pluie tombait sur les toits de la ville.</p><div class=voir-aussi>Lire aussi : <a href=1>Autre chose</a></div><p>Le matin vint enfin, et les rues se remplirent.</p></article>", ["Titre", "Il faisait", "Le matin"]),
+]
+
+
+@pytest.mark.parametrize("at", range(len(OTHERS)))
+def test_other_layouts(at):
+    html, want = OTHERS[at]
+    got = html_extract.train().text(html).split("\n\n")
+    assert len(got) == len(want) and all(g.startswith(w) for g, w in zip(got, want, strict=True)), got
+
+
+class Article(HTMLParser):
+    """The plain reading of the given pages, whose main text is what stands in <article>: blocks parted by the tags in it."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag in html_extract.BLOCK:
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        if tag in html_extract.BLOCK:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        self.blocks[-1] += data if self.inside else ""
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_given_pages(spark):
+    for r in html_extract.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html"), "page_id").collect():
+        plain = Article()
+        plain.feed(r["html"] or "")
+        plain.close()
+        want = "\n\n".join(t for b in plain.blocks if (t := " ".join(b.split())))
+        assert (r["text"], r["n_chars"]) == (want, len(want)), r["page_id"]
+
+
 def test_tags_end_where_they_should():
     assert [(n, c, a) for *_, n, c, a in html_extract.tags("<p a='>' b=\">\">x</p ><BR/>1 < 2 <<i>y<a <b>")] == [("p", False, " a='>' b=\">\""), ("p", True, " "), ("br", False, "/"), ("i", False, ""), ("a", False, "")]
 
@@ -68,4 +135,4 @@ def test_caches_are_bounded():
     model = html_extract.train()
     for k in range(3):
         model.text("".join(f"<div id='e{k}-{i}' class='c{k * 40_000 + i}'><p>word of text</p></div>" for i in range(20_000)))
-    assert html_extract._own.cache_info().currsize <= 20_000 and html_extract._inside.cache_info().currsize <= 50_000 and len(model.known) <= 100_001
+    assert html_extract._kept.cache_info().currsize <= 20_000 and html_extract._inside.cache_info().currsize <= 50_000 and len(model.known) <= 100_001

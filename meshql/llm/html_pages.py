@@ -30,8 +30,8 @@ HEADS = {
 }
 #: Shares of made pages whose elements have no names, and such as tell nothing; the others have names of AROUND and MAIN.
 BARE, HASHED = 0.3, 0.2
-#: Share of pages without any element for the article, and of blocks of an article that are lists of links.
-PLAIN, LINKED = 0.04, 0.015
+#: Share of pages without any element for the article, of blocks of an article that are lists of links, and of those that another part follows.
+PLAIN, LINKED, INSERTED = 0.04, 0.008, 0.16
 SEMANTIC = frozenset("nav header footer aside article main section menu dialog".split())
 
 SYLLABLES = "ba be bi bo da de di do fa fe ga go ha he ka ke la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to un en ar or".split()
@@ -142,7 +142,7 @@ class PageMaker:
             out.append((f"<h1>{self.words(1, 12)}</h1>", 1))
         for _ in range(r.choice([1, 2, 3, 5, 8, 14])):
             out.append((self.link_list() if r.random() < LINKED else self.block(), 1))
-            if r.random() < 0.16:
+            if r.random() < INSERTED:
                 out.append((self.other(r.choice(INSIDE)), 0))
         if r.random() < 0.15:
             out.append((self.other("comments"), 0))

@@ -32,6 +32,8 @@ FLUSH, BLOCK = 2_000_000, 512
 BROADCAST_IDS = 2_000_000
 #: Entries of a shard of index lists, on the average: tens of MB at any size of the corpus.
 SHARD_ENTRIES = 1 << 20
+#: Ends of edges in a partition of components.
+NODES = 100_000
 U64 = np.uint64
 
 
@@ -328,14 +330,18 @@ def _rest(percent: int):  # noqa: ANN202
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of all ends of edges (a, b): label is the smallest node reachable. Labels spread over edges and jump along labels until nothing changes."""
+    """(node, label) of all ends of edges (a, b): label is the smallest node reachable. Labels spread over edges and jump along labels until nothing changes.
+
+    What is kept between rounds has a partition for each NODES ends, so that few edges don't leave a file in every partition and round.
+    """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    parts = 1 + both.count() // NODES
+    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")).coalesce(parts))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
         moved = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("label"), F.col("label").alias("_old"))
         jump = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        fresh = cut(moved.join(jump, F.col("label") == F.col("_n")).select("node", F.least("label", "_l").alias("label"), "_old"))
+        fresh = cut(moved.join(jump, F.col("label") == F.col("_n")).select("node", F.least("label", "_l").alias("label"), "_old").coalesce(parts))
         done = fresh.where(F.col("label") != F.col("_old")).isEmpty()
         labels = fresh.select("node", "label")
         if done:

@@ -86,4 +86,4 @@ def test_empty_documents(spark, folder, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(ORACLE_SQL) < set(QUERIES)
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 13)) and set(ORACLE_SQL) < set(QUERIES)

@@ -37,7 +37,7 @@ def block_of(subject: str, size: int):  # noqa: ANN201
     return F.floor(F.regexp_extract(subject, r"(\d+)$", 1).cast("long") / size).cast("int")
 
 
-def measure(points: DataFrame, faces: DataFrame, digits: int) -> DataFrame:
+def measure(points: DataFrame, faces: DataFrame, digits: int, meshes: int | None = None) -> DataFrame:
     """A report row for each mesh; measures are null where the check found an error."""
     checked = settled(batch.validate(points.select(*KEY, "vid", "x", "y", "z"), faces))
     good = checked.where("error is null").select(*KEY)
@@ -49,7 +49,7 @@ def measure(points: DataFrame, faces: DataFrame, digits: int) -> DataFrame:
     rim = sides.where("n_faces = 1").groupBy(*KEY).agg(F.count("*").alias("n_rim"))
     flat = report.flatmap_report(solid, uv, tri, ring).select(*KEY, "area_2d_pos", "area_2d_neg", "n_flipped", "pct_error")
     worst = metrics.vertex_distortion(ring, uv).groupBy(*KEY).agg(F.max("distortion").alias("worst_distortion"))
-    box = report.grid_layout(uv).groupBy(*KEY).agg((F.greatest(F.max("u") - F.min("u"), F.max("v") - F.min("v")) / 2).alias("half"))
+    box = report.grid_layout(uv, meshes=meshes).groupBy(*KEY).agg((F.greatest(F.max("u") - F.min("u"), F.max("v") - F.min("v")) / 2).alias("half"))
     out = checked.withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("error")).withColumn("area_3d", F.when(F.col("error").isNull(), F.col("area")))
     for part in (rim, flat, worst, box):
         out = out.join(part, KEY, "left")
@@ -68,7 +68,7 @@ def run(spark: SparkSession, orders: str, output: str, config: dict | None = Non
     log.info("read %s: %d hemispheres, %d of them new or changed", orders, counts["read"], counts["fresh"])
     if not counts["fresh"]:
         return counts
-    rows = measure(m.points.join(fresh.select(*KEY), KEY, "left_semi"), m.faces.join(fresh.select(*KEY), KEY, "left_semi"), config["digits"])
+    rows = measure(m.points.join(fresh.select(*KEY), KEY, "left_semi"), m.faces.join(fresh.select(*KEY), KEY, "left_semi"), config["digits"], counts["fresh"])
     touched = fresh.select("block").distinct()
     for name, schema, own in (("report", REPORT, rows.withColumn("block", block_of("subject", size))), ("marks", MARKS, fresh)):
         there = common.table_or_none(spark, f"{output}/{name}", schema)

@@ -95,7 +95,7 @@ def report_folder(spark: SparkSession, folder: str, method: str = "fast") -> Dat
         out = out.join(said, KEY, "left")
     else:
         out = out.withColumn("log_error", F.lit(None).cast("double"))
-    out = out.join(report.grid_limits(report.grid_layout(uv)), KEY, "left")
+    out = out.join(report.grid_limits(report.grid_layout(uv, meshes=uv.select(*KEY).distinct().count())), KEY, "left")
     return settled(out.unionByName(own.failed, allowMissingColumns=True))
 
 

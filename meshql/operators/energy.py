@@ -210,11 +210,11 @@ def area_preserving_scale(areas: DataFrame, uv: DataFrame, target: DataFrame) ->
     return uv.join(F.broadcast(scale), KEY).select(*KEY, "vid", *[(F.col(m) + F.col("s") * (F.col(c) - F.col(m))).alias(c) for c, m in (("u", "mu"), ("v", "mv"))])
 
 
-def initial_projection(vertices: DataFrame, normals: DataFrame, scale: float = 1.0) -> DataFrame:
+def initial_projection(vertices: DataFrame, normals: DataFrame, scale: float = 1.0, *, meshes: int | None = None) -> DataFrame:
     """Centre, turn the average normal to +Z, drop Z, scale about the centroid: vid, u, v."""
     mid = vertices.groupBy(*KEY).agg(*[F.avg(a).alias(f"m{a}") for a in "xyz"])
     turn = metrics.average_normal(normals).join(mid, KEY).withColumn("d", F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny")))
-    moved = vertices.join(F.broadcast(turn), KEY)
+    moved = vertices.join(mesh.each(turn, meshes), KEY)
     x, y, z = (F.col(a) - F.col(f"m{a}") for a in "xyz")
     nx, ny, nz, d = (F.col(c) for c in ("nx", "ny", "nz", "d"))
     level = d <= 1e-6

@@ -12,6 +12,18 @@ from .checkpoints import settled
 CORNERS = ("a", "b", "c")
 
 
+#: Up to so many meshes a table with a row for each is broadcast, some 100 bytes a row.
+BROADCAST_MESHES = 100_000
+
+
+def each(rows: DataFrame, meshes: int | None) -> DataFrame:
+    """A side with one row for each mesh, to be joined with their vertices or faces: sent to all tasks while the meshes are few; joined by shuffle, where a mesh is a small share, beyond.
+
+    meshes: their number where it may be large; None stands for a few meshes.
+    """
+    return F.broadcast(rows) if meshes is None or meshes <= BROADCAST_MESHES else rows
+
+
 def corners(faces: DataFrame, points: DataFrame, columns: list[str]) -> DataFrame:
     """Faces with the named point columns of each corner, suffixed 0, 1, 2 (equi-join of faces with points, once per corner)."""
     out = faces

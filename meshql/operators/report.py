@@ -121,11 +121,11 @@ def exact_percentiles(df: DataFrame, column: str, wanted: dict[str, float]) -> D
     return found.select("name", value.alias("v")).agg(*[F.max(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in wanted])
 
 
-def grid_layout(uv: DataFrame) -> DataFrame:
+def grid_layout(uv: DataFrame, *, meshes: int | None = None) -> DataFrame:
     """uv turned by a right angle (lh left, rh right) and centred on its bounding box."""
     turned = uv.select(*KEY, "vid", F.when(F.col("hemi") == "lh", -F.col("v")).otherwise(F.col("v")).alias("u"), F.when(F.col("hemi") == "lh", F.col("u")).otherwise(-F.col("u")).alias("v"))
     box = turned.groupBy(*KEY).agg(((F.max("u") + F.min("u")) / 2).alias("mu"), ((F.max("v") + F.min("v")) / 2).alias("mv"))
-    return turned.join(F.broadcast(box), KEY).select(*KEY, "vid", (F.col("u") - F.col("mu")).alias("u"), (F.col("v") - F.col("mv")).alias("v"))
+    return turned.join(mesh.each(box, meshes), KEY).select(*KEY, "vid", (F.col("u") - F.col("mu")).alias("u"), (F.col("v") - F.col("mv")).alias("v"))
 
 
 def grid_limits(grid: DataFrame) -> DataFrame:

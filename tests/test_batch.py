@@ -166,3 +166,17 @@ def test_keys_that_are_missing_show(spark):
     found = {(r["subject"], r["hemi"]): r["error"] for r in batch.validate(m.vertices, m.faces).collect()}
     assert found == {("s000000", "lh"): "1 corners are no vertex", ("s000000", "rh"): None, ("s000001", "lh"): None}
     assert m.points.count() == 699
+
+
+def test_many_meshes_are_not_broadcast(spark, monkeypatch):
+    from meshql.operators import mesh
+
+    v, f = tables(spark, {("a", "lh"): grid(5), ("b", "rh"): grid(4)})
+    config, want = short(), None
+    for most in (10, 1):
+        monkeypatch.setattr(mesh, "BROADCAST_MESHES", most)
+        places = flatten.initial(v, f, config, meshes=2)
+        assert ("ResolvedHint (strategy=broadcast)" in places._jdf.queryExecution().analyzed().toString()) == (most == 10)
+        got = sorted(map(tuple, places.collect()))
+        assert want is None or np.allclose([r[2:] for r in got], [r[2:] for r in want])
+        want = got

@@ -1,19 +1,19 @@
 """Exact BPE encoding by dynamic programming over prefixes, and decoding.
 
-For every prefix of a word there is one token that can end its encoding. Matches of vocabulary strings that end at the
-prefix come from an Aho-Corasick automaton over the vocabulary, not from a suffix automaton over the words: it is built once a worker
-and gives the matches of every prefix in one pass over the word. A match is taken if it is compatible with the last token of the
-prefix before it, that is, if encoding the two tokens together gives the two tokens. Back-pointers then spell the ids.
+For every prefix of a word there is one token that can end its encoding. A suffix automaton is built over the words that are new to
+a worker; the vocabulary, as a trie, is walked through it once and leaves each token at the state that holds its string. The
+tokens that end at a prefix are then those at the prefix's state and on the way along its suffix links. One of them is taken if it is
+compatible with the last token of the prefix before it, that is, if encoding the two tokens together gives the two tokens.
+Back-pointers then spell the ids.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
-import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +26,8 @@ NAME = "word_bpe_49k.json"
 CACHE_WORDS = 120_000
 #: Pairs of tokens whose test a worker keeps; then it begins anew.
 CACHE_PAIRS = 1_000_000
+#: Letters that one suffix automaton is built over, so that its memory is bounded; longer words go through it in overlapping windows.
+CHUNK_LETTERS = 20_000
 
 
 def byte_letters() -> list[str]:
@@ -37,6 +39,75 @@ def byte_letters() -> list[str]:
 
 #: Stands for the word end in the automaton's strings; no letter of byte_letters().
 END = "\uf8ff"
+#: A trie node's token and its length stand under this key, which is no letter.
+TOKEN = ""
+
+Trie = dict[str, "Trie | tuple[int, int]"]
+
+
+class SuffixAutomaton:
+    """The suffix automaton of several strings: its states are the sets of substrings with the same ends.
+
+    A string's prefix is the longest substring of its own state, and all suffixes of the prefix lie on the way along suffix links.
+    """
+
+    def __init__(self, strings: Iterable[str]) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.longest = [-1], [0]
+        #: Of each string the state of every prefix, the empty one first.
+        self.prefixes: list[list[int]] = []
+        edges, link, longest = self.next, self.link, self.longest
+        for string in strings:
+            at, states = 0, [0]
+            for letter in string:
+                to = edges[at].get(letter)
+                if to is not None:  # known from another string
+                    at = to if longest[to] == longest[at] + 1 else self._split(at, to, letter)
+                else:
+                    made, up = len(link), at
+                    longest.append(longest[at] + 1)
+                    edges.append({})
+                    link.append(0)
+                    while up >= 0:
+                        to = edges[up].setdefault(letter, made)
+                        if to != made:
+                            link[made] = to if longest[to] == longest[up] + 1 else self._split(up, to, letter)
+                            break
+                        up = link[up]
+                    at = made
+                states.append(at)
+            self.prefixes.append(states)
+
+    def _split(self, at: int, to: int, letter: str) -> int:
+        """A state of its own for the longest string of `at` with the letter, split off the state `to` of longer ones."""
+        edges, link, split = self.next, self.link, len(self.link)
+        self.longest.append(self.longest[at] + 1)
+        edges.append(edges[to].copy())
+        link.append(link[to])
+        link[to] = split
+        while at >= 0 and edges[at].get(letter) == to:
+            edges[at][letter] = split
+            at = link[at]
+        return split
+
+    def place(self, trie: Trie) -> None:
+        """Walk a trie of strings through the automaton, and note for every state the (length, token) of all of them that are suffixes of its longest string."""
+        edges, link = self.next, self.link
+        marks: dict[int, tuple[tuple[int, int], ...]] = {}
+        open_ = [(trie, 0)]
+        while open_:
+            node, state = open_.pop()
+            for letter, to in edges[state].items():
+                below = node.get(letter)
+                if below is not None:
+                    if TOKEN in below:
+                        marks[to] = (*marks.get(to, ()), below[TOKEN])
+                    if len(below) > (TOKEN in below):
+                        open_.append((below, to))
+        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(link)
+        for state in sorted(range(1, len(link)), key=self.longest.__getitem__):
+            own, more = marks.get(state), self.ending[link[state]]
+            self.ending[state] = more if own is None else own + more
 
 
 class WordBpe:
@@ -73,11 +144,13 @@ class WordBpe:
             if a in self.alone and b in self.alone and self.compatible(a, b, self.rank[a, b][0]):
                 self.alone.add(made)
                 tokens[self.flat(made)] = made
-        # its states are the longest suffixes of what was read that begin a token; suffix links lead to all tokens ending there
-        self.automaton = ahocorasick.Automaton()
+        self.trie: Trie = {}
+        self.widest = max(map(len, tokens))
         for string, i in tokens.items():
-            self.automaton.add_word(string, (len(string), i))
-        self.automaton.make_automaton()
+            node = self.trie
+            for letter in string:
+                node = node.setdefault(letter, {})
+            node[TOKEN] = (len(string), i)
 
     def flat(self, token: int) -> str:
         s = self.strings[token]
@@ -105,28 +178,60 @@ class WordBpe:
     def order(self, t: int) -> int:
         return self.rank[self.parts[t]][0] if t in self.parts else -1
 
-    def encode_word(self, word: str) -> list[int]:
-        string = "".join([self.letters[b] for b in word.encode()])
+    def encode_words(self, words: Iterable[str]) -> Iterator[list[int]]:
+        """ids of each word. Words share suffix automata of a bounded number of letters each."""
+        held: list[str] = []
+        size = 0
+        for word in words:
+            string = "".join([self.letters[b] for b in word.encode()]) + END
+            if held and size + len(string) > CHUNK_LETTERS:
+                yield from self._together(held)
+                held, size = [], 0
+            held.append(string)
+            size += len(string)
+        if held:
+            yield from self._together(held)
+
+    def _together(self, strings: list[str]) -> Iterator[list[int]]:
+        if len(strings) == 1 and len(strings[0]) > CHUNK_LETTERS:
+            yield self._spell(strings[0], self._windows(strings[0]))
+            return
+        automaton = SuffixAutomaton(strings)
+        automaton.place(self.trie)
+        for string, states in zip(strings, automaton.prefixes, strict=True):
+            yield self._spell(string, map(automaton.ending.__getitem__, states[1:]))
+
+    def _windows(self, string: str) -> Iterator[Iterable[tuple[int, int]]]:
+        """What ends at each prefix of a long string: windows begin so far before their first end that every token fits in."""
+        for first in range(0, len(string), CHUNK_LETTERS):
+            begin = max(0, first + 1 - self.widest)
+            automaton = SuffixAutomaton([string[begin : first + CHUNK_LETTERS]])
+            automaton.place(self.trie)
+            yield from map(automaton.ending.__getitem__, automaton.prefixes[0][first - begin + 1 :])
+
+    def _spell(self, string: str, matches: Iterable[Iterable[tuple[int, int]]]) -> list[int]:
+        """The last token of every prefix, from what matches there; then the ids along the back-pointers."""
         n, fits = len(string), self.fits
-        last, back = [-1] * (n + 2), [0] * (n + 2)
-        for at, (size, token) in self.automaton.iter(string + END):
-            i = at + 1
-            if last[i] >= 0 or i == n:  # the last letter stands with the word end only
+        last, back = [-1] * (n + 1), [0] * (n + 1)
+        for i, ending in enumerate(matches, 1):
+            if i == n - 1:  # the last letter stands with the word end only
                 continue
-            j = i - size
-            if j:
-                before = last[j]
-                if before < 0:
-                    continue
-                ok = fits.get(before << 32 | token)
-                if ok is None:
-                    if len(fits) >= CACHE_PAIRS:
-                        fits.clear()
-                    ok = fits[before << 32 | token] = self.compatible(before, token)
-                if not ok:
-                    continue
-            last[i], back[i] = token, j
-        ids, i = [], n + 1
+            for size, token in ending:
+                j = i - size
+                if j:
+                    before = last[j]
+                    if before < 0:
+                        continue
+                    ok = fits.get(before << 32 | token)
+                    if ok is None:
+                        if len(fits) >= CACHE_PAIRS:
+                            fits.clear()
+                        ok = fits[before << 32 | token] = self.compatible(before, token)
+                    if not ok:
+                        continue
+                last[i], back[i] = token, j
+                break
+        ids, i = [], n
         while i:
             ids.append(last[i])
             i = back[i]
@@ -137,18 +242,17 @@ class WordBpe:
         text = unicodedata.normalize("NFC", text)
         return "".join([c.lower() for c in text]) if "Σ" in text else text.lower()
 
-    def word(self, word: str) -> tuple[str, int, str]:
-        """ids as text, their number, and the decoded text of a word."""
-        got = self.seen.get(word)
-        if got is None:
+    def learn(self, words: Iterable[str]) -> dict[str, tuple[str, int, str]]:
+        """Of words that aren't in the newer generation: ids as text, their number, and the decoded text."""
+        out = {w: self.older[w] for w in words if w in self.older}
+        fresh = [w for w in words if w not in out]
+        for word, ids in zip(fresh, self.encode_words(fresh), strict=True):
+            out[word] = (" ".join(map(str, ids)), len(ids), " ".join([self.strings[i] for i in ids]))
+        for word, got in out.items():
             if len(self.seen) >= CACHE_WORDS:
                 self.seen, self.older = {}, self.seen
-            got = self.older.get(word)
-            if got is None:
-                ids = self.encode_word(word)
-                got = (" ".join(map(str, ids)), len(ids), " ".join([self.strings[i] for i in ids]))
             self.seen[word] = got
-        return got
+        return out
 
     def digest(self, text: str) -> tuple[str, int, str]:
         """ids joined by spaces, their number, decoded text."""
@@ -161,7 +265,8 @@ class WordBpe:
                 words = self.pattern.findall(self.normal(piece))
                 got = list(map(self.seen.get, words))
                 if None in got:
-                    got = [x or self.word(w) for x, w in zip(got, words, strict=True)]
+                    fresh = self.learn(dict.fromkeys(w for x, w in zip(got, words, strict=True) if x is None))
+                    got = [x or fresh[w] for x, w in zip(got, words, strict=True)]
                 found += got
         if not found:
             return "", 0, ""
@@ -199,7 +304,7 @@ def bpe(docs: DataFrame, path: str | None = None, *, with_ids: bool = False) ->
     ids are those of the vocabulary file's tokenizer without added tokens; strings of its special tokens inside a text are
     those tokens. ids_sha256 hashes the decimal ids joined by one space, decoded_sha256 the text decoded from them. Null and
     empty texts have no tokens. Rows are independent, so repeated rows and any doc_id are fine; columns of docs with
-    the names of new ones are replaced. Very long texts are encoded whole, one at a time. No rows give no rows. Each worker loads the vocabulary file, about 2 MB, by its path.
+    the names of new ones are replaced. Very long texts are encoded whole, one at a time, and very long words in windows. No rows give no rows. Each worker loads the vocabulary file, about 2 MB, by its path.
     """
     path = path or vocabulary()
     new = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>", "decoded": "string"} if with_ids else {})

@@ -265,6 +265,33 @@ def test_bpe_equals_the_library(library):
         assert own.decode(ids) == own.digest(t)[2] == library.decode(ids, skip_special_tokens=False)
 
 
+def test_suffix_automaton_gives_all_matches():
+    r = random.Random(5)
+    for _ in range(60):
+        strings = ["".join(r.choices("abc", k=r.randint(0, 40))) for _ in range(r.randint(1, 6))] + ["aaaaaaaa", "abababab"]
+        tokens = {t: i for i, t in enumerate({"".join(r.choices("abc", k=r.randint(1, 5))) for _ in range(40)})}
+        trie: dict = {}
+        for t, i in tokens.items():
+            node = trie
+            for letter in t:
+                node = node.setdefault(letter, {})
+            node[bpe.TOKEN] = (len(t), i)
+        automaton = bpe.SuffixAutomaton(strings)
+        automaton.place(trie)
+        assert len(automaton.link) <= 2 * sum(map(len, strings)) + 1
+        for string, states in zip(strings, automaton.prefixes, strict=True):
+            for end, state in enumerate(states):
+                assert sorted(automaton.ending[state]) == sorted((len(t), i) for t, i in tokens.items() if string[:end].endswith(t))
+
+
+def test_bpe_windows_of_long_words(library, monkeypatch):
+    own, r = bpe.WordBpe(bpe.vocabulary()), random.Random(6)
+    strings = [s.replace("</w>", "") for s in own.vocab if s.replace("</w>", "").isalpha() and s.isascii()]
+    monkeypatch.setattr(bpe, "CHUNK_LETTERS", 50)
+    for text in ["a" * 49, "a" * 50, "a" * 51, "ab" * 500, *("".join(r.choices(strings, k=k)) for k in range(1, 120)), " ".join("".join(r.choices(strings, k=5)) for _ in range(300))]:
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_bpe_table(spark, library):
     texts = [*ODD, *random_texts(30, 8)]
     out = bpe.bpe(with_odd_columns(spark, texts), with_ids=True)

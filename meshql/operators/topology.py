@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,18 +43,7 @@ def boundary_vertices(faces: DataFrame) -> DataFrame:
 
 
 def components(edge_table: DataFrame, vertices: DataFrame) -> DataFrame:
-    """vid, comp: the smallest vid reachable along edges (u, v). One union-find per mesh; a mesh is a bounded group."""
-    ends = edge_table.select(*KEY, "u", "v").unionByName(vertices.select(*KEY, F.col("vid").alias("u"), F.col("vid").alias("v")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        vid, comp = graph.components(pdf["u"].to_numpy(), pdf["v"].to_numpy())
-        return pd.DataFrame({"subject": pdf["subject"].iloc[0], "hemi": pdf["hemi"].iloc[0], "vid": vid, "comp": comp})
-
-    return ends.groupBy(*KEY).applyInPandas(run, "subject string, hemi string, vid long, comp long")
-
-
-def spread_components(edge_table: DataFrame, vertices: DataFrame) -> DataFrame:
-    """The same as components() by joins alone, for graphs too large for one task: labels move over edges and jump along labels."""
+    """vid, comp: the smallest vid reachable along edges (u, v). Joins alone: labels move over edges and jump along labels, in a number of rounds that grows with the logarithm of the way."""
     both = settled(edge_table.select(*KEY, F.explode(F.array(F.struct(F.col("u").alias("s"), F.col("v").alias("t")), F.struct(F.col("v").alias("s"), F.col("u").alias("t")))).alias("e")).select(*KEY, "e.s", "e.t").distinct())
     labels = settled(vertices.select(*KEY, "vid", F.col("vid").alias("comp")))
     while True:
@@ -65,15 +56,26 @@ def spread_components(edge_table: DataFrame, vertices: DataFrame) -> DataFrame:
             return labels
 
 
+def components_by_mesh(edge_table: DataFrame, vertices: DataFrame) -> DataFrame:
+    """The same as components() in one pass, for many bounded meshes side by side: one union-find per mesh."""
+    ends = edge_table.select(*KEY, "u", "v").unionByName(vertices.select(*KEY, F.col("vid").alias("u"), F.col("vid").alias("v")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        vid, comp = graph.components(pdf["u"].to_numpy(), pdf["v"].to_numpy())
+        return pd.DataFrame({"subject": pdf["subject"].iloc[0], "hemi": pdf["hemi"].iloc[0], "vid": vid, "comp": comp})
+
+    return ends.groupBy(*KEY).applyInPandas(run, "subject string, hemi string, vid long, comp long")
+
+
 def component_sizes(parts: DataFrame) -> DataFrame:
     """comp, size, rank: 1 for the largest, of equal ones that with the smallest vid first."""
     sizes = parts.groupBy(*KEY, "comp").agg(F.count("*").alias("size"))
     return sizes.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("size"), "comp")).cast("long"))
 
 
-def drop_small_components(faces: DataFrame, vertices: DataFrame, *, small: int = 20, large: int = 100, strict: bool = True) -> DataFrame:
-    """Vertices of the largest component, and of others with more than `small`; one with more than `large` is an error if strict."""
-    parts = components(mesh.edges(faces), vertices)
+def drop_small_components(faces: DataFrame, vertices: DataFrame, *, small: int = 20, large: int = 100, strict: bool = True, label: Callable[[DataFrame, DataFrame], DataFrame] = components) -> DataFrame:
+    """Vertices of the largest component, and of others with more than `small`; one with more than `large` is an error if strict. label: components or components_by_mesh."""
+    parts = label(mesh.edges(faces), vertices)
     sizes = component_sizes(parts)
     if strict and (bad := sizes.where(f"rank > 1 and size > {large}").first()):
         raise TopologyError(f"{bad['subject']}/{bad['hemi']}: a second component has {bad['size']} vertices")
@@ -87,17 +89,46 @@ def boundary_loops(faces: DataFrame) -> DataFrame:
 
 
 def boundary_paths(faces: DataFrame) -> DataFrame:
-    """loop, ord, vid: each loop walked from its smallest vid to that one's smaller neighbour. A vertex with more than two boundary edges is walked as far as edges are left."""
-    rim = boundary_edges(faces)
+    """loop, ord, vid: each loop walked from its smallest vid to that one's smaller neighbour. A vertex with more than two boundary edges is walked as far as edges are left.
+
+    Simple loops are ranked by joins; where loops cross or end, the walk depends on all steps before it and each connected part of the boundary is a group.
+    """
+    rim = settled(boundary_edges(faces))
+    parts = components(rim, rim.select(*KEY, F.explode(F.array("u", "v")).alias("vid")).distinct())
+    both = rim.select(*KEY, F.col("u").alias("s"), F.col("v").alias("t")).unionByName(rim.select(*KEY, F.col("v").alias("s"), F.col("u").alias("t")))
+    both = settled(both.join(parts.withColumnRenamed("vid", "s"), [*KEY, "s"]))
+    ends = both.groupBy(*KEY, "comp", "s").agg(F.count("*").alias("n"))
+    crossed = ends.where("n <> 2").select(*KEY, "comp").distinct()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(loop[0], i, v) for loop in graph.loops(pdf["u"].tolist(), pdf["v"].tolist()) for i, v in enumerate(loop)]
+        rows = [(loop[0], i, v) for loop in graph.loops(pdf["s"].tolist(), pdf["t"].tolist()) for i, v in enumerate(loop)]
         out = pd.DataFrame(rows, columns=["loop", "ord", "vid"])
         out.insert(0, "subject", pdf["subject"].iloc[0])
         out.insert(1, "hemi", pdf["hemi"].iloc[0])
         return out
 
-    return rim.groupBy(*KEY).applyInPandas(run, "subject string, hemi string, loop long, ord int, vid long")
+    walked = both.where("s < t").join(crossed, [*KEY, "comp"], "left_semi").groupBy(*KEY, "comp").applyInPandas(run, "subject string, hemi string, loop long, ord int, vid long")
+    return _ranked_loops(both.join(crossed, [*KEY, "comp"], "left_anti")).unionByName(walked)
+
+
+def _ranked_loops(both: DataFrame) -> DataFrame:
+    """loop, ord, vid of loops without crossings, given as edges (s, t) both ways with comp, the smallest vid. List ranking: the pointers of all steps double their reach in each round.
+
+    A step (s, t) is followed by the step from t to its other neighbour. Steps that come back to the smallest vid are last; that from its larger neighbour ends the walk asked for.
+    """
+    ahead = both.select(*KEY, F.col("s").alias("t"), F.col("t").alias("w"))
+    first = both.where("s = comp").groupBy(*KEY, "comp").agg(F.max("t").alias("before"))
+    sizes = both.groupBy(*KEY, "comp").agg((F.count("*") / 2).cast("int").alias("size"))
+    last = F.col("t") == F.col("comp")
+    steps = both.join(ahead, [*KEY, "t"]).where("w <> s").select(*KEY, "comp", "s", "t", F.when(last, F.col("s")).otherwise(F.col("t")).alias("ps"), F.when(last, F.col("t")).otherwise(F.col("w")).alias("pt"), F.when(last, 0).otherwise(1).alias("n"))
+    steps = settled(steps)
+    while True:
+        on = steps.select(*KEY, F.col("s").alias("ps"), F.col("t").alias("pt"), F.col("ps").alias("qs"), F.col("pt").alias("qt"), F.col("n").alias("more"))
+        steps = settled(steps.join(on, [*KEY, "ps", "pt"]).select(*KEY, "comp", "s", "t", F.col("qs").alias("ps"), F.col("qt").alias("pt"), (F.col("n") + F.col("more")).alias("n")))
+        if steps.where("pt <> comp").isEmpty():
+            break
+    walk = steps.join(first.withColumnRenamed("before", "ps"), [*KEY, "comp", "ps"], "left_semi").join(sizes, [*KEY, "comp"])
+    return walk.select(*KEY, F.col("comp").alias("loop"), ((F.col("size") - F.col("n")) % F.col("size")).cast("int").alias("ord"), F.col("t").alias("vid"))
 
 
 def longest_loop(faces: DataFrame) -> DataFrame:
@@ -114,7 +145,7 @@ def hole_fill_round(faces: DataFrame, excluded: DataFrame) -> DataFrame:
     Boundary vertices with more than two boundary neighbours if there are any; else those of all loops but the longest.
     """
     patch = mesh.faces_without(faces, excluded)
-    rim = boundary_edges(patch)
+    rim = settled(boundary_edges(patch))
     ends = rim.select(*KEY, F.explode(F.array("u", "v")).alias("vid")).groupBy(*KEY, "vid").agg(F.count("*").alias("n"))
     knots = ends.where("n > 2").select(*KEY, "vid")
     loops = components(rim, ends.select(*KEY, "vid"))

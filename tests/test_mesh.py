@@ -51,6 +51,14 @@ def test_quad(spark):
     assert metrics.distance_error(metrics.k1_distances(lengths), plane(spark, [(x * metrics.CORRECTION**-1, y * metrics.CORRECTION**-1) for x, y, _ in QUAD])).first()["pct_error"] < 1e-9
 
 
+def test_boundary_walks_equal_the_kernel(spark):
+    own = [(0, 1, 2), (2, 3, 4), (10, 14, 11), (11, 14, 12), (12, 14, 13), (30, 32, 31), (40, 41, 42), (40, 41, 43), (40, 41, 44)]
+    got = sorted((r["loop"], r["ord"], r["vid"]) for r in topology.boundary_paths(faces(spark, own)).collect())
+    rim = graph.boundary(np.array(own))
+    assert got == sorted((walk[0], i, v) for walk in graph.loops(rim[:, 0].tolist(), rim[:, 1].tolist()) for i, v in enumerate(walk))
+    assert [v for loop, _, v in got if loop == 10] == [10, 11, 12, 13, 14] and topology.boundary_paths(faces(spark, own).limit(0)).count() == 0
+
+
 def test_flips_with_and_without_zero_area(spark):
     f = faces(spark, [(0, 1, 2), (1, 2, 3), (0, 1, 1)])
     a = metrics.planar_areas(f, plane(spark, QUAD))
@@ -60,7 +68,7 @@ def test_flips_with_and_without_zero_area(spark):
 
 def test_components_and_sizes(spark):
     v, f = points(spark, TWO_QUADS), faces(spark, TWO_FACES)
-    for parts in (topology.components(mesh.edges(f), v), topology.spread_components(mesh.edges(f), v)):
+    for parts in (topology.components(mesh.edges(f), v), topology.components_by_mesh(mesh.edges(f), v)):
         assert {(r["vid"], r["comp"]) for r in parts.collect()} == {(i, 0 if i < 4 else 4) for i in range(8)}
     sizes = topology.component_sizes(topology.components(mesh.edges(f), v)).collect()
     assert {(r["comp"], r["size"], r["rank"]) for r in sizes} == {(0, 4, 1), (4, 4, 2)}

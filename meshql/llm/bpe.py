@@ -23,7 +23,7 @@ from .textkit import tidy
 
 NAME = "word_bpe_49k.json"
 #: Words of each of two generations whose encoding a worker keeps. Only speed depends on it.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 300_000
 #: Pairs of tokens whose test a worker keeps; then it begins anew.
 CACHE_PAIRS = 1_000_000
 #: Letters that one suffix automaton is built over, so that its memory is bounded; longer words go through it in overlapping windows.

@@ -32,6 +32,17 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The same as settled(), as a table: for what a loop makes anew from itself.
+
+    A checkpoint hands on its plan's estimate of the size, which for a join is the product of both sides', so that a table joined with itself in each round has an estimate
+    of twice as many digits each time, and the planner ends in long multiplication. A table's size is that of its files.
+    """
+    uri = new_folder(df.sparkSession, "rounds")
+    df.write.parquet(uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """URI of a fresh folder in the shared folder, which is removed when the driver ends."""
     uri = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..kernels import graph
 from ..schema import KEY
 from . import mesh
-from .checkpoints import settled
+from .checkpoints import kept, settled
 
 
 class TopologyError(ValueError):
@@ -50,7 +50,7 @@ def components(edge_table: DataFrame, vertices: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("vid", "t"), [*KEY, "t"]).groupBy(*KEY, F.col("s").alias("vid")).agg(F.min("comp").alias("m"))
         moved = labels.join(near, [*KEY, "vid"], "left").select(*KEY, "vid", F.least("comp", "m").alias("to"), F.col("comp").alias("old"))
         jump = labels.select(*KEY, F.col("vid").alias("to"), F.col("comp").alias("far"))
-        fresh = settled(moved.join(jump, [*KEY, "to"]).select(*KEY, "vid", F.least("to", "far").alias("comp"), "old"))
+        fresh = kept(moved.join(jump, [*KEY, "to"]).select(*KEY, "vid", F.least("to", "far").alias("comp"), "old"))
         labels = fresh.select(*KEY, "vid", "comp")
         if fresh.where("comp <> old").isEmpty():
             return labels
@@ -121,10 +121,10 @@ def _ranked_loops(both: DataFrame) -> DataFrame:
     sizes = both.groupBy(*KEY, "comp").agg((F.count("*") / 2).cast("int").alias("size"))
     last = F.col("t") == F.col("comp")
     steps = both.join(ahead, [*KEY, "t"]).where("w <> s").select(*KEY, "comp", "s", "t", F.when(last, F.col("s")).otherwise(F.col("t")).alias("ps"), F.when(last, F.col("t")).otherwise(F.col("w")).alias("pt"), F.when(last, 0).otherwise(1).alias("n"))
-    steps = settled(steps)
+    steps = kept(steps)
     while True:
         on = steps.select(*KEY, F.col("s").alias("ps"), F.col("t").alias("pt"), F.col("ps").alias("qs"), F.col("pt").alias("qt"), F.col("n").alias("more"))
-        steps = settled(steps.join(on, [*KEY, "ps", "pt"]).select(*KEY, "comp", "s", "t", F.col("qs").alias("ps"), F.col("qt").alias("pt"), (F.col("n") + F.col("more")).alias("n")))
+        steps = kept(steps.join(on, [*KEY, "ps", "pt"]).select(*KEY, "comp", "s", "t", F.col("qs").alias("ps"), F.col("qt").alias("pt"), (F.col("n") + F.col("more")).alias("n")))
         if steps.where("pt <> comp").isEmpty():
             break
     walk = steps.join(first.withColumnRenamed("before", "ps"), [*KEY, "comp", "ps"], "left_semi").join(sizes, [*KEY, "comp"])

@@ -59,6 +59,13 @@ def test_boundary_walks_equal_the_kernel(spark):
     assert [v for loop, _, v in got if loop == 10] == [10, 11, 12, 13, 14] and topology.boundary_paths(faces(spark, own).limit(0)).count() == 0
 
 
+def test_walk_of_a_long_boundary(spark):
+    """A strip of 1,500 squares: 3,002 vertices on one loop, 12 rounds of ranking. With estimates of sizes that square in each round the planner didn't come to an end."""
+    n = 1500
+    f = spark.range(n).selectExpr("'s' subject", "'lh' hemi", f"explode(array(struct(2 * id fid, id a, id + 1 b, id + {n + 1} c), struct(2 * id + 1 fid, id + 1 a, id + {n + 2} b, id + {n + 1} c))) t").selectExpr("subject", "hemi", "t.*")
+    assert [r["vid"] for r in topology.boundary_paths(f).orderBy("ord").collect()] == [*range(n + 1), *range(2 * n + 1, n, -1)]
+
+
 def test_flips_with_and_without_zero_area(spark):
     f = faces(spark, [(0, 1, 2), (1, 2, 3), (0, 1, 1)])
     a = metrics.planar_areas(f, plane(spark, QUAD))

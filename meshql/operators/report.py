@@ -59,13 +59,16 @@ def rotation(elevation: float, azimuth: float) -> list[list[float]]:
     return [right, [math.cos(e) * u - math.sin(e) * t for u, t in zip(up, toward, strict=True)], [math.sin(e) * u + math.cos(e) * t for u, t in zip(up, toward, strict=True)]]
 
 
-def view_faces(vertices: DataFrame, faces: DataFrame, curvature: DataFrame, patch_vertices: DataFrame, hemi: str, view: str) -> DataFrame:
-    """Faces that a view shows: fid, is_cut, shade, depth, depth_rank (far ones first). A face is cut if any corner isn't in the patch."""
+def view_faces(vertices: DataFrame, faces: DataFrame, curvature: DataFrame, patch_vertices: DataFrame, hemi: str, view: str, *, turned_over: bool = False) -> DataFrame:
+    """Faces that a view shows: fid, is_cut, shade, depth, depth_rank (far ones first). A face is cut if any corner isn't in the patch.
+
+    turned_over: the faces are seen from their other side. Their corners keep their order, in which the depth is summed up, so that its last digit, and with it the rank, stays.
+    """
     m = rotation(*view_angles(hemi, view))
     both = vertices.join(curvature.select(*KEY, "vid", "value"), [*KEY, "vid"])
     c = mesh.corners(faces, both, ["x", "y", "z", "value"])
     outside = mesh.faces_touching(faces, vertices.join(patch_vertices, [*KEY, "vid"], "left_anti")).select(*KEY, "fid", F.lit(True).alias("_out"))
-    n = metrics.face_normal()
+    n = metrics.face_normal(("0", "2", "1") if turned_over else ("0", "1", "2"))
     size = norm(n) + 1e-10
     turned = [sum((F.lit(w) * x for w, x in zip(row, n, strict=True)), F.lit(0.0)) / size for row in m]
     mid = [(F.col(f"{a}0") + F.col(f"{a}1") + F.col(f"{a}2")) / 3 for a in "xyz"]

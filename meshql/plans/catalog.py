@@ -744,8 +744,7 @@ def _view(name: str) -> None:
 
     def run(m: Mesh) -> DataFrame:
         patch = mesh.used_vertices(mesh.faces_without(m.faces, excluded(m)))
-        tri = m.faces.select(*KEY, "fid", "a", F.col("c").alias("b"), F.col("b").alias("c")) if name == "ventral" else m.faces
-        return report.view_faces(m.vertices, tri, m.points.select(*KEY, "vid", "value"), patch, "lh", name)
+        return report.view_faces(m.vertices, m.faces, m.points.select(*KEY, "vid", "value"), patch, "lh", name, turned_over=name == "ventral")
 
     run.__name__ = f"projection_view_{name}"
     query(view_sql(*report.view_angles("lh", name), turned_over=name == "ventral"), digits=5)(run)

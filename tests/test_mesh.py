@@ -326,6 +326,16 @@ def test_report_helpers(spark):
     assert callable(signed_area)
 
 
+def test_a_view_from_the_other_side_sums_depths_in_the_same_order(spark):
+    p = points(spark, [(0.1, 0.3, 0.1), (1.2, 0.1, 0.7), (0.2, 1.1, 0.2)])
+    f, value = faces(spark, [(0, 1, 2)]), p.selectExpr("subject", "hemi", "vid", "z - 0.4 value")
+    turned = f.selectExpr("subject", "hemi", "fid", "a", "c b", "b c")
+    there = [report.view_faces(p, own, value, p.select("subject", "hemi", "vid"), "lh", "ventral", turned_over=t).collect() for own, t in ((f, True), (turned, False), (f, False))]
+    m = report.rotation(*report.view_angles("lh", "ventral"))[2]
+    mid = [(0.1 + 1.2 + 0.2) / 3, (0.3 + 0.1 + 1.1) / 3, (0.1 + 0.7 + 0.2) / 3]
+    assert there[0][0]["depth"] == m[0] * mid[0] + m[1] * mid[1] + m[2] * mid[2] and there[0][0]["shade"] == there[1][0]["shade"] and not there[2]
+
+
 def test_snapshot_sampling_equals_numpy(spark):
     for n in (1, 7, 30, 57, 100):
         rows = [("s", "lh", i + 1, "p", [(0.0, 0.0)]) for i in range(n)]

@@ -65,8 +65,8 @@ def labels(snapshots: DataFrame) -> DataFrame:
 
 
 def energy_changes(snapshots: DataFrame) -> DataFrame:
-    """step, total energy, its relative change against the step before in the same phase, fewest flips so far."""
+    """step, total energy, its change relative to the step before in the same phase (null after an energy of 0), fewest flips so far."""
     total = F.col("j_d") + F.col("j_a")
     phase = Window.partitionBy(*KEY, "phase").orderBy("step")
     before = F.lag(total).over(phase)
-    return snapshots.select(*KEY, "step", "phase", total.alias("energy"), F.when(before > 0, (before - total) / before).alias("rel_change"), F.min("n_flipped").over(by_step().rowsBetween(Window.unboundedPreceding, 0)).alias("best_flipped"))
+    return snapshots.select(*KEY, "step", "phase", total.alias("energy"), F.when(before != 0, (before - total) / before).alias("rel_change"), F.min("n_flipped").over(by_step().rowsBetween(Window.unboundedPreceding, 0)).alias("best_flipped"))

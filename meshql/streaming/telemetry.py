@@ -42,7 +42,7 @@ def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> It
             if r.step <= last:
                 continue
             was, best, last = before.get(r.phase), min(r.n_flipped, r.n_flipped if best is None else best), r.step
-            out.append((*key, r.step, r.phase, r.energy, (was - r.energy) / was if was is not None and was > 0 else None, best))
+            out.append((*key, r.step, r.phase, r.energy, (was - r.energy) / was if was is not None and was != 0 else None, best))
             before[r.phase] = r.energy
         if out:
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in TRACE.split(", ")])

@@ -336,6 +336,11 @@ def test_a_view_from_the_other_side_sums_depths_in_the_same_order(spark):
     assert there[0][0]["depth"] == m[0] * mid[0] + m[1] * mid[1] + m[2] * mid[2] and there[0][0]["shade"] == there[1][0]["shade"] and not there[2]
 
 
+def test_energy_changes_below_zero(spark):
+    shots = spark.createDataFrame([("s", "lh", i, "p", e, 0.0, 3) for i, e in enumerate([2.0, -1.0, -3.0, 0.0, 4.0])], "subject string, hemi string, step int, phase string, j_d double, j_a double, n_flipped int")
+    assert [r["rel_change"] for r in snapshots.energy_changes(shots).orderBy("step").collect()] == [None, 1.5, -2.0, 1.0, None]
+
+
 def test_snapshot_sampling_equals_numpy(spark):
     for n in (1, 7, 30, 57, 100):
         rows = [("s", "lh", i + 1, "p", [(0.0, 0.0)]) for i in range(n)]

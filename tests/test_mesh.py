@@ -155,6 +155,20 @@ def test_rings_and_geodesics_leave_the_ring(spark):
     assert d == pytest.approx({1: 1.0, 2: 1.0, 3: 2.0})
 
 
+def test_rings_of_a_mesh_of_several_shards(spark):
+    """No task holds more than shards of bounded size; rings that reach over them are the same as by joins."""
+    from meshql.operators import packs
+
+    grid = plain_grid(spark, 80)
+    adj = mesh.mesh_graph(grid.faces, grid.vertices).cache()
+    sizes = [len(packs.load(r["uri"], r["at"], r["size"], 0).shard(r["block"]).ids) for r in packs.packed(adj).collect()]
+    assert sum(sizes) == 6400 and len(sizes) > 3 and max(sizes) <= packs.BLOCK
+    by_joins = {tuple(r) for r in rings.krings(adj, 3).select("src", "dst", "hop").collect()}
+    found = rings.geodesics(adj, 3).collect()
+    assert len(found) == len(by_joins) and {(r["src"], r["dst"], r["hop"]) for r in found} == by_joins
+    assert all(r["dist"] == 1 / metrics.CORRECTION for r in found if abs(r["src"] - r["dst"]) in (1, 80))
+
+
 def test_angular_samples(spark):
     rows = [("s", "lh", 0, i, 1, 2 * math.pi * i / 24) for i in range(24)] + [("s", "lh", 1, i, 1, 0.1 * i) for i in range(3)]
     got = rings.angular_samples(spark.createDataFrame(rows, KEYED + "src long, dst long, hop int, angle double"), 8).collect()

@@ -105,6 +105,26 @@ def removed_vertices(full: DataFrame, faces: DataFrame) -> DataFrame:
     return full.select(*KEY, "vid").join(used_vertices(faces), [*KEY, "vid"], "left_anti")
 
 
+#: Rows of a mesh that one task numbers, about.
+NUMBERED = 200_000
+
+
+def ranges(rows: DataFrame, order: str) -> DataFrame:
+    """rows with _part: runs of an integer column's values, counted from 0 in each mesh. Numbers that lie close together, as ids and steps do, make runs of about NUMBERED rows."""
+    span = settled(rows.groupBy(*KEY).agg(F.min(order).alias("_low"), F.ceil((F.max(order) - F.min(order) + 1) * (NUMBERED / F.count("*"))).alias("_width")))
+    return rows.join(span, KEY).withColumn("_part", F.floor((F.col(order) - F.col("_low")) / F.col("_width"))).drop("_low", "_width")
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """A dense number from 0 in the order of an integer column, within each mesh. A mesh is numbered by runs, so that no task sorts it whole; rows are read three times and should be settled."""
+    cut = ranges(rows, order)
+    sums = cut.groupBy(*KEY, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*KEY).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = settled(sums.select(*KEY, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
+    place = F.row_number().over(Window.partitionBy(*KEY, "_part").orderBy(order)) - 1
+    return cut.withColumn("_r", place).join(first, [*KEY, "_part"]).withColumn(name, (F.col("_first") + F.col("_r")).cast("long")).drop("_part", "_first", "_r")
+
+
 def reindex(vertices: DataFrame) -> DataFrame:
     """Dense pid from 0 in the order of vid, within each mesh."""
     order = Window.partitionBy(*KEY).orderBy("vid")
@@ -121,7 +141,7 @@ def build_patch(vertices: DataFrame, faces: DataFrame, excluded: DataFrame) -> D
     dropped = faces.join(kept.select(*KEY, "fid"), [*KEY, "fid"], "left_anti")
     rim = used_vertices(dropped).withColumn("_rim", F.lit(True))
     inside = used_vertices(kept).join(rim, [*KEY, "vid"], "left").select(*KEY, "vid", F.coalesce("_rim", F.lit(False)).alias("is_border"))
-    return reindex(inside.join(vertices, [*KEY, "vid"])).select(*KEY, "pid", "vid", "x", "y", "z", "is_border")
+    return numbered(settled(inside.join(vertices, [*KEY, "vid"])), "vid", "pid").select(*KEY, "pid", "vid", "x", "y", "z", "is_border")
 
 
 def patch_faces(faces: DataFrame, patch: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..schema import KEY
+from . import mesh
+from .checkpoints import settled
 
 REQUIRED = ("step", "uv")
 
@@ -40,13 +42,25 @@ def sampled(snapshots: DataFrame, frames: int) -> DataFrame:
 
 
 def with_holds(frames: DataFrame, fps: float, start: float, transition: float, end: float) -> DataFrame:
-    """Frames with repeats: of the first, of each one before another phase, and of the last. frame_idx counts from 0."""
-    first, last = F.row_number().over(by_step()) == 1, F.lead("step").over(by_step()).isNull()
-    nxt = F.lead("phase").over(by_step())
-    turns = (F.col("phase") != "") & (nxt != "") & (F.col("phase") != nxt)
-    times = 1 + F.when(first, max(0, int(start * fps))).otherwise(0) + F.when(F.coalesce(turns, F.lit(False)), max(0, int(transition * fps))).otherwise(0) + F.when(last, max(0, int(end * fps))).otherwise(0)
-    many = frames.withColumn("_times", times).withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return many.withColumn("frame_idx", F.row_number().over(Window.partitionBy(*KEY).orderBy("step", "_r")) - 1).drop("_times", "_r")
+    """Frames with repeats: of the first, of each one before another phase, and of the last. frame_idx counts from 0.
+
+    A mesh's frames are numbered by runs of steps; a run learns from a row for each run what follows it and how many frames come before.
+    """
+    cut = mesh.ranges(frames, "step")
+    part, runs = Window.partitionBy(*KEY, "_part").orderBy("step"), Window.partitionBy(*KEY).orderBy("_part")
+    ends = cut.groupBy(*KEY, "_part").agg(F.min(F.struct("step", "phase")).alias("_head"))
+    ends = settled(ends.select(*KEY, "_part", F.lead("_head").over(runs).alias("_ahead"), (F.row_number().over(runs) == 1).alias("_opens")))
+    rows = cut.join(ends, [*KEY, "_part"])
+    first = F.col("_opens") & (F.row_number().over(part) == 1)
+    nxt = F.coalesce(F.lead(F.struct("step", "phase")).over(part), F.col("_ahead"))
+    turns = (F.col("phase") != "") & (F.col("_next.phase") != "") & (F.col("phase") != F.col("_next.phase"))
+    times = 1 + F.when(F.col("_is_first"), max(0, int(start * fps))).otherwise(0) + F.when(F.coalesce(turns, F.lit(False)), max(0, int(transition * fps))).otherwise(0) + F.when(F.col("_next").isNull(), max(0, int(end * fps))).otherwise(0)
+    timed = rows.withColumns({"_is_first": first, "_next": nxt}).withColumn("_times", times)
+    sums = timed.groupBy(*KEY, "_part").agg(F.sum("_times").alias("_n"))
+    before = settled(sums.select(*KEY, "_part", F.coalesce(F.sum("_n").over(runs.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset")))
+    own = F.coalesce(F.sum("_times").over(part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    many = timed.withColumn("_at", own).join(before, [*KEY, "_part"]).withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
+    return many.select(*frames.columns, (F.col("_offset") + F.col("_at") + F.col("_r")).cast("int").alias("frame_idx"))
 
 
 def boxes(snapshots: DataFrame) -> DataFrame:

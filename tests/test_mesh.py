@@ -4,9 +4,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meshql.functions.vector import signed_area
-from meshql.operators import cuts, energy, flatten, mesh, metrics, report, rings, snapshots, template, topology
+from meshql.operators import cuts, energy, flatten, mesh, metrics, packs, report, rings, snapshots, template, topology
 from meshql.kernels import cuts as cut_kernel
 from meshql.kernels import descent, graph
 from meshql.plans.meshgen import half_sphere, plain_grid
@@ -505,3 +506,21 @@ def test_entry_survives_a_missing_library():
     code = "import sys; sys.modules['ahocorasick'] = sys.modules['regex'] = None\nimport __spark_entry__ as e\nprint(len(e.queries()), len(e.oracle_sql()))"
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert done.returncode == 0 and int(done.stdout.split()[0]) > 90
+
+
+def test_numbers_and_holds_by_runs(spark, monkeypatch):
+    rows = [("s", h, i * (1 + (h == "rh")), "ab"[i // 20 % 2] if i % 13 else "") for h in ("lh", "rh") for i in range(3, 90)]
+    df = spark.createDataFrame(rows, "subject string, hemi string, step int, phase string")
+    out = []
+    for size in (1000, 7):
+        monkeypatch.setattr(mesh, "NUMBERED", size)
+        held = snapshots.with_holds(df, 10.0, 1.0, 0.3, 2.0)
+        assert held.schema.simpleString() == "struct<subject:string,hemi:string,step:int,phase:string,frame_idx:int>"
+        out.append(sorted(tuple(r) for r in held.collect()))
+        assert sorted(r["n"] for r in mesh.numbered(df, "step", "n").where("hemi = 'rh'").collect()) == list(range(87))
+    assert out[0] == out[1]
+    times = {}
+    for r in out[0]:
+        times[r[:3]] = times.get(r[:3], 0) + 1
+    assert times[("s", "lh", 3)] == 11 and times[("s", "rh", 178)] == 21
+    assert sorted(r[4] for r in out[0] if r[1] == "lh") == list(range(sum(n for k, n in times.items() if k[1] == "lh")))

@@ -50,11 +50,12 @@ def _beside(path: str) -> list[str]:
 
 
 def _write(patch: DataFrame, path: str) -> None:
-    (row,) = files.encode_patches(patch).select("content").collect()  # one hemisphere's file
+    rows = files.encode_patches(patch).orderBy("part").select("content").toLocalIterator()  # one hemisphere's file
     part = f"{path}.part"
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(part, "wb") as f:
-        f.write(bytes(row["content"]))
+        for row in rows:
+            f.write(bytes(row["content"]))
     os.replace(part, path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.checkpoints import write_file
@@ -114,38 +114,74 @@ def write_patches(patch: DataFrame, folder: str, file: str = "patch.3d") -> Data
     return _encoded(patch, folder, file, patch_bytes)
 
 
-def encode_patches(patch: DataFrame) -> DataFrame:
-    """subject, hemi, content: the bytes that write_patches() would write."""
+#: Records of a part of a file that is made or read by several tasks.
+RECORDS = 1 << 16
+PARTS = "subject string, hemi string, part long, content binary"
+
+
+def _in_parts(rows: DataFrame, place: str, encode: Callable[[pd.DataFrame], bytes], header: int, head: Callable[[int], bytes]) -> DataFrame:
+    """PARTS of one file for each mesh: RECORDS rows each by their place, the header before the first. Joined in the order of `part` they are the file; no task holds it whole."""
+    total = rows.groupBy(*KEY).agg(F.count("*").alias("_n"), (F.min(place) - F.min(place) % RECORDS).alias("_low"))
+    each = rows.join(total, KEY).withColumn("part", F.floor((F.col(place) - F.col("_low")) / RECORDS).cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"subject": [pdf["subject"].iloc[0]], "hemi": [pdf["hemi"].iloc[0]], "content": [patch_bytes(pdf)]})
+        part = int(pdf["part"].iloc[0])
+        raw = encode(pdf.sort_values(place))[header:]
+        return pd.DataFrame({"subject": [pdf["subject"].iloc[0]], "hemi": [pdf["hemi"].iloc[0]], "part": [part], "content": [(head(int(pdf["_n"].iloc[0])) if part == 0 else b"") + raw]})
 
-    return patch.groupBy(*KEY).applyInPandas(run, "subject string, hemi string, content binary")
+    return each.groupBy(*KEY, "part").applyInPandas(run, PARTS)
 
 
-def decode_patches(files: DataFrame) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        xyz, ids, border = binary.read_patch(bytes(pdf["content"].iloc[0]))
-        return pd.DataFrame({"subject": pdf["subject"].iloc[0], "hemi": pdf["hemi"].iloc[0], "pid": np.arange(len(ids)), "vid": ids, "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2], "is_border": border})
+def _from_parts(parts: DataFrame, header: int, size: int, first: str, decode: Callable[[bytes, bool], pd.DataFrame], schema: str) -> DataFrame:
+    """Rows of files in parts. A part holds whole records, and the lengths of those before it tell the place (column `first`) of its own. decode() is told whether a part begins with the header."""
+    base = parts if "part" in parts.columns else parts.withColumn("part", F.lit(0).cast("long"))
+    before = Window.partitionBy(*KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    lengths = base.select(*KEY, "part", F.octet_length("content").cast("long").alias("n"))
+    places = lengths.select(*KEY, "part", F.sum("n").over(before).alias("before"))
 
-    return files.groupBy(*KEY).applyInPandas(run, SCHEMAS["patch"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                start = pd.isna(row.before)
+                out = decode(bytes(row.content), start)
+                out.insert(0, "subject", row.subject)
+                out.insert(1, "hemi", row.hemi)
+                out.insert(2, first, np.arange(len(out)) + (0 if start else (int(row.before) - header) // size))
+                yield out
 
+    return base.join(places, [*KEY, "part"]).select(*KEY, "content", "before").mapInPandas(run, schema)
 
-def encode_curvatures(curvature: DataFrame) -> DataFrame:
-    """subject, hemi, content; vertices must be dense from 0."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"subject": [pdf["subject"].iloc[0]], "hemi": [pdf["hemi"].iloc[0]], "content": [binary.write_curvature(pdf.sort_values("vid")["value"].to_numpy())]})
+def encode_patches(patch: DataFrame) -> DataFrame:
+    """PARTS of the bytes that write_patches() would write; pid must be dense."""
+    return _in_parts(patch, "pid", patch_bytes, binary.PATCH_HEADER, binary.patch_header)
+
+
+def decode_patches(files: DataFrame) -> DataFrame:
+    """patch rows of PARTS, or of whole files (subject, hemi, content)."""
+    whole = "part" not in files.columns
+
+    def decode(raw: bytes, start: bool) -> pd.DataFrame:
+        xyz, ids, border = binary.read_patch(raw) if whole else binary.patch_records(raw[binary.PATCH_HEADER :] if start else raw)
+        return pd.DataFrame({"vid": ids, "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2], "is_border": border})
 
-    return curvature.groupBy(*KEY).applyInPandas(run, "subject string, hemi string, content binary")
+    return _from_parts(files, binary.PATCH_HEADER, binary.PATCH_RECORD.itemsize, "pid", decode, SCHEMAS["patch"])
+
+
+def encode_curvatures(curvature: DataFrame) -> DataFrame:
+    """PARTS of curvature files; vertices must be dense from 0."""
+    return _in_parts(curvature, "vid", lambda pdf: binary.write_curvature(pdf["value"].to_numpy()), binary.CURVATURE_HEADER, binary.curvature_header)
 
 
 def decode_curvatures(contents: DataFrame) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = binary.read_curvature(bytes(pdf["content"].iloc[0]))
-        return pd.DataFrame({"subject": pdf["subject"].iloc[0], "hemi": pdf["hemi"].iloc[0], "vid": np.arange(len(values)), "value": values})
+    """morph rows of PARTS, or of whole files (subject, hemi, content)."""
+    whole = "part" not in contents.columns
+
+    def decode(raw: bytes, start: bool) -> pd.DataFrame:
+        values = binary.read_curvature(raw) if whole else binary.curvature_values(raw[binary.CURVATURE_HEADER :] if start else raw)
+        return pd.DataFrame({"value": values})
 
-    return contents.groupBy(*KEY).applyInPandas(run, SCHEMAS["morph"])
+    return _from_parts(contents, binary.CURVATURE_HEADER, 4, "vid", decode, SCHEMAS["morph"])
 
 
 # --- text formats -----------------------------------------------------------------------------------------------------

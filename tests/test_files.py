@@ -5,11 +5,13 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meshql import cli
 from meshql.config import FlattenConfig, cache_name
 from meshql.operators import mesh
 from meshql.plans.meshgen import plain_grid
+from meshql.schema import SCHEMAS
 from meshql.sources import binary, files, store
 from meshql.streaming import telemetry
 
@@ -144,3 +146,18 @@ def test_command_line(spark, tmp_path, capsys):
     assert binary.read_patch((surf.parent / "lh.flat.patch.3d").read_bytes())[1].tolist() == [i for i in range(25) if i not in (10, 11, 12)]
     with pytest.raises(SystemExit):
         cli.main(["nothing"])
+
+
+def test_files_in_parts_are_the_files(spark, monkeypatch):
+    monkeypatch.setattr(files, "RECORDS", 7)
+    patch = spark.createDataFrame([("s", h, i, 3 * i, i / 2, float(-i), 1.0, i % 3 == 0) for h, n in (("lh", 30), ("rh", 5)) for i in range(n)], SCHEMAS["patch"])
+    parts = files.encode_patches(patch)
+    rows = parts.where("hemi = 'lh'").orderBy("part").collect()
+    assert len(rows) == 5 and b"".join(bytes(r["content"]) for r in rows) == files.patch_bytes(patch.where("hemi = 'lh'").toPandas())
+    assert sorted(map(tuple, files.decode_patches(parts).collect())) == sorted(map(tuple, patch.collect()))
+    whole = parts.groupBy("subject", "hemi").agg(F.array_sort(F.collect_list(F.struct("part", "content"))).alias("p")).select("subject", "hemi", F.expr("aggregate(p.content, X'', (a, b) -> concat(a, b))").alias("content"))
+    assert sorted(map(tuple, files.decode_patches(whole).collect())) == sorted(map(tuple, patch.collect()))
+    curv = spark.createDataFrame([("s", "lh", i, i / 4) for i in range(20)], SCHEMAS["morph"])
+    made = files.encode_curvatures(curv)
+    assert made.count() == 3
+    assert sorted(map(tuple, files.decode_curvatures(made).collect())) == sorted(map(tuple, curv.collect()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 from . import graph
@@ -15,18 +17,21 @@ Points = dict[int, np.ndarray]
 
 
 def _matrix(points: Points, ids: list[int]) -> np.ndarray:
-    return np.array([points[i] for i in ids])
+    return points.matrix(ids) if hasattr(points, "matrix") else np.array([points[i] for i in ids])
 
 
-def gaps(points: Points, a: list[int], b: list[int], block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Of each of a, the distance to the nearest of b and that one's place; in blocks, so that the memory is bounded."""
-    q = _matrix(points, b)
-    near, at = [], []
+def gaps(points: Points, a: list[int], b: list[int], block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of a, the distance to the nearest of b and the first such one's place; in blocks of both, so that the memory is bounded."""
+    p, q = _matrix(points, a), _matrix(points, b)
+    near, at = np.full(len(a), np.inf), np.zeros(len(a), dtype=int)
     for i in range(0, len(a), block):
-        d = np.sqrt(((_matrix(points, a[i : i + block])[:, None, :] - q[None]) ** 2).sum(axis=2))
-        at.append(d.argmin(axis=1))
-        near.append(d.min(axis=1))
-    return np.concatenate(near), np.concatenate(at)
+        for j in range(0, len(b), 2 * block):
+            d = np.sqrt(((p[i : i + block, None, :] - q[None, j : j + 2 * block]) ** 2).sum(axis=2))
+            k = d.argmin(axis=1)
+            low = d[np.arange(len(k)), k]
+            at[i : i + block] = np.where(low < near[i : i + block], k + j, at[i : i + block])
+            near[i : i + block] = np.minimum(low, near[i : i + block])
+    return near, at
 
 
 def farthest_pair(points: Points, ids: list[int]) -> tuple[int, int, float]:
@@ -90,13 +95,15 @@ def continuous(adj: Adjacency, points: Points, cut: set[int]) -> set[int]:
     ends = [(v, i) for i, p in enumerate(own) for v in _ends(adj, points, p)]
     far = max(((float(np.linalg.norm(points[a] - points[b])), -x, -y, i) for x, (a, i) in enumerate(ends) for y, (b, j) in enumerate(ends) if i != j), default=None)
     joined, left, out = {far[3]}, set(range(len(own))) - {far[3]}, set(cut)
+
+    @cache
+    def gap(i: int, j: int) -> tuple[float, int, int, int]:
+        d, at = gaps(points, own[i], own[j])
+        k = int(d.argmin())
+        return float(d[k]), own[i][k], own[j][int(at[k])], j
+
     while left:
-        best = None
-        for i in sorted(joined):
-            for j in sorted(left):
-                d, at = gaps(points, own[i], own[j])
-                k = int(d.argmin())
-                best = min(best or (np.inf,), (float(d[k]), own[i][k], own[j][int(at[k])], j))
+        best = min(gap(i, j) for i in sorted(joined) for j in sorted(left))
         found = graph.paths(adj, best[1], {best[2]})
         left.discard(best[3])
         if best[2] in found:
@@ -125,7 +132,9 @@ def refined(adj: Adjacency, points: Points, cut: list[int], wall: set[int]) -> l
             source = cut[int(away.argmax())]
             found = graph.paths(adj, source, set(anchors))
             if found:
-                clear = {a: float(gaps(points, walk, walls)[0].min()) for a, (_, walk) in found.items()}
+                passed = sorted({v for _, walk in found.values() for v in walk})
+                free = dict(zip(passed, gaps(points, passed, walls)[0].tolist(), strict=True))
+                clear = {a: min(free[v] for v in walk) for a, (_, walk) in found.items()}
                 start, end = source, max(sorted(clear), key=lambda a: clear[a])
     found = graph.paths(adj, start, {end})
     if end not in found:
@@ -136,12 +145,18 @@ def refined(adj: Adjacency, points: Points, cut: list[int], wall: set[int]) -> l
 
 def absorb_regions(adj: Adjacency, points: Points, cuts: dict[str, list[int]], wall: set[int], vertices: set[int]) -> dict[str, list[int]]:
     """Parts of the patch other than the largest go to the nearest cut, one after another; a region counts as its cut for the next."""
+    rest = vertices - wall - {v for c in cuts.values() for v in c}
+    return absorbed(points, cuts, parts(adj, rest)[1:])
+
+
+def absorbed(points: Points, cuts: dict[str, list[int]], regions: list[list[int]]) -> dict[str, list[int]]:
+    """Cuts with each region added to the nearest, one after another; where there is one cut alone it is that."""
     out = {k: list(v) for k, v in cuts.items()}
-    rest = vertices - wall - {v for c in out.values() for v in c}
-    for region in parts(adj, rest)[1:]:
-        gap = [(float(gaps(points, region, out[k])[0].min()), k) for k in sorted(out) if out[k]]
-        if gap:
-            out[min(gap)[1]] += region
+    there = [k for k in sorted(out) if out[k]]
+    for region in regions:
+        if there:
+            k = there[0] if len(there) == 1 else min((float(gaps(points, region, out[k])[0].min()), k) for k in there)[1]
+            out[k] += region
     return out
 
 

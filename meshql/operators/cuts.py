@@ -13,6 +13,8 @@ from ..functions.vector import distance, vec
 from ..kernels import cuts as kernel
 from ..kernels import graph
 from ..schema import KEY
+from . import mesh, packs, topology
+from .checkpoints import settled
 
 CUTS = "subject string, hemi string, name string, vid long, ord int"
 
@@ -89,33 +91,30 @@ def within(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return left.join(right, [*KEY, "cx", "cy", "cz"]).where(distance(vec(""), vec("1")) < radius).select(*KEY, "vid").distinct()
 
 
-def _mesh_groups(adj: DataFrame, points: DataFrame, cuts: DataFrame, wall: DataFrame | None) -> DataFrame:
-    """Adjacency, points, cuts and wall of a mesh as rows of one group."""
-    none = F.lit(None)
-    rows = adj.select(*KEY, F.lit("e").alias("kind"), none.cast("string").alias("name"), F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").alias("x"), none.cast("double").alias("y"), none.cast("double").alias("z"))
-    rows = rows.unionByName(points.select(*KEY, F.lit("p").alias("kind"), none.cast("string").alias("name"), F.col("vid").alias("i"), F.lit(0).cast("long").alias("j"), "x", "y", "z"))
-    rows = rows.unionByName(cuts.select(*KEY, F.lit("c").alias("kind"), "name", F.col("vid").alias("i"), F.col("ord").cast("long").alias("j"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")))
-    if wall is not None:
-        rows = rows.unionByName(wall.select(*KEY, F.lit("w").alias("kind"), none.cast("string").alias("name"), F.col("vid").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")))
-    return rows
-
-
 Work = Callable[[graph.Adjacency, kernel.Points, dict[str, list[int]], set[int]], dict[str, list[int]]]
 
 
-def _on_meshes(adj: DataFrame, points: DataFrame, cuts: DataFrame, wall: DataFrame | None, work: Work) -> DataFrame:
+def _on_meshes(adj: DataFrame, points: DataFrame | None, cuts: DataFrame | None, wall: DataFrame | None, work: Work) -> DataFrame:
+    """work() once per mesh. Its group are the mesh's cuts and wall; edges and places are read from the packed mesh as far as the work goes."""
+    text, real, none = F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(0).cast("long")
+    packed = packs.packed(adj) if points is None else packs.packed(adj, points.select(*KEY, "vid", "x", "y", "z"), ("x", "y", "z"))
+    rows = packed.where("block <= 0").select(*KEY, F.lit("m").alias("kind"), F.col("uri").alias("name"), F.col("at").alias("i"), F.col("size").alias("j"), "block")
+    if cuts is not None:
+        rows = rows.unionByName(cuts.select(*KEY, F.lit("c").alias("kind"), "name", F.col("vid").alias("i"), F.col("ord").cast("long").alias("j"), real.alias("block")))
+    if wall is not None:
+        rows = rows.unionByName(wall.select(*KEY, F.lit("w").alias("kind"), text.alias("name"), F.col("vid").alias("i"), none.alias("j"), real.alias("block")))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kinds = {k: g for k, g in pdf.groupby("kind")}
-        empty = pdf.iloc[:0]
-        e, p = kinds.get("e", empty), kinds.get("p", empty)
-        near = graph.adjacency(e["i"].to_numpy(), e["j"].to_numpy(), e["x"].to_numpy())
-        where = dict(zip(p["i"], p[["x", "y", "z"]].to_numpy(), strict=True))
+        kinds, empty = {k: g for k, g in pdf.groupby("kind")}, pdf.iloc[:0]
+        near = {}
+        for m in kinds.get("m", empty).itertuples():
+            near = packs.WideMesh(m.name, int(m.i), int(m.j), int(m.block))
         own = {n: g.sort_values("j")["i"].tolist() for n, g in kinds.get("c", empty).groupby("name")}
-        out = work(near, where, own, set(kinds.get("w", empty)["i"]))
+        out = work(near, near, own, set(kinds.get("w", empty)["i"].tolist()))
         rows = [(pdf["subject"].iloc[0], pdf["hemi"].iloc[0], n, v, i) for n, c in sorted(out.items()) for i, v in enumerate(c)]
         return pd.DataFrame(rows, columns=["subject", "hemi", "name", "vid", "ord"]).astype({"vid": "int64", "ord": "int32"})
 
-    return _mesh_groups(adj, points, cuts, wall).groupBy(*KEY).applyInPandas(run, CUTS)
+    return rows.groupBy(*KEY).applyInPandas(run, CUTS)
 
 
 def continuous(adj: DataFrame, points: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -131,30 +130,49 @@ def refine(adj: DataFrame, points: DataFrame, cuts: DataFrame, wall: DataFrame)
     """Cuts replaced by shortest paths to the wall, with what they trap, then parts cut off absorbed by the nearest cut."""
 
     def work(near: graph.Adjacency, where: kernel.Points, own: dict[str, list[int]], walls: set[int]) -> dict[str, list[int]]:
-        made = {n: kernel.refined(near, where, c, walls) if n in kernel.CUT_NAMES else c for n, c in own.items()}
-        return kernel.absorb_regions(near, where, made, walls, set(where))
+        return {n: kernel.refined(near, where, c, walls) if n in kernel.CUT_NAMES else c for n, c in own.items()}
 
-    return _on_meshes(adj, points, cuts, wall, work)
+    adj = settled(adj)
+    return absorb(adj, points, settled(_on_meshes(adj, points, cuts, wall, work)), wall)
 
 
 def absorb(adj: DataFrame, points: DataFrame, cuts: DataFrame, wall: DataFrame) -> DataFrame:
-    """Parts of the patch other than the largest added to the nearest cut, with no vertex repeated removed."""
-    return _on_meshes(adj, points, cuts, wall, lambda near, where, own, walls: kernel.absorb_regions(near, where, own, walls, set(where)))
+    """Parts of the patch other than the largest added to the nearest cut, with no vertex repeated removed.
+
+    The parts are found by ranges and joins; a mesh's kernel sees its cuts and the parts that go to them, never the patch.
+    """
+    taken = cuts.select(*KEY, "vid").unionByName(wall.select(*KEY, "vid")).distinct()
+    rest = settled(points.select(*KEY, "vid").join(taken, [*KEY, "vid"], "left_anti"))
+    inside = mesh.induced(adj, rest).select(*KEY, F.col("src").alias("u"), F.col("dst").alias("v"))
+    parts = settled(topology.components_by_ranges(inside, rest))
+    small = topology.component_sizes(parts).where("rank > 1").select(*KEY, "comp", "rank")
+    regions = parts.join(small, [*KEY, "comp"]).select(*KEY, F.lit(None).cast("string").alias("name"), "vid", F.col("rank").alias("ord"))
+    rows = cuts.select(*KEY, "name", "vid", F.col("ord").cast("long").alias("ord")).unionByName(regions)
+    rows = rows.join(points.select(*KEY, "vid", "x", "y", "z"), [*KEY, "vid"], "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = {n: g.sort_values("ord")["vid"].tolist() for n, g in pdf.groupby("name")}
+        regions = [sorted(g["vid"].tolist()) for _, g in sorted(pdf[pdf["name"].isna()].groupby("ord"), key=lambda x: x[0])]
+        where = dict(zip(pdf["vid"].tolist(), pdf[["x", "y", "z"]].to_numpy(), strict=True))
+        out = kernel.absorbed(where, own, regions)
+        rows = [(pdf["subject"].iloc[0], pdf["hemi"].iloc[0], n, v, i) for n, c in sorted(out.items()) for i, v in enumerate(c)]
+        return pd.DataFrame(rows, columns=["subject", "hemi", "name", "vid", "ord"]).astype({"vid": "int64", "ord": "int32"})
+
+    return rows.groupBy(*KEY).applyInPandas(run, CUTS)
 
 
 def shortest_paths(adj: DataFrame, pairs: DataFrame) -> DataFrame:
-    """src, dst, ord, vid, length of the shortest path of each pair; pairs out of reach are left out."""
-    rows = adj.select(*KEY, "src", "dst", "w").unionByName(pairs.select(*KEY, "src", "dst", F.lit(None).cast("double").alias("w")))
+    """src, dst, ord, vid, length of the shortest path of each pair; pairs out of reach are left out. A group are the pairs of one source; the search reads the packed mesh as far as it goes."""
+    rows = pairs.select(*KEY, "src", "dst").join(packs.packed(adj).where("block <= 0"), KEY, "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e, q = pdf[pdf["w"].notna()], pdf[pdf["w"].isna()]
-        near, out = graph.adjacency(e["src"].to_numpy(), e["dst"].to_numpy(), e["w"].to_numpy()), []
-        for s, g in q.groupby("src"):
-            for t, (d, walk) in sorted(graph.paths(near, int(s), set(g["dst"])).items()):
-                out += [(pdf["subject"].iloc[0], pdf["hemi"].iloc[0], s, t, i, v, d) for i, v in enumerate(walk)]
+        m, s, out = pdf.iloc[0], int(pdf["src"].iloc[0]), []
+        near = packs.WideMesh(m["uri"], int(m["at"]), int(m["size"]), int(m["block"])) if isinstance(m["uri"], str) else {}
+        for t, (d, walk) in sorted(graph.paths(near, s, set(pdf["dst"].tolist())).items()):
+            out += [(m["subject"], m["hemi"], s, t, i, v, d) for i, v in enumerate(walk)]
         return pd.DataFrame(out, columns=["subject", "hemi", "src", "dst", "ord", "vid", "length"]).astype({"src": "int64", "dst": "int64", "ord": "int32", "vid": "int64", "length": "float64"})
 
-    return rows.groupBy(*KEY).applyInPandas(run, "subject string, hemi string, src long, dst long, ord int, vid long, length double")
+    return rows.groupBy(*KEY, "src").applyInPandas(run, "subject string, hemi string, src long, dst long, ord int, vid long, length double")
 
 
 def trapped(adj: DataFrame, points: DataFrame, excluded: DataFrame, anchor: int) -> DataFrame:
@@ -163,8 +181,7 @@ def trapped(adj: DataFrame, points: DataFrame, excluded: DataFrame, anchor: int)
     def work(near: graph.Adjacency, _: kernel.Points, __: dict[str, list[int]], walls: set[int]) -> dict[str, list[int]]:
         return {"trapped": sorted(graph.trapped(near, walls, anchor))}
 
-    none = excluded.select(*KEY, F.lit("").alias("name"), "vid", F.lit(0).alias("ord")).limit(0)
-    return _on_meshes(adj, points, none, excluded, work).select(*KEY, "vid")
+    return _on_meshes(adj, None, None, excluded, work).select(*KEY, "vid")
 
 
 def map_by_nearest(cuts: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:

@@ -508,6 +508,51 @@ def test_entry_survives_a_missing_library():
     assert done.returncode == 0 and int(done.stdout.split()[0]) > 90
 
 
+def test_cuts_read_a_mesh_of_several_shards(spark):
+    m = plain_grid(spark, 60)
+    assert len(where := {v: np.array([v % 60, v // 60, 0.0]) for v in range(60 * 60)}) > packs.BLOCK
+    adj = mesh.mesh_graph(m.faces, m.vertices)
+    e = adj.toPandas()
+    near = graph.adjacency(e["src"].to_numpy(), e["dst"].to_numpy(), e["w"].to_numpy())
+    row = [v for v in range(60 * 60) if v // 60 == 35 and v % 6 < 4 and v % 60 < 32]
+    wall = {v for v in range(60 * 60) if v % 60 >= 35}
+
+    def table(ids, name="calcarine"):
+        return spark.createDataFrame([("grid", "lh", name, v, i) for i, v in enumerate(ids)], cuts.CUTS)
+
+    def got(df):
+        return [r["vid"] for r in df.orderBy("ord").collect()]
+
+    assert got(cuts.continuous(adj, m.vertices, table(row))) == sorted(cut_kernel.continuous(near, where, set(row)))
+    walls = table(wall).select("subject", "hemi", "vid")
+    made = {"calcarine": cut_kernel.refined(near, where, row, wall)}
+    assert got(cuts.refine(adj, m.vertices, table(row), walls)) == cut_kernel.absorb_regions(near, where, made, wall, set(where))["calcarine"]
+    pairs = spark.createDataFrame([("grid", "lh", 3, 2900), ("none", "lh", 7, 7)], "subject string, hemi string, src long, dst long")
+    found = {r["ord"]: (r["vid"], r["length"]) for r in cuts.shortest_paths(adj, pairs).where("subject = 'grid'").collect()}
+    length, walk = graph.paths(near, 3, {2900})[2900]
+    assert [found[i][0] for i in range(len(walk))] == walk and found[0][1] == length
+    shut = [v for v in where if v % 60 + v // 60 in (5, 6)]
+    assert sorted(got(cuts.trapped(adj, m.vertices, table(shut).select("subject", "hemi", "vid"), 0).withColumn("ord", F.lit(0)))) == sorted(graph.trapped(near, set(shut), 0))
+
+
+def test_components_by_ranges_equal_those_by_joins(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, h, int(a), int(a + d)) for s in ("a", "b") for h in ("lh", "rh") for a, d in zip(rng.integers(0, 300, 180), rng.integers(1, 40, 180), strict=True)]
+    e = spark.createDataFrame(rows, "subject string, hemi string, u long, v long")
+    v = spark.createDataFrame([(s, h, i) for s in ("a", "b", "c") for h in ("lh", "rh") for i in range(350)], "subject string, hemi string, vid long")
+    both = [{tuple(r) for r in f(e, v).select("subject", "hemi", "vid", "comp").collect()} for f in (topology.components, topology.components_by_ranges)]
+    assert both[0] == both[1] and len(both[0]) == 6 * 350
+
+
+def test_regions_go_to_the_nearest_of_several_cuts(spark):
+    m, near = plain_grid(spark, 10), grid_graph(10)  # parts are the same with the cells' diagonals
+    where = {v: np.array([v % 10, v // 10, 0.0]) for v in range(100)}
+    own = {"temporal": [v for v in where if v % 10 == 2], "medial1": [v for v in where if v % 10 == 7]}
+    table = spark.createDataFrame([("grid", "lh", n, v, i) for n, c in own.items() for i, v in enumerate(c)], cuts.CUTS)
+    found = cuts.absorb(mesh.mesh_graph(m.faces, m.vertices), m.vertices, table, table.select("subject", "hemi", "vid").limit(0))
+    assert {(r["name"], r["vid"]) for r in found.collect()} == {(n, v) for n, c in cut_kernel.absorb_regions(near, where, own, set(), set(where)).items() for v in c}
+
+
 def test_numbers_and_holds_by_runs(spark, monkeypatch):
     rows = [("s", h, i * (1 + (h == "rh")), "ab"[i // 20 % 2] if i % 13 else "") for h in ("lh", "rh") for i in range(3, 90)]
     df = spark.createDataFrame(rows, "subject string, hemi string, step int, phase string")

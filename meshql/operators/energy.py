@@ -36,11 +36,14 @@ def area_energy_softplus(areas: DataFrame, k: float = STEEPNESS) -> DataFrame:
     return areas.groupBy(*KEY).agg(F.sum(softplus(k * a) / k - a).alias("j_a"))
 
 
-def _with_original(areas: DataFrame, original: DataFrame) -> DataFrame:
+def _with_original(areas: DataFrame, original: DataFrame | None) -> DataFrame:
+    """Areas with those in space as area0; without `original` they have them, as from metrics.both_areas()."""
+    if original is None:
+        return areas
     return areas.join(original.select(*KEY, "fid", F.col("area").alias("area0")), [*KEY, "fid"])
 
 
-def area_energy_sigmoid(areas: DataFrame, original: DataFrame, k: float = STEEPNESS) -> DataFrame:
+def area_energy_sigmoid(areas: DataFrame, original: DataFrame | None = None, k: float = STEEPNESS) -> DataFrame:
     """Mean of the squared area change, weighted by the sigmoid of minus k times the clipped ratio."""
     both = _with_original(areas, original)
     ratio = _clip(F.col("area") / F.col("area0"), 400 / k)
@@ -48,7 +51,7 @@ def area_energy_sigmoid(areas: DataFrame, original: DataFrame, k: float = STEEPN
     return both.groupBy(*KEY).agg(F.avg(change * change / (1 + F.exp(k * ratio))).alias("j_a"))
 
 
-def area_energy_barrier(areas: DataFrame, original: DataFrame, k: float = STEEPNESS, weight: float = 0.1) -> DataFrame:
+def area_energy_barrier(areas: DataFrame, original: DataFrame | None = None, k: float = STEEPNESS, weight: float = 0.1) -> DataFrame:
     """Mean of a softplus penalty and an inverse barrier on shares of the total area."""
     both = _with_original(areas, original)
     totals = both.groupBy(*KEY).agg((F.sum(F.abs("area")) + TINY).alias("all2"), F.sum("area0").alias("all3"))
@@ -58,7 +61,7 @@ def area_energy_barrier(areas: DataFrame, original: DataFrame, k: float = STEEPN
     return share.groupBy(*KEY).agg(F.avg(softplus(k * clipped) / k - clipped + weight * barrier).alias("j_a"))
 
 
-def total_energy(kring: DataFrame, uv: DataFrame, areas: DataFrame, original: DataFrame, l_dist: float = 1.0, l_area: float = 1.0) -> DataFrame:
+def total_energy(kring: DataFrame, uv: DataFrame, areas: DataFrame, original: DataFrame | None = None, l_dist: float = 1.0, l_area: float = 1.0) -> DataFrame:
     """j_d, sigmoid j_a and their weighted sum."""
     both = metric_energy(kring, uv).join(area_energy_sigmoid(areas, original), KEY)
     return both.withColumn("total", l_dist * F.col("j_d") + l_area * F.col("j_a"))

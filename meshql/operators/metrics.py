@@ -28,6 +28,12 @@ def face_areas_3d(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     return mesh.corners(faces, vertices, ["x", "y", "z"]).select(*KEY, "fid", (0.5 * norm(face_normal())).alias("area"))
 
 
+def both_areas(faces: DataFrame, points: DataFrame) -> DataFrame:
+    """fid, area in the plane (signed) and area0 in space of every face, from points with x, y, z, u, v: each corner is joined once for both."""
+    c = mesh.corners(faces, points, ["x", "y", "z", "u", "v"])
+    return c.select(*KEY, "fid", signed_area(vec("0", "uv"), vec("1", "uv"), vec("2", "uv")).alias("area"), (0.5 * norm(face_normal())).alias("area0"))
+
+
 def surface_area(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     return face_areas_3d(faces, vertices).groupBy(*KEY).agg(F.sum("area").alias("area"))
 

@@ -431,18 +431,18 @@ SIGMOID = "avg((area2 - area3) * (area2 - area3) / (1 + exp(10 * least(greatest(
 
 @query(ORIGINAL + f" SELECT round({SIGMOID}, 6) AS j_a FROM o3")
 def area_energy_sigmoid(m: Mesh) -> DataFrame:
-    return energy.area_energy_sigmoid(flat_areas(m), metrics.face_areas_3d(m.faces, m.vertices))
+    return energy.area_energy_sigmoid(metrics.both_areas(m.faces, m.points))
 
 
 @query(ORIGINAL + f""", s AS (SELECT sum(abs(area2)) + 1e-12 AS all2, sum(area3) AS all3 FROM o3), r AS (SELECT (area2 / all2) / (area3 / all3) AS r, least(greatest((area2 / all2) / (area3 / all3), -40), 40) AS a FROM o3, s)
 SELECT round(avg(({SOFTPLUS}) / 10 - a + 0.1 * greatest(1 / greatest(r, 0.01) - 1, 0)), 6) AS j_a FROM r""")
 def area_energy_barrier(m: Mesh) -> DataFrame:
-    return energy.area_energy_barrier(flat_areas(m), metrics.face_areas_3d(m.faces, m.vertices))
+    return energy.area_energy_barrier(metrics.both_areas(m.faces, m.points))
 
 
 @query(EDGES_FLAT + ORIGINAL + f" SELECT round(d, 4) AS j_d, round(a, 4) AS j_a, round(d + a, 4) AS total FROM (SELECT sum((length - dist) * (length - dist)) AS d FROM k1), (SELECT {SIGMOID} AS a FROM o3)", digits=4)
 def total_energy(m: Mesh) -> DataFrame:
-    return energy.total_energy(one_ring(m), m.uv, flat_areas(m), metrics.face_areas_3d(m.faces, m.vertices))
+    return energy.total_energy(one_ring(m), m.uv, metrics.both_areas(m.faces, m.points))
 
 
 CENTROIDS = ", rc AS (SELECT src AS vid, avg(q.u) AS cu, avg(q.v) AS cv FROM adj JOIN p q ON q.vid = dst GROUP BY src)"

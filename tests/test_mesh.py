@@ -1,6 +1,7 @@
 """Mesh, metric and topology operators on small meshes worked out by hand."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from meshql.functions.vector import signed_area
 from meshql.operators import cuts, energy, flatten, mesh, metrics, packs, report, rings, snapshots, template, topology
 from meshql.kernels import cuts as cut_kernel
 from meshql.kernels import descent, graph
-from meshql.plans.meshgen import half_sphere, plain_grid
+from meshql.plans.meshgen import half_sphere, plain_grid, table_mesh
 
 QUAD = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (1, 1, 0)]
 QUAD_FACES = [(0, 1, 2), (1, 3, 2)]
@@ -569,3 +570,12 @@ def test_numbers_and_holds_by_runs(spark, monkeypatch):
         times[r[:3]] = times.get(r[:3], 0) + 1
     assert times[("s", "lh", 3)] == 11 and times[("s", "rh", 178)] == 21
     assert sorted(r[4] for r in out[0] if r[1] == "lh") == list(range(sum(n for k, n in times.items() if k[1] == "lh")))
+
+
+def test_area_energies_join_each_corner_once(spark):
+    m = table_mesh(spark, "/root/testdata/sf0.001", "customer") if os.path.isdir("/root/testdata/sf0.001") else plain_grid(spark, 8)
+    both = metrics.both_areas(m.faces, m.points)
+    apart = metrics.planar_areas(m.faces, m.uv), metrics.face_areas_3d(m.faces, m.vertices)
+    for f in (energy.area_energy_sigmoid, energy.area_energy_barrier):
+        assert math.isclose(f(both).first()["j_a"], f(*apart).first()["j_a"], rel_tol=1e-12)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,10 @@ BROADCAST_IDS = 2_000_000
 SHARD_ENTRIES = 1 << 20
 #: Ends of edges in a partition of components.
 NODES = 100_000
+#: Bits of a set's sketch; for sets of many more n-grams it rules out less.
+SKETCH = 2048
+#: Pairs whose sketches are compared at once: some tens of MB.
+SKETCHED = 1 << 15
 U64 = np.uint64
 
 
@@ -57,6 +62,18 @@ def prints(rows: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return size, K.mix(total[ends] - total[ends - size] + size.astype(U64))
 
 
+def sketches(rows: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """(n, SKETCH / 8) bytes: of each of n sets a bit for each bucket that one of its n-grams is in."""
+    at = np.unique(rows * SKETCH + (keys >> U64(64 - (SKETCH.bit_length() - 1))).astype(np.int64))
+    return np.bincount(at >> 3, 1 << (at & 7), n * SKETCH // 8).astype(np.uint8).reshape(n, SKETCH // 8)
+
+
+def most_overlap(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Upper bounds of the intersections of sets by their sketches as 64-bit words: the bits that both have, and what may hide in bits that several n-grams of a set share."""
+    hidden = np.minimum(size_a - np.bitwise_count(a).sum(axis=1, dtype=np.int64), size_b - np.bitwise_count(b).sum(axis=1, dtype=np.int64))
+    return np.bitwise_count(a & b).sum(axis=1, dtype=np.int64) + hidden
+
+
 def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Smallest intersection with 100 * intersection >= percent * union, for sets of sizes a and b."""
     return -(-(a + b) * percent // (100 + percent))
@@ -280,10 +297,18 @@ def _rest(percent: int):  # noqa: ANN202
     """Pairs of a shard's lists that are still open, packed by their blocks.
 
     Entries of one size and position are a block of the list; pairs of blocks are skipped by the size and position filter at once. Of the others go
-    pairs of different components that what is known of both sets against the list's hub doesn't rule out.
+    pairs of different components that what is known of both sets against the list's hub doesn't rule out, nor their sketches, where the shard has rows of them
+    (fp, bits): texts travel for the pairs left alone.
     """
 
     def run(group: pa.Table) -> pa.Table:
+        drawn = None
+        if "bits" in group.column_names:
+            has = group["bits"].is_valid()
+            held, group = group.filter(has), group.filter(pc.invert(has))
+            drawn_fp = held["fp"].to_numpy()
+            by_fp = np.argsort(drawn_fp)
+            drawn_fp, drawn = drawn_fp[by_fp], np.frombuffer(b"".join(held["bits"].to_pylist()), dtype=U64).reshape(-1, SKETCH // 64)[by_fp]
         token, fp, comp, block = (group[c].to_numpy() for c in ("token", "fp", "comp", "block"))
         size, place, hub_n = (group[c].to_numpy() for c in ("n", "place", "hub_n"))
         known = group["both"].to_numpy(zero_copy_only=False).astype(float)  # overlap with the hub, or NaN
@@ -291,6 +316,16 @@ def _rest(percent: int):  # noqa: ANN202
         token, fp, comp, block, size, place, known = (x[order] for x in (token, fp, comp, block, size, place, known))
         edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         taken: list[np.ndarray] = []
+        place_of = None if drawn is None else np.searchsorted(drawn_fp, fp)
+
+        def possible(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Whether the sketches of entries i and j allow a link."""
+            ok = np.ones(len(i), dtype=bool)
+            for at in range(0, len(i) if drawn is not None else 0, SKETCHED):
+                x, y = i[at : at + SKETCHED], j[at : at + SKETCHED]
+                ok[at : at + SKETCHED] = most_overlap(drawn[place_of[x]], drawn[place_of[y]], size[x], size[y]) >= least_overlap(size[x], size[y], percent)
+            return ok
+
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if (comp[a:b] == comp[a]).all():
                 continue
@@ -310,6 +345,8 @@ def _rest(percent: int):  # noqa: ANN202
                     i, j = i[ok], j[ok]
                     most = np.minimum(known[i], known[j]) + np.minimum(size[i] - known[i], size[j] - known[j])
                     ok = ~(most < least_overlap(size[i], size[j], percent))
+                    i, j = i[ok], j[ok]
+                    ok = possible(i, j)
                     if ok.any():
                         taken.append(np.stack([i[ok], j[ok]], axis=1))
         if not taken:
@@ -348,21 +385,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _texts(live: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(fp, text): for every set in live (fp, doc) a text that has it, kept as a table in the shared folder."""
+def _texts(live: DataFrame, docs: DataFrame, words: int, drawn: bool) -> DataFrame:
+    """(fp, text, bits): for every set in live (fp, doc) a text that has it, kept as a table in the shared folder. bits: the set's sketch, if they are drawn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in K.chunks(batch.column("text")):
-                _, fp = prints(*sets(data, offsets, words), b - a)
+                rows, keys = sets(data, offsets, words)
+                _, fp = prints(rows, keys, b - a)
                 same = pa.array(fp.view(np.int64) == batch.column("fp").slice(a, b - a).to_numpy())
-                yield pa.RecordBatch.from_arrays([batch.column("fp").slice(a, b - a).filter(same), batch.column("text").slice(a, b - a).filter(same)], ["fp", "text"])
+                bits = pa.array([x.tobytes() for x in sketches(rows, keys, b - a)] if drawn else [None] * (b - a), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("fp").slice(a, b - a).filter(same), batch.column("text").slice(a, b - a).filter(same), bits.filter(same)], ["fp", "text", "bits"])
 
     ids = live.select("doc", "fp")
     if live.count() <= BROADCAST_IDS:  # 16 bytes each
         ids = F.broadcast(ids)
     uri = new_folder(docs.sparkSession, "texts")
-    docs.join(ids, "doc").select("fp", "text").mapInArrow(K.tidy(run), "fp long, text string").write.parquet(uri)
+    docs.join(ids, "doc").select("fp", "text").mapInArrow(K.tidy(run), "fp long, text string, bits binary").write.parquet(uri)
     return docs.sparkSession.read.parquet(uri)
 
 
@@ -370,7 +409,7 @@ def _verify(pairs: DataFrame, wanted: DataFrame, texts: DataFrame, words: int, p
     """pairs: (g, pairs binary); wanted: (g, fp, comp) whose texts the group g needs."""
     none = F.lit(None)
     left = pairs.select("g", none.cast("long").alias("fp"), none.cast("long").alias("comp"), none.cast("string").alias("text"), "pairs")
-    right = wanted.join(texts, "fp").select("g", "fp", "comp", "text", none.cast("binary").alias("pairs"))
+    right = wanted.join(texts.select("fp", "text"), "fp").select("g", "fp", "comp", "text", none.cast("binary").alias("pairs"))
     return left.unionByName(right).groupBy("g").applyInArrow(_compare(words, percent, all_answers), "a long, b long, both long, linked boolean")
 
 
@@ -397,18 +436,19 @@ def near_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     shards = 1 << max(5, int((signed.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // 100 // SHARD_ENTRIES).bit_length())
     sent = texts_only.mapInArrow(K.tidy(_index(words, percent, codes, shards)), "shard int, blob binary")
     lists = cut(sharded(sent, "shard", shards).groupBy("shard").applyInArrow(_lists(percent), LISTS))
-    return linked_components(base, signed, lists, lambda mixed, _: sharded(mixed, "shard", shards), words, percent)
+    return linked_components(base, signed, lists, lambda mixed, *_: sharded(mixed, "shard", shards), words, percent)
 
 
-def linked_components(base: DataFrame, signed: DataFrame, lists: DataFrame, dealt: Callable[[DataFrame, DataFrame], DataFrame], words: int, percent: int) -> DataFrame:
+def linked_components(base: DataFrame, signed: DataFrame, lists: DataFrame, dealt: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], words: int, percent: int, *, drawn: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) from the lists in which sets meet, every link confirmed on the full sets.
 
-    base: (doc, text). signed: (doc, n, fp), a row for each of base. lists: LISTS, whatever index they come from. dealt: brings the entries of a shard together, given them and (fp, lead), the set that each set stands with.
+    base: (doc, text). signed: (doc, n, fp), a row for each of base. lists: LISTS, whatever index they come from. dealt: brings the entries of a shard together, given them, (fp, lead), the set that each set stands with, and
+    with `drawn` (fp, bits), the sets' sketches, of which it adds a shard's.
     """
     far = 2**63 - 1
     least = signed.where("n > 0").groupBy("fp").agg(F.min("doc").alias("doc"))
     live = least.join(lists.select("fp").distinct(), "fp")
-    texts = _texts(live, base, words)
+    texts = _texts(live, base, words, drawn)
 
     # every list's sets against its hub
     stars = lists.where("pair").select("hub", "fp").distinct()
@@ -439,7 +479,7 @@ def linked_components(base: DataFrame, signed: DataFrame, lists: DataFrame, deal
     sets_of = cut(sets_of)
     entries = lists.join(sets_of, "fp").join(answers.select(F.col("a").alias("hub"), F.col("b").alias("fp"), "both"), ["hub", "fp"], "left")
     mixed = entries.select("shard", "token", "fp", "comp", "block", "n", "place", "hub_n", F.when(F.col("fp") == F.col("hub"), F.col("n")).otherwise(F.col("both")).cast("double").alias("both"))
-    rest = cut(dealt(mixed, led).groupBy("shard").applyInArrow(_rest(percent), "a long, b long, pairs binary, fps array<long>"))
+    rest = cut(dealt(mixed, led, texts.select("fp", "bits")).groupBy("shard").applyInArrow(_rest(percent), "a long, b long, pairs binary, fps array<long>"))
     groups = _groups(rest.select(F.coalesce(F.sum(F.size("fps")), F.lit(0))).first()[0])
     rest = rest.withColumn("g", F.pmod(F.xxhash64("a", "b"), F.lit(groups)))
     needed = rest.select("g", F.explode("fps").alias("fp")).distinct().join(sets_of.select("fp", "comp"), "fp")

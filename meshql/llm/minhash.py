@@ -6,7 +6,8 @@ The ranks of an n-gram for all coordinates thus stand side by side in the table,
 
 Sets with a band of coordinates in common meet in a list. The lists are an aggregate and a join (no list is held by one task); what is in them is confirmed, and joined up
 to components, by the steps of the n-gram Jaccard join. Lists whose sets are all connected after the comparison with the list's hub are dropped before any pair
-is looked at; long lists that aren't are dealt by pairs of their parts.
+is looked at; long lists that aren't are dealt by pairs of their parts, and their pairs are held against bitmaps of the sets, an exact upper bound of what two sets
+share, before any text is fetched.
 """
 
 from __future__ import annotations
@@ -122,6 +123,12 @@ def open_lists(mixed: DataFrame, hubs: DataFrame, led: DataFrame, shards: int) -
     return held.drop("part", "other", "parts", "lead")
 
 
+def with_sketches(entries: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Entries of lists, and for each shard a row with the sketch of every set that it has, from drawn (fp, bits): texts travel only for pairs that their sketches don't rule out."""
+    entries = cut(entries)
+    return entries.unionByName(entries.select("shard", "fp").distinct().join(drawn, "fp"), allowMissingColumns=True)
+
+
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT, count: int = BANDS, per: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; the smallest doc_id of a component is kept.
 
@@ -136,7 +143,7 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, percent: int = PERCE
     lists, hubs = band_lists(signed, percent)
     lists = cut(lists)
     shards = max(64, lists.count() // ENTRIES)
-    found = jaccard.linked_components(base, signed.drop("bands"), lists, lambda mixed, led: open_lists(mixed, hubs, led, shards), words, percent)
+    found = jaccard.linked_components(base, signed.drop("bands"), lists, lambda mixed, led, drawn: with_sketches(open_lists(mixed, hubs, led, shards), drawn), words, percent, drawn=True)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from meshql.llm import elkan, jaccard, minhash
@@ -183,6 +184,32 @@ def test_lists_with_one_component_are_dropped(spark):
     assert {(r["token"], r["fp"]) for r in left} == {(8, 3), (8, 4)}
 
 
+def test_sketches_rule_out_near_texts_that_are_not_linked():
+    r, keys = np.random.default_rng(3), np.sort(np.random.default_rng(4).integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2))
+    n, size = 60, 100
+    common = r.choice(4000, 82, replace=False)  # two sets share 82 of 100, 0.69 of their union
+    others = np.setdiff1d(np.arange(4000), common)
+    own = [np.sort(np.concatenate([common, others[r.choice(len(others), size - 82, replace=False)]])) for _ in range(n)]
+    own[1] = np.sort(np.concatenate([own[0][own[0] != common[0]], others[:1]]))  # linked with the first, unless it has others[0] already
+    rows, at = np.repeat(np.arange(n), [len(x) for x in own]), np.concatenate(own)
+    bits = jaccard.sketches(rows, keys[at], n)
+    words = np.ascontiguousarray(bits).view(np.uint64)
+    i, j = np.triu_indices(n, 1)
+    sizes = np.array([len(x) for x in own])
+    both = np.array([len(np.intersect1d(own[a], own[b])) for a, b in zip(i, j, strict=True)])
+    assert (jaccard.most_overlap(words[i], words[j], sizes[i], sizes[j]) >= both).all()
+    entries = {"shard": [0] * n, "token": [7] * n, "fp": list(range(n)), "comp": list(range(n)), "block": [0] * n, "n": sizes.tolist(), "place": [0] * n, "hub_n": [size] * n, "both": [None] * n, "bits": [None] * n}
+    drawn = {k: [None] * n for k in entries} | {"shard": [0] * n, "fp": list(range(n)), "bits": [x.tobytes() for x in bits]}
+    kinds = {k: pa.int64() for k in entries} | {"both": pa.float64(), "bits": pa.binary()}
+    table = pa.table({k: pa.array(entries[k] + drawn[k], kinds[k]) for k in entries})
+    found = jaccard._rest(85)(table)
+    pairs = {tuple(x) for x in np.frombuffer(b"".join(found["pairs"].to_pylist()), dtype=np.int64).reshape(-1, 2).tolist()}
+    linked = {(int(a), int(b)) for a, b, o in zip(i, j, both, strict=True) if 100 * o >= 85 * (sizes[a] + sizes[b] - o)}
+    assert linked == {(0, 1)} <= pairs and len(pairs) < 20
+    plain = jaccard._rest(85)(table.filter(table["bits"].is_null()).drop_columns("bits"))
+    assert len(np.frombuffer(plain["pairs"][0].as_py(), dtype=np.int64)) == n * (n - 1)
+
+
 def test_links_share_a_band_but_for_one_in_a_million():
     assert (1 - (minhash.PERCENT / 100) ** minhash.ROWS) ** minhash.BANDS < 1e-6
     assert jaccard.WORDS == minhash.WORDS == 5

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import cross, norm, signed_area, sub, vec
+from ..functions.vector import cross, distance, norm, signed_area, sub, vec
 from ..schema import KEY
 from . import mesh
 
@@ -70,9 +70,9 @@ def average_normal(normals: DataFrame) -> DataFrame:
 
 
 def with_plane_distance(kring: DataFrame, uv: DataFrame) -> DataFrame:
-    """Ring pairs with the distance of their ends in the plane as `flat`."""
+    """Ring pairs with the distance of their ends in the plane as `flat`. Pairs that bring their ends' coordinates, as those of k1_in_plane() do, aren't joined again."""
     out = kring
-    for c, i in (("src", 0), ("dst", 1)):
+    for c, i in () if "u0" in kring.columns else (("src", 0), ("dst", 1)):
         out = out.join(uv.select(*KEY, F.col("vid").alias(c), F.col("u").alias(f"u{i}"), F.col("v").alias(f"v{i}")), [*KEY, c])
     return out.withColumn("flat", norm(sub(vec("1", "uv"), vec("0", "uv"))))
 
@@ -100,3 +100,19 @@ def distortion_histogram(distortion: DataFrame, bins: int = 50, top: float = 100
 def k1_distances(lengths: DataFrame) -> DataFrame:
     """1-ring pairs: a straight edge is never longer than a detour, so dist is the edge over the correction."""
     return mesh.adjacency(lengths).select(*KEY, "src", "dst", F.lit(1).alias("hop"), (F.col("w") / CORRECTION).alias("dist"))
+
+
+def k1_in_plane(faces: DataFrame, points: DataFrame) -> DataFrame:
+    """k1_distances() with u0, v0, u1, v1, the plane's coordinates of both ends, from points with x, y, z, u, v.
+
+    An edge is joined once with either end, for space and plane together, before it is turned into two pairs: what is shuffled are vertices' lists of neighbours and each edge once.
+    """
+
+    def side(c: str, i: int) -> DataFrame:
+        return points.select(*KEY, F.col("vid").alias(c), *[F.col(a).alias(f"{a}{i}") for a in "xyzuv"])
+
+    edges = mesh.later_neighbours(faces).join(side("src", 0), [*KEY, "src"]).withColumn("dst", F.explode("near")).join(side("dst", 1), [*KEY, "dst"])
+    dist = (distance(vec("0"), vec("1")) / CORRECTION).alias("dist")
+    ways = F.array(*[F.struct(F.col(s).alias("src"), F.col(t).alias("dst"), *[F.col(f"{a}{o}").alias(f"{a}{n}") for n, o in enumerate(order) for a in "uv"]) for s, t, order in (("src", "dst", (0, 1)), ("dst", "src", (1, 0)))])
+    pairs = edges.select(*KEY, dist, F.explode(ways).alias("e"))
+    return pairs.select(*KEY, "e.src", "e.dst", F.lit(1).alias("hop"), "dist", "e.u0", "e.v0", "e.u1", "e.v1")

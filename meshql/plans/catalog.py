@@ -57,7 +57,7 @@ def flat_areas(m: Mesh) -> DataFrame:
 
 
 def one_ring(m: Mesh) -> DataFrame:
-    return metrics.k1_distances(mesh.edge_lengths(mesh.edges(m.faces), m.vertices))
+    return metrics.k1_in_plane(m.faces, m.points)
 
 
 def excluded(m: Mesh) -> DataFrame:

@@ -26,19 +26,20 @@ def view_angles(hemi: str, view: str) -> tuple[int, int]:
 
 def flatmap_report(vertices: DataFrame, uv: DataFrame, faces: DataFrame, kring: DataFrame | None = None) -> DataFrame:
     """One row per mesh: faces, flips, areas, distance error over the given pairs (default: 1-ring), softplus energy."""
-    flat = metrics.planar_areas(faces, uv)
-    solid = metrics.surface_area(faces, vertices).withColumnRenamed("area", "area_3d")
+    return points_report(vertices.join(uv.select(*KEY, "vid", "u", "v"), [*KEY, "vid"]), faces, kring)
+
+
+def points_report(points: DataFrame, faces: DataFrame, kring: DataFrame | None = None) -> DataFrame:
+    """flatmap_report() of points with x, y, z, u, v: the corners are joined once for both areas, the ends of edges once for both lengths."""
     k = energy.STEEPNESS
     a = F.col("area")
     clipped = F.least(F.greatest(a, F.lit(-400 / k)), F.lit(400 / k))
-    sums = flat.groupBy(*KEY).agg(
+    sums = metrics.both_areas(faces, points).groupBy(*KEY).agg(
         F.count("*").alias("n_faces"), F.count_if(a < 0).alias("n_flipped"), F.sum(F.when(a > 0, a).otherwise(0.0)).alias("area_2d_pos"),
-        F.sum(F.when(a < 0, -a).otherwise(0.0)).alias("area_2d_neg"), F.sum(softplus(k * clipped) / k - clipped).alias("j_a"),
+        F.sum(F.when(a < 0, -a).otherwise(0.0)).alias("area_2d_neg"), F.sum(softplus(k * clipped) / k - clipped).alias("j_a"), F.sum("area0").alias("area_3d"),
     )
-    if kring is None:
-        kring = metrics.k1_distances(mesh.edge_lengths(mesh.edges(faces), vertices))
-    error = metrics.distance_error(kring, uv)
-    return sums.join(solid, KEY).join(error, KEY).withColumn("flipped_pct", 100 * F.col("n_flipped") / F.col("n_faces"))
+    error = metrics.distance_error(metrics.k1_in_plane(faces, points) if kring is None else kring, points)
+    return sums.join(error, KEY).withColumn("flipped_pct", 100 * F.col("n_flipped") / F.col("n_faces"))
 
 
 def method_rings(method: str, faces: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ FROM (SELECT count(*) AS n_faces, count(*) FILTER (area2 < 0) AS n_flipped, coal
      (SELECT 100 * sum(abs(flat - dist)) / sum(dist) AS pct_error FROM k1 WHERE dist > 0)
 """, digits=4)
 def flatmap_report(m: Mesh) -> DataFrame:
-    return report.flatmap_report(m.vertices, m.uv, m.faces)
+    return report.points_report(m.points, m.faces)
 
 
 @query("SELECT u, v, n_faces, round(len, 6) AS len FROM el")

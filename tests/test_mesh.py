@@ -579,3 +579,20 @@ def test_area_energies_join_each_corner_once(spark):
     for f in (energy.area_energy_sigmoid, energy.area_energy_barrier):
         assert math.isclose(f(both).first()["j_a"], f(*apart).first()["j_a"], rel_tol=1e-12)
     assert both._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
+
+
+def joins(df):
+    """Joins in the plan of df."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_an_edge_is_joined_once_with_either_end(spark):
+    """Space and plane come with the same two joins, and both directions of an edge are made after them."""
+    m = plain_grid(spark, 6)
+    pairs = metrics.k1_in_plane(m.faces, m.points)
+    assert joins(metrics.distance_error(pairs, m.uv)) == joins(energy.metric_energy(pairs, m.uv)) == 2
+    assert joins(report.points_report(m.points, m.faces)) <= 6  # three corners, two ends, the two rows
+    plain = metrics.k1_distances(mesh.edge_lengths(mesh.edges(m.faces), m.vertices))
+    assert sorted(map(tuple, pairs.select("src", "dst", "hop", "dist").collect())) == sorted(map(tuple, plain.select("src", "dst", "hop", "dist").collect()))
+    assert metrics.distance_error(pairs, m.uv).first()["pct_error"] == pytest.approx(metrics.distance_error(plain, m.uv).first()["pct_error"], rel=1e-12)
+    assert sorted(map(tuple, mesh.neighbour_pairs(m.faces).select("src", "dst").collect())) == sorted(map(tuple, plain.select("src", "dst").collect()))

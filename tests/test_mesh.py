@@ -596,3 +596,15 @@ def test_an_edge_is_joined_once_with_either_end(spark):
     assert sorted(map(tuple, pairs.select("src", "dst", "hop", "dist").collect())) == sorted(map(tuple, plain.select("src", "dst", "hop", "dist").collect()))
     assert metrics.distance_error(pairs, m.uv).first()["pct_error"] == pytest.approx(metrics.distance_error(plain, m.uv).first()["pct_error"], rel=1e-12)
     assert sorted(map(tuple, mesh.neighbour_pairs(m.faces).select("src", "dst").collect())) == sorted(map(tuple, plain.select("src", "dst").collect()))
+
+
+def test_walks_longer_than_the_farthest_target_end(spark, monkeypatch):
+    """A detour of more edges than the ring has hops is found, and no table of walks grows beyond the pairs that were reached at first."""
+    heavy = [("s", "lh", a, b, 1.0) for a in range(12) for b in (a - 1, a + 1) if 0 <= b < 12] + [("s", "lh", 0, 4, 10.0), ("s", "lh", 4, 0, 10.0)]
+    adj = spark.createDataFrame(heavy, KEYED + "src long, dst long, w double")
+    sizes, settled = [], rings.settled
+    monkeypatch.setattr(rings, "settled", lambda df: sizes.append(settled(df)) or sizes[-1])
+    found = {(r["src"], r["dst"]): r["dist"] * metrics.CORRECTION for r in rings.relaxed_distances(adj, rings.krings(adj, 1), 6).collect()}
+    assert found[0, 4] == pytest.approx(4) and found[0, 1] == pytest.approx(1) and len(found) == len(heavy)
+    walks = [df.count() for df in sizes if "far" in df.columns]
+    assert walks and max(walks) < len(heavy)

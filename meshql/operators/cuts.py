@@ -62,7 +62,7 @@ def set_distance(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def farthest_from(points: DataFrame, start: DataFrame) -> DataFrame:
     """The point farthest from each mesh's start point."""
-    d = points.join(_suffixed(start, "0"), KEY).withColumn("distance", distance(vec(""), vec("0")))
+    d = points.join(F.broadcast(_suffixed(start, "0")), KEY).withColumn("distance", distance(vec(""), vec("0")))
     best = d.groupBy(*KEY).agg(F.max(F.struct("distance", (-F.col("vid")).alias("v"))).alias("b"))
     return best.select(*KEY, (-F.col("b.v")).alias("vid"), F.col("b.distance").alias("distance"))
 

@@ -10,7 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.checkpoints import write_file
+from ..operators import mesh
+from ..operators.checkpoints import settled, write_file
 from ..schema import KEY, SCHEMAS
 from . import binary
 
@@ -121,8 +122,8 @@ PARTS = "subject string, hemi string, part long, content binary"
 
 def _in_parts(rows: DataFrame, place: str, encode: Callable[[pd.DataFrame], bytes], header: int, head: Callable[[int], bytes]) -> DataFrame:
     """PARTS of one file for each mesh: RECORDS rows each by their place, the header before the first. Joined in the order of `part` they are the file; no task holds it whole."""
-    total = rows.groupBy(*KEY).agg(F.count("*").alias("_n"), (F.min(place) - F.min(place) % RECORDS).alias("_low"))
-    each = rows.join(total, KEY).withColumn("part", F.floor((F.col(place) - F.col("_low")) / RECORDS).cast("long"))
+    total = settled(rows.groupBy(*KEY).agg(F.count("*").alias("_n"), (F.min(place) - F.min(place) % RECORDS).alias("_low")))
+    each = rows.join(mesh.each(total, total.count()), KEY).withColumn("part", F.floor((F.col(place) - F.col("_low")) / RECORDS).cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(pdf["part"].iloc[0])

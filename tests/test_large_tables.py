@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from meshql.operators import checkpoints, energy, mesh, metrics, rings, topology
+from meshql.operators import checkpoints, energy, mesh, metrics, topology
 from meshql.plans import meshgen
 
 
@@ -27,3 +27,13 @@ def test_vertices_of_a_large_mesh_are_not_broadcast(spark, customers):
         assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
     # one row for each mesh is sent still
     assert "Broadcast" in plan(energy.initial_projection(m.vertices, normals))
+
+
+def test_kept_tables_of_many_rows_are_not_broadcast(spark):
+    """Many meshes' vertices fit a file of a few bytes a row, and are no less rows for that."""
+    rows = spark.range(checkpoints.BROADCAST_ROWS + 20_000).select(F.format_string("s%06d", F.floor(F.col("id") / 512)).alias("subject"), F.lit("lh").alias("hemi"), (F.col("id") % 256).alias("vid"))
+    many, few = checkpoints.kept(rows), checkpoints.kept(rows.where("subject < 's000010'"))
+    faces = many.select("subject", "hemi", "vid", F.col("vid").alias("a"), F.col("vid").alias("b"), F.col("vid").alias("c"))
+    assert "SortMergeJoin" in plan(mesh.faces_within(faces, many)) and "BroadcastHashJoin" not in plan(mesh.faces_within(faces, many))
+    assert "BroadcastHashJoin" not in plan(few.join(mesh.used_vertices(faces.withColumn("fid", F.col("vid"))), ["subject", "hemi", "vid"]))
+    assert "BroadcastHashJoin" in plan(rows.join(few, ["subject", "hemi", "vid"], "left_semi"))

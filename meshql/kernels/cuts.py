@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from functools import cache
 
 import numpy as np
@@ -162,15 +164,108 @@ def absorbed(points: Points, cuts: dict[str, list[int]], regions: list[list[int]
 
 def merge_small(components: list[set[int]], wall: set[int], rim: set[int], points: Points, keep: int = 5) -> tuple[set[int], list[set[int]]]:
     """Components beyond the `keep` largest go to the nearest of those or to the wall, one after another; too few are padded with empty sets."""
-    wall, mains = set(wall), [set(c) for c in components[:keep]]
-    for small in components[keep:]:
-        own = sorted(small)
-        gap = [(float(gaps(points, own, sorted(m))[0].min()), 0, i) for i, m in enumerate(mains) if m]
-        if rim:
-            gap.append((float(gaps(points, own, sorted(rim))[0].min()), 1, -1))
-        _, to_wall, i = min(gap)
-        if to_wall:
-            wall |= small
-        else:
-            mains[i] |= small
-    return wall, mains + [set() for _ in range(keep - len(mains))]
+    own = [sorted(c) for c in components]
+    ids = [v for c in own for v in c]
+    xyz, edge = (_matrix(points, x) if x else np.zeros((0, 3)) for x in (ids, sorted(rim)))
+    to = nearest_mains(xyz, np.repeat(np.arange(len(own)), [len(c) for c in own]), edge, keep)
+    wall, mains = set(wall), [set() for _ in range(keep)]
+    for c, i in zip(own, to.tolist(), strict=True):
+        (wall if i == keep else mains[i]).update(c)
+    return wall, mains
+
+
+#: Points of a leaf of the tree.
+LEAF = 32
+
+
+class _Tree:
+    """Points in boxes that halve down to leaves. What is put in by and by, with a number, can be searched for the nearest; boxes without any such point are passed by."""
+
+    def __init__(self, xyz: np.ndarray) -> None:
+        self.order, self.spans, self.children, self.parents = np.arange(len(xyz)), [], [], []
+        todo = [(0, len(xyz), -1)]
+        while todo:
+            a, b, parent = todo.pop()
+            at = len(self.spans)
+            self.spans.append((a, b))
+            self.children.append(())
+            self.parents.append(parent)
+            if parent >= 0:
+                self.children[parent] += (at,)
+            if b - a > LEAF:
+                own = self.order[a:b]
+                x = xyz[own]
+                mid = (b - a) // 2
+                self.order[a:b] = own[np.argpartition(x[:, int(np.ptp(x, axis=0).argmax())], mid)]
+                todo += [(a, a + mid, at), (a + mid, b, at)]
+        self.xyz, self.place = xyz[self.order], np.empty(len(xyz), dtype=np.int64)
+        self.place[self.order] = np.arange(len(xyz))
+        self.low, self.high = ([f(self.xyz[a:b], axis=0).tolist() if b > a else [0.0] * 3 for a, b in self.spans] for f in (np.min, np.max))
+        leaves = [i for i, c in enumerate(self.children) if not c]
+        first = np.array([self.spans[i][0] for i in leaves])
+        by_place = np.argsort(first, kind="stable")
+        self.first, self.leaf = first[by_place], np.array(leaves)[by_place]
+        self.live = [False] * len(self.spans)
+        self.number = np.full(len(xyz), -1, dtype=np.int64)
+
+    def put(self, places: np.ndarray, number: int) -> None:
+        self.number[places] = number
+        for i in np.unique(self.leaf[np.searchsorted(self.first, places, "right") - 1]).tolist():
+            while i >= 0 and not self.live[i]:
+                self.live[i] = True
+                i = self.parents[i]
+
+    def nearest(self, places: np.ndarray) -> int:
+        """The number that lies nearest to any of the places, the least of those equally near. A box is left out only if it can't hold a point as near: its distance is rounded in the same steps as theirs."""
+        best, found = float("inf"), 0
+        for s in range(0, len(places), 2 * LEAF):
+            own = self.xyz[places[s : s + 2 * LEAF]]
+            low, high = own.min(axis=0).tolist(), own.max(axis=0).tolist()
+
+            def away(i: int) -> float:
+                total = 0.0
+                for a, b, c, d in zip(low, high, self.low[i], self.high[i], strict=True):
+                    gap = max(c - b, a - d, 0.0)
+                    total += gap * gap
+                return math.sqrt(total)
+
+            heap = [(away(0), 0)] if self.live and self.live[0] else []
+            while heap:
+                d, i = heapq.heappop(heap)
+                if d > best:
+                    break
+                for c in self.children[i]:
+                    if self.live[c] and (far := away(c)) <= best:
+                        heapq.heappush(heap, (far, c))
+                if not self.children[i]:
+                    a, b = self.spans[i]
+                    number = self.number[a:b]
+                    held = number >= 0
+                    least = np.sqrt(((own[:, None, :] - self.xyz[None, a:b][:, held]) ** 2).sum(axis=2)).min(axis=0)
+                    if (near := float(least.min())) <= best:
+                        first = int(number[held][least == near].min())
+                        found = first if near < best else min(first, found)
+                        best = near
+        return found
+
+
+def nearest_mains(xyz: np.ndarray, component: np.ndarray, rim: np.ndarray, keep: int) -> np.ndarray:
+    """For each component, in order, the main one that it comes to, or `keep` for the wall. The first `keep` are the mains; every other goes to the nearest, of which it is a part for the next, or to the wall where the rim is nearer.
+
+    xyz: places of the components' points, sorted by component; rim: those of the wall's rim, which stays as it is. In a tree of all points a component is compared with what lies around it alone.
+    """
+    ends = np.searchsorted(component, np.arange(component.max(initial=-1) + 2))
+    n, total = len(ends) - 1, len(xyz)
+    to = np.minimum(np.arange(n), keep)
+    if n <= keep:
+        return to
+    tree = _Tree(np.concatenate([xyz, rim]))
+    if len(rim):
+        tree.put(tree.place[total:], keep)
+    for c in range(n):
+        own = np.sort(tree.place[ends[c] : ends[c + 1]])
+        if c >= keep:
+            to[c] = tree.nearest(own)
+        if to[c] < keep:
+            tree.put(own, int(to[c]))
+    return to

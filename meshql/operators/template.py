@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +17,17 @@ def merge_small(parts: DataFrame, rim: DataFrame, points: DataFrame, keep: int =
     """part 0 is the wall, 1.. the cuts by size; those beyond `keep` join the nearest main cut or the wall: vid, part."""
     rows = parts.select(*KEY, "vid", "part").unionByName(rim.select(*KEY, "vid", F.lit(-1).alias("part"))).join(points.select(*KEY, "vid", "x", "y", "z"), [*KEY, "vid"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        where = dict(zip(pdf["vid"], pdf[["x", "y", "z"]].to_numpy(), strict=True))
-        own = {p: set(g["vid"]) for p, g in pdf.groupby("part")}
-        wall, mains = kernel.merge_small([own[p] for p in sorted(own) if p > 0], own.get(0, set()), own.get(-1, set()), where, keep)
-        out = [(v, 0) for v in sorted(wall)] + [(v, i) for i, c in enumerate(mains, 1) for v in sorted(c)]
-        return pd.DataFrame([(pdf["subject"].iloc[0], pdf["hemi"].iloc[0], *r) for r in out], columns=["subject", "hemi", "vid", "part"]).astype({"vid": "int64", "part": "int32"})
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        part, vid, xyz = table["part"].to_numpy(), table["vid"].to_numpy(), np.stack([table[c].to_numpy() for c in "xyz"], axis=1)
+        order = np.flatnonzero(part > 0)
+        order = order[np.lexsort((vid[order], part[order]))]
+        component = np.unique(part[order], return_inverse=True)[1]
+        to = kernel.nearest_mains(xyz[order], component, xyz[part == -1], keep)
+        # mains count from 1; the wall is 0
+        vid, out = np.concatenate([vid[part == 0], vid[order]]), np.concatenate([np.zeros((part == 0).sum(), dtype=np.int32), ((to + 1) % (keep + 1))[component].astype(np.int32)])
+        return pa.table({c: pa.repeat(k, len(vid)) for c, k in zip(KEY, key, strict=True)} | {"vid": pa.array(vid), "part": pa.array(out)})
 
-    return rows.groupBy(*KEY).applyInPandas(run, "subject string, hemi string, vid long, part int")
+    return rows.groupBy(*KEY).applyInArrow(run, "subject string, hemi string, vid long, part int")
 
 
 def wall_axes(wall: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def boundary_vertices(faces: DataFrame) -> DataFrame:
 def components(edge_table: DataFrame, vertices: DataFrame) -> DataFrame:
     """vid, comp: the smallest vid reachable along edges (u, v). Joins alone: labels move over edges and jump along labels, in a number of rounds that grows with the logarithm of the way."""
     both = settled(edge_table.select(*KEY, F.explode(F.array(F.struct(F.col("u").alias("s"), F.col("v").alias("t")), F.struct(F.col("v").alias("s"), F.col("u").alias("t")))).alias("e")).select(*KEY, "e.s", "e.t").distinct())
-    labels = settled(vertices.select(*KEY, "vid", F.col("vid").alias("comp")))
+    labels = kept(vertices.select(*KEY, "vid", F.col("vid").alias("comp")))
     while True:
         near = both.join(labels.withColumnRenamed("vid", "t"), [*KEY, "t"]).groupBy(*KEY, F.col("s").alias("vid")).agg(F.min("comp").alias("m"))
         moved = labels.join(near, [*KEY, "vid"], "left").select(*KEY, "vid", F.least("comp", "m").alias("to"), F.col("comp").alias("old"))

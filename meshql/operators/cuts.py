@@ -14,7 +14,7 @@ from ..kernels import cuts as kernel
 from ..kernels import graph
 from ..schema import KEY
 from . import mesh, packs, topology
-from .checkpoints import settled
+from .checkpoints import kept, settled
 
 CUTS = "subject string, hemi string, name string, vid long, ord int"
 
@@ -142,11 +142,14 @@ def absorb(adj: DataFrame, points: DataFrame, cuts: DataFrame, wall: DataFrame)
     The parts are found by ranges and joins; a mesh's kernel sees its cuts and the parts that go to them, never the patch.
     """
     taken = cuts.select(*KEY, "vid").unionByName(wall.select(*KEY, "vid")).distinct()
-    rest = settled(points.select(*KEY, "vid").join(taken, [*KEY, "vid"], "left_anti"))
-    inside = mesh.induced(adj, rest).select(*KEY, F.col("src").alias("u"), F.col("dst").alias("v"))
-    parts = settled(topology.components_by_ranges(inside, rest))
-    small = topology.component_sizes(parts).where("rank > 1").select(*KEY, "comp", "rank")
-    regions = parts.join(small, [*KEY, "comp"]).select(*KEY, F.lit(None).cast("string").alias("name"), "vid", F.col("rank").alias("ord"))
+    rest = kept(points.select(*KEY, "vid").join(taken, [*KEY, "vid"], "left_anti"))
+    inside = mesh.induced(adj.where("src < dst"), rest).select(*KEY, F.col("src").alias("u"), F.col("dst").alias("v"))
+    parts = kept(topology.components_by_ranges(inside, rest))
+    ranked = settled(topology.component_sizes(parts))
+    # the largest part, often all but the whole mesh, is left out before a join by part, where it would be one task's
+    first = ranked.where("rank = 1").select(*KEY, F.col("comp").alias("_first"))
+    others = parts.join(mesh.each(first, first.count()), KEY).where("comp <> _first").drop("_first")
+    regions = others.join(ranked.where("rank > 1").select(*KEY, "comp", "rank"), [*KEY, "comp"]).select(*KEY, F.lit(None).cast("string").alias("name"), "vid", F.col("rank").alias("ord"))
     rows = cuts.select(*KEY, "name", "vid", F.col("ord").cast("long").alias("ord")).unionByName(regions)
     rows = rows.join(points.select(*KEY, "vid", "x", "y", "z"), [*KEY, "vid"], "left")
 

@@ -59,10 +59,18 @@ def components(edge_table: DataFrame, vertices: DataFrame) -> DataFrame:
             return labels
 
 
+#: Vertices of a range that one task contracts, about, with all of their edges in memory.
+RANGE = 100_000
+
+
 def components_by_ranges(edge_table: DataFrame, vertices: DataFrame) -> DataFrame:
-    """The same as components() for large meshes whose near vertices have near ids. A range of vertices is contracted by one task; components() joins what is left, an edge for each two parts that meet."""
+    """The same as components() for large meshes whose near vertices have near ids. A range of vertices is contracted by one task; components() joins what is left, an edge for each two parts that meet.
+
+    Ranges are dealt out by the number of vertices, which are counted for it: left to itself, the planner joins ranges up to a size of packed bytes that is many times as much in a task. An edge should be there one way.
+    """
     ends = F.array(F.struct(F.col("u").alias("s"), F.col("v").alias("t")), F.struct(F.col("v").alias("s"), F.col("u").alias("t")))
-    both = edge_table.select(*KEY, F.explode(ends).alias("e")).select(*KEY, "e.s", "e.t").repartitionByRange(*KEY, "s")
+    both = edge_table.select(*KEY, F.explode(ends).alias("e")).select(*KEY, "e.s", "e.t")
+    both = both.repartitionByRange(max(-(-vertices.count() // RANGE), edge_table.sparkSession.sparkContext.defaultParallelism), *KEY, "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]

@@ -37,3 +37,13 @@ def test_kept_tables_of_many_rows_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan(mesh.faces_within(faces, many)) and "BroadcastHashJoin" not in plan(mesh.faces_within(faces, many))
     assert "BroadcastHashJoin" not in plan(few.join(mesh.used_vertices(faces.withColumn("fid", F.col("vid"))), ["subject", "hemi", "vid"]))
     assert "BroadcastHashJoin" in plan(rows.join(few, ["subject", "hemi", "vid"], "left_semi"))
+
+
+def test_a_task_contracts_a_bounded_range(spark, monkeypatch):
+    m, files, table = meshgen.plain_grid(spark, 40), [], topology.kept
+    monkeypatch.setattr(topology, "RANGE", 100, raising=False)
+    monkeypatch.setattr(topology, "kept", lambda df: files.append(len((out := table(df)).inputFiles())) or out)
+    edges = mesh.edges(m.faces).select("subject", "hemi", "u", "v")
+    parts = topology.components_by_ranges(edges.where("u % 40 <> 9 and v % 40 <> 9"), m.vertices.where("vid % 40 <> 9"))
+    assert {(r["comp"], r["count"]) for r in parts.groupBy("comp").count().collect()} == {(0, 360), (10, 1200)}
+    assert files[0] >= 12  # a file for each task

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshql.operators import batch, mesh, metrics, report
-from meshql.operators.checkpoints import settled
+from meshql.operators.checkpoints import kept, settled
 from meshql.plans import population
 from meshql.plans.batches import CHECKED
 from meshql.schema import KEY
@@ -30,6 +30,7 @@ REPORT = (
 )
 MARKS = "subject string, hemi string, fingerprint string, block int"
 COLUMNS = [c.split()[0] for c in REPORT.split(", ")]
+MEASURES = COLUMNS[COLUMNS.index("n_rim") : COLUMNS.index("block")]
 
 
 def block_of(subject: str, size: int):  # noqa: ANN201
@@ -37,22 +38,20 @@ def block_of(subject: str, size: int):  # noqa: ANN201
     return F.floor(F.regexp_extract(subject, r"(\d+)$", 1).cast("long") / size).cast("int")
 
 
-def measure(points: DataFrame, faces: DataFrame, digits: int, meshes: int | None = None) -> DataFrame:
-    """A report row for each mesh; measures are null where the check found an error."""
-    checked = settled(batch.validate(points.select(*KEY, "vid", "x", "y", "z"), faces))
-    good = checked.where("error is null").select(*KEY)
-    tri = settled(faces.join(good, KEY, "left_semi"))
-    own = settled(points.join(mesh.used_vertices(tri), [*KEY, "vid"], "left_semi"))
-    solid, uv = own.select(*KEY, "vid", "x", "y", "z"), own.select(*KEY, "vid", "u", "v")
-    sides = settled(mesh.edge_lengths(mesh.edges(tri), solid))
-    ring = settled(metrics.k1_distances(sides))
-    rim = sides.where("n_faces = 1").groupBy(*KEY).agg(F.count("*").alias("n_rim"))
-    flat = report.flatmap_report(solid, uv, tri, ring).select(*KEY, "area_2d_pos", "area_2d_neg", "n_flipped", "pct_error")
-    worst = metrics.vertex_distortion(ring, uv).groupBy(*KEY).agg(F.max("distortion").alias("worst_distortion"))
-    box = report.grid_layout(uv, meshes=meshes).groupBy(*KEY).agg((F.greatest(F.max("u") - F.min("u"), F.max("v") - F.min("v")) / 2).alias("half"))
-    out = checked.withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("error")).withColumn("area_3d", F.when(F.col("error").isNull(), F.col("area")))
-    for part in (rim, flat, worst, box):
-        out = out.join(part, KEY, "left")
+def measure(points: DataFrame, faces: DataFrame, digits: int) -> DataFrame:
+    """A report row for each mesh; measures are null where the check found an error.
+
+    Corners are joined once for all that faces tell, and edges once for both errors of distance; no table of faces, edges or pairs is written.
+    """
+    sums = settled(report.face_sums(points, faces))
+    checked = settled(batch.validate(points.select(*KEY, "vid", "x", "y", "z"), faces, sums.select(*KEY, "area")))
+    bad = checked.where("error is not null").select(*KEY)
+    tri = faces.join(mesh.each(bad, bad.count()), KEY, "left_anti")
+    errors = metrics.ring_errors(metrics.k1_in_plane(tri, points), points)
+    # no edge has more than two faces where the check was passed, so that those of one follow from the counts
+    rim = 2 * F.col("n_edges") - 3 * F.col("n_faces")
+    out = checked.withColumn("n_rim", F.when(rim > 0, rim)).withColumnRenamed("area", "area_3d").join(sums.drop("area"), KEY, "left").join(errors, KEY, "left")
+    out = out.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in MEASURES}).withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("error"))
     return out.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes if c in COLUMNS])
 
 
@@ -68,7 +67,10 @@ def run(spark: SparkSession, orders: str, output: str, config: dict | None = Non
     log.info("read %s: %d hemispheres, %d of them new or changed", orders, counts["read"], counts["fresh"])
     if not counts["fresh"]:
         return counts
-    rows = measure(m.points.join(fresh.select(*KEY), KEY, "left_semi"), m.faces.join(fresh.select(*KEY), KEY, "left_semi"), config["digits"], counts["fresh"])
+    points, faces = m.points, m.faces
+    if counts["fresh"] < counts["read"]:
+        points, faces = (kept(df.join(fresh.select(*KEY), KEY, "left_semi")) for df in (points, faces))
+    rows = measure(points, faces, config["digits"])
     touched = fresh.select("block").distinct()
     for name, schema, own in (("report", REPORT, rows.withColumn("block", block_of("subject", size))), ("marks", MARKS, fresh)):
         there = common.table_or_none(spark, f"{output}/{name}", schema)
